@@ -1,6 +1,6 @@
 """Toxicity: a factorization machine over hashed terms.
 
-A document is the set of its lower-cased terms, hashed into buckets. Buckets that tell the labels apart in a bounded sample get a
+A document is the set of its lower-cased words and of their beginnings, hashed into buckets. Buckets that tell the labels apart in a bounded sample get a
 weight and a vector of factors; the score is the logistic function of the bias, the weights and all pairwise products of factors,
 so that two terms together can weigh more, or less, than their sum.
 
@@ -20,17 +20,20 @@ from pyspark.sql import DataFrame
 
 from textloom.llm import common
 
-BUCKETS, TERMS, FACTORS, THRESHOLD = 1 << 18, 1024, 8, 0.3
+BUCKETS, TERMS, FACTORS, THRESHOLD = 1 << 20, 1024, 8, 0.3
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE = 12_000
 #: ASCII letters to lower case, digits and all other than ASCII kept, the rest to spaces.
+PREFIXES = (4, 5, 6)  # bytes
 TERM = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or 48 <= c <= 57 or c >= 128 else 32 for c in range(256))
 SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 
 def buckets(text: bytes) -> np.ndarray:
-    """Sorted distinct buckets of a text's terms."""
-    return np.unique(np.fromiter((zlib.crc32(w) & BUCKETS - 1 for w in set(text.translate(TERM).split())), np.int32))
+    """Sorted distinct buckets of a text's terms: its words, and their beginnings, which stay alike where endings vary."""
+    words = set(text.translate(TERM).split())
+    terms = words.union(*({w[:k] + b"~" for w in words if len(w) > k} for k in PREFIXES))
+    return np.unique(np.fromiter((zlib.crc32(w) & BUCKETS - 1 for w in terms), np.int32))
 
 
 @dataclass(frozen=True)
@@ -64,7 +67,7 @@ def chosen_terms(rows: list[np.ndarray], y: np.ndarray, most: int) -> np.ndarray
     return np.sort(best[z[best] > 0]).astype(np.int32)
 
 
-def fitted(rows: list[np.ndarray], y: np.ndarray, epochs: int = 40, rate: float = 0.05, l2: float = 2e-4, seed: int = 7) -> FactorizationMachine:
+def fitted(rows: list[np.ndarray], y: np.ndarray, epochs: int = 40, rate: float = 0.15, l2: float = 1e-5, seed: int = 7) -> FactorizationMachine:
     """Logistic loss, minibatches, per-weight steps; the same rows give the same model."""
     none = FactorizationMachine(np.zeros(0, np.int32), float(np.log((y.sum() + 1e-9) / (len(y) - y.sum() + 1e-9))) if len(y) else -30.0, np.zeros(0), np.zeros((0, FACTORS)))
     if not 0 < y.sum() < len(y):
@@ -87,7 +90,7 @@ def fitted(rows: list[np.ndarray], y: np.ndarray, epochs: int = 40, rate: float
             logit = bias + b @ w + 0.5 * ((s**2).sum(1) - b @ (v**2).sum(1))
             g = (1 / (1 + np.exp(-np.clip(logit, -30, 30))) - y[part]) / len(part)
             gw = b.T @ g + l2 * w
-            gv = b.T @ (g[:, None] * s) - (b.T @ g)[:, None] * v + l2 * v
+            gv = b.T @ (g[:, None] * s) - (b.T @ g)[:, None] * v + 10 * l2 * v
             sb, sw, sv = sb + g.sum() ** 2, sw + gw**2, sv + gv**2
             bias -= rate * g.sum() / np.sqrt(sb)
             w -= rate * gw / np.sqrt(sw)
