@@ -120,36 +120,54 @@ def crc_mod4() -> str:
     return "crc32(cast(cast(doc_id as string) as binary)) % 4"
 
 
-class WordHashes(dict):
-    """Word (bytes) to a 64-bit hash; holds a bounded number of words."""
-
-    LIMIT = 400_000
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
+#: The ASCII white space to a space.
+SPACE = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
+MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
-        h = xxhash.xxh3_64_intdigest(word)
-        if len(self) < self.LIMIT:
-            self[word] = h
-        return h
 
+def mixed(x: np.ndarray) -> np.ndarray:
+    """A finaliser: spreads every bit of x over the whole word."""
+    x = (x ^ (x >> np.uint64(30))) * MIX2
+    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return x ^ (x >> np.uint64(31))
 
-#: One for each Python worker.
-WORDS = WordHashes()
 
+_BYTE = np.random.default_rng(20240301).integers(1, 1 << 63, 256, np.uint64) * np.uint64(2) + np.uint64(1)
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    return np.fromiter(map(WORDS.__getitem__, words), np.uint64, len(words))
 
+def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """MIX1 to the powers 0 to n, and the inverses, modulo 2 ** 64."""
+    if len(_powers[0]) <= n:
+        size = max(1 << 16, 1 << n.bit_length())
+        for k, base in enumerate((int(MIX1), pow(int(MIX1), -1, 1 << 64))):
+            x = np.full(size, base, np.uint64)
+            x[0] = 1
+            _powers[k] = np.multiply.accumulate(x)
+    return _powers[0], _powers[1]
 
-MIX1, MIX2 = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xBF58476D1CE4E5B9)
 
+def word_hashes(text: bytes, beginnings: tuple[int, ...] = ()) -> tuple[np.ndarray, ...]:
+    """(hashes, starts, ends) of the words of a text in which every white space is a space: 64-bit sums over random numbers for bytes.
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A finaliser: spreads every bit of x over the whole word."""
-    x = (x ^ (x >> np.uint64(30))) * MIX2
-    x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
-    return x ^ (x >> np.uint64(31))
+    After them, for each k of beginnings, the hashes of the first k bytes of the words that are longer.
+    """
+    b = np.frombuffer(text, np.uint8)
+    word = np.zeros(len(b) + 2, bool)
+    np.not_equal(b, 32, out=word[1:-1])
+    edges = np.flatnonzero(word[1:] != word[:-1])
+    starts, ends = edges[::2], edges[1::2]
+    power, inverse = _powers_to(len(b))
+    sums = np.zeros(len(b) + 1, np.uint64)
+    np.cumsum(_BYTE[b] * power[: len(b)], out=sums[1:])
+    more = ((i := starts[ends - starts > k], sums[i + k] - sums[i], np.uint64(k)) for k in beginnings)
+    return mixed((sums[ends] - sums[starts]) * inverse[starts]), starts, ends, *(mixed(x * inverse[i] + k) for i, x, k in more)
+
+
+def distinct(x: np.ndarray) -> np.ndarray:
+    """Sorted distinct values."""
+    x = np.sort(x)
+    return x[np.concatenate([[True], x[1:] != x[:-1]])] if len(x) else x
 
 
 def shingle_hashes(h: np.ndarray, width: int) -> np.ndarray:

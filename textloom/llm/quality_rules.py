@@ -100,7 +100,7 @@ def judged(rows: Iterable[tuple], crf: LineCrf) -> Iterator[tuple]:
         white = count_in(text, WHITE)
         points = len(text) - count_in(text, bytes(range(0x80, 0xC0)))
         lines = [x for x in text.split(b"\n") if x.strip()]
-        repeat = repeated_words(common.word_hashes(words))
+        repeat = repeated_words(common.word_hashes(text.translate(common.SPACE))[0])
         n = len(words)
         failed = n < MIN_WORDS or 100 * repeat > MAX_REPEAT_PERCENT * n
         x, counts = line_features(lines)

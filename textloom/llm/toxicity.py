@@ -31,9 +31,8 @@ SCHEMA = "doc_id long, held_out boolean, score double, predicted int"
 
 def buckets(text: bytes) -> np.ndarray:
     """Sorted distinct buckets of a text's terms: its words, and their beginnings, which stay alike where endings vary."""
-    words = set(text.translate(TERM).split())
-    terms = words.union(*({w[:k] + b"~" for w in words if len(w) > k} for k in PREFIXES))
-    return np.unique(np.fromiter((zlib.crc32(w) & BUCKETS - 1 for w in terms), np.int32))
+    words, _, _, *beginnings = common.word_hashes(text.translate(TERM), PREFIXES)
+    return common.distinct((np.concatenate([words, *beginnings]) & np.uint64(BUCKETS - 1)).astype(np.int32))
 
 
 @dataclass(frozen=True)
