@@ -19,12 +19,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+_own_dir: list[str] = []
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``, or where that is unset a new local one (tests)."""
-    if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
-        folder = f"file://{tempfile.mkdtemp(prefix='textloom-')}"
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
+    if folder := spark.conf.get("spark.checkpoint.dir", None):
+        return folder.rstrip("/")
+    if not _own_dir:
+        _own_dir.append(f"file://{tempfile.mkdtemp(prefix='textloom-')}")
+    return _own_dir[0]
 
 
 def new_path(spark: SparkSession, name: str) -> str:

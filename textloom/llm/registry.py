@@ -6,16 +6,19 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import near_dedup, packing, quality_rules, substring_dedup, toxicity
+from textloom.llm import license_scan, media_avi, near_dedup, packing, quality_rules, substring_dedup, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_token_counts": token_counts.op1_token_counts,
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
+        "op3_license_scan": license_scan.op3_license_scan,
         "op4_toxicity": toxicity.op4_toxicity,
         "op7_near_dedup": near_dedup.op7_near_dedup,
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
+        "op10_media_avi": media_avi.op10_media_avi,
     }
 
 
