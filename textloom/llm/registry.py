@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from textloom.llm import license_scan, media_avi, near_dedup, packing, quality_rules, substring_dedup, token_counts, toxicity
+from textloom.llm import license_scan, media_avi, near_dedup, packing, piece_lattice, quality_rules, substring_dedup, suffix_dedup, token_counts, toxicity
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -15,6 +15,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_substring_dedup": substring_dedup.op2_substring_dedup,
         "op3_license_scan": license_scan.op3_license_scan,
         "op4_toxicity": toxicity.op4_toxicity,
+        "op5_suffix_dedup": suffix_dedup.op5_suffix_dedup,
+        "op6_piece_lattice": piece_lattice.op6_piece_lattice,
         "op7_near_dedup": near_dedup.op7_near_dedup,
         "op8_quality_rules": quality_rules.op8_quality_rules,
         "op9_best_fit_packing": packing.op9_best_fit_packing,
