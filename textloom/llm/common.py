@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -187,8 +188,6 @@ def shingle_hashes(h: np.ndarray, width: int) -> np.ndarray:
 
 def filtered(docs: DataFrame, keep: Callable[[bytes], bool]) -> DataFrame:
     """Rows of docs, all columns unchanged, whose text keep() accepts; a null text is empty."""
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def verdict(text: pd.Series) -> pd.Series:
         return pd.Series([bool(keep((x or "").encode())) for x in text], dtype=bool)
