@@ -66,7 +66,7 @@ def neighbourhoods(texts: DataFrame, near: DataFrame, read: DataFrame) -> DataFr
         return pd.DataFrame(out, columns=["seed", "members"])
 
     kind = dict(texts.dtypes)["id"]
-    return rows.groupBy(F.lit(1)).applyInPandas(cover, f"seed {kind}, members array<{kind}>")
+    return rows.groupBy(F.lit("all").alias("g")).applyInPandas(cover, f"seed {kind}, members array<{kind}>")
 
 
 def shown_texts(nodes: DataFrame, edges: DataFrame) -> DataFrame:

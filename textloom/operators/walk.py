@@ -124,7 +124,7 @@ def ppr_push(walk: DataFrame, seeds: DataFrame, alpha: float = ALPHA, epsilon: f
                 waiting.add(u)
         return pd.DataFrame({"id": list(mass), "mass": list(mass.values())}).astype({"id": object, "mass": float})
 
-    return rows.unionAll(start).groupBy(F.lit(1)).applyInPandas(push, "id string, mass double")
+    return rows.unionAll(start).groupBy(F.lit("all").alias("g")).applyInPandas(push, "id string, mass double")
 
 
 def from_node(walk: DataFrame, nodes: DataFrame, start: str, reach: float = 0.05) -> DataFrame:
