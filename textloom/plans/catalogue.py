@@ -538,10 +538,10 @@ def entity_votes(spark, d):
 
 
 @query("""SELECT x.vec_id AS a, y.vec_id AS b, round(list_inner_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) AS cos FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id
-WHERE (x.vec_id % 3 = 0 OR y.vec_id % 3 = 0) AND list_inner_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= 0.5""")
+WHERE (x.vec_id % 3 = 0 OR y.vec_id % 3 = 0) AND list_inner_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= 0.3""")
 def merge_pairs(spark, d):
     e = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.lit("name").alias("name"), F.col("embedding").alias("v"), (F.col("vec_id") % 3 == 0).alias("is_new"))
-    return layer.merge_pairs(e, same=0.5, most=None).select("a", "b", r6("cos"))
+    return layer.merge_pairs(e, same=0.3, most=None).select("a", "b", r6("cos"))
 
 
 @query(f"""WITH {NAMES}, c AS (SELECT DISTINCT doc_id, 'entity:' || name AS entity, 2.1 AS score FROM nm JOIN bud USING (name)) SELECT doc_id, entity, score FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY entity) <= 24""")
