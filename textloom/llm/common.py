@@ -109,6 +109,23 @@ def only(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     return docs.join(key, docs["doc_id"].cast("long") == F.col("__key"), how)
 
 
+FILTER_BITS = 1 << 26
+
+
+def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs (doc_id, ...) whose doc_id is in ids, and few others, without a shuffle of docs.
+
+    ids are hashed into a bitmap of FILTER_BITS bits, 8 MB at most whatever their number, which is broadcast. With more ids more
+    rows pass that a later join drops; none is lost.
+    """
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)) + 1
+    bits = ids.groupBy(F.bitmap_bucket_number(place("doc_id")).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place("doc_id"))).alias("bits"))
+    at = F.bitmap_bit_position(place("doc_id")).cast("int")
+    byte = F.conv(F.hex(F.substring(F.col("bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    met = docs.join(F.broadcast(bits), F.bitmap_bucket_number(place("doc_id")) == F.col("bucket"))
+    return met.where(F.call_function("shiftright", byte, at % 8).bitwiseAND(F.lit(1)) == 1).select(*docs.columns)
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, where: str = "true") -> DataFrame:
     """(doc_id, text, y) of at most bound labelled rows, chosen by a hash of doc_id: the same rows however the table is split.
 

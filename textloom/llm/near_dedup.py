@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from textloom.llm import common
 from textloom.llm.components import components
 
-WIDTH, COORDINATES, MATCHES, PERCENT, BLOCK = 5, 64, 38, 85, 512
+WIDTH, COORDINATES, MATCHES, PERCENT, BLOCK = 5, 64, 38, 85, 1024
 SEED = 20240229
 
 
@@ -145,7 +145,7 @@ def confirmed(cells: DataFrame, docs: DataFrame, percent: int = PERCENT) -> Data
             s = shingle_set(text)
             yield doc_id, signature(s).tobytes(), s.tobytes()
 
-    full = common.map_docs(common.only(docs, needed), rows, "doc_id long, sig binary, full binary", "doc_id", batch=200)
+    full = common.map_docs(common.likely(docs, needed), rows, "doc_id long, sig binary, full binary", "doc_id", batch=200)
     met = cells.join(full, "doc_id").select("cell", "doc_id", "sig", "full")
     dealt = met.repartition(int(met.sparkSession.conf.get("spark.sql.shuffle.partitions")), "cell").sortWithinPartitions("cell", "doc_id")
 
