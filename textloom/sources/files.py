@@ -9,6 +9,7 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from textloom.functions import text as T
 from textloom.operators.chunk import front_matter
@@ -60,7 +61,7 @@ def links(files: DataFrame) -> DataFrame:
     return out.join(files.select(F.col("rel").alias("to_path")), "to_path", "left_semi").select("from_path", "to_path").distinct()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def title(text: pd.Series) -> pd.Series:
     """Of the front matter, else the first heading, within the first lines."""
 

@@ -9,6 +9,7 @@ import re
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 #: Fixed by the log formats and the folding rule.
 SHORT_REPLY = 200
@@ -116,7 +117,7 @@ def folded_replies(replies: DataFrame, least: int = SHORT_REPLY) -> DataFrame:
     return numbered.groupBy("session", "turn_no", group.cast("int").alias("reply_no")).agg(texts.alias("text"), F.count("*").alias("n_folded"))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def resolved_paths(cwd: pd.Series, paths: pd.Series) -> pd.Series:
     """Absolute normal paths, each once in order; a relative one without a working folder is dropped."""
     one = lambda c, p: posixpath.normpath(posixpath.join(c, p)) if p.startswith("/") or c else None
