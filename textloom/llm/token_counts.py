@@ -66,12 +66,13 @@ def blocks(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> Da
 
 def documents(found: DataFrame) -> DataFrame:
     """(file, ordinal, start, n_tokens, closed) of every document; start is the place of its first id in the file."""
+    latest = F.get("ends", F.size("ends") - 1)  # null for a block without END
     before = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     after = Window.partitionBy("file").orderBy("block").rowsBetween(1, Window.unboundedFollowing)
     scanned = found.select(
         "file",
         "ends",
-        F.coalesce(F.max(F.element_at("ends", -1)).over(before), F.lit(-1)).alias("last"),
+        F.coalesce(F.max(latest).over(before), F.lit(-1)).alias("last"),
         F.coalesce(F.sum(F.size("ends")).over(before), F.lit(0)).cast("long").alias("seen"),
         (F.coalesce(F.sum("n_ids").over(before), F.lit(0)) + F.col("n_ids")).alias("stop"),
         F.coalesce(F.sum(F.lit(1)).over(after), F.lit(0)).alias("more"),
@@ -79,7 +80,7 @@ def documents(found: DataFrame) -> DataFrame:
     closed = scanned.select("file", "seen", F.array_insert("ends", 1, F.col("last")).alias("at"), F.posexplode("ends").alias("i", "end"))
     start = F.get("at", F.col("i")) + 1
     closed = closed.select("file", (F.col("seen") + F.col("i")).alias("ordinal"), start.alias("start"), (F.col("end") - start).alias("n_tokens"), F.lit(True).alias("closed"))
-    tail = F.coalesce(F.when(F.size("ends") > 0, F.element_at("ends", -1)), F.col("last")) + 1
+    tail = F.coalesce(latest, F.col("last")) + 1
     opened = scanned.where((F.col("more") == 0) & (tail < F.col("stop"))).select("file", (F.col("seen") + F.size("ends")).alias("ordinal"), tail.alias("start"), (F.col("stop") - tail).alias("n_tokens"), F.lit(False).alias("closed"))
     return closed.unionAll(opened)
 
