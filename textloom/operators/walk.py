@@ -48,8 +48,10 @@ def damped(walk: DataFrame) -> DataFrame:
 def ppr_power(walk: DataFrame, seeds: DataFrame, steps: int = 20, alpha: float = ALPHA) -> DataFrame:
     """(id, mass) by the residual form of the lazy walk, a join and an aggregate each step; a seed without edges keeps its mass."""
     deg = walk.groupBy("u").agg(F.sum("w").alias("d"))
-    share = walk.join(deg, "u").select("u", "v", (F.col("w") / F.col("d")).alias("p"))
-    linked = deg.select(F.col("u").alias("id"))
+    # Every step reads the shares, so they are written once. Their ends are all linked nodes, as arcs go both ways.
+    share = checkpointed(walk.join(deg, "u").select("u", "v", (F.col("w") / F.col("d")).alias("p")))
+    seeds = checkpointed(seeds)
+    linked = share.select(F.col("u").alias("id")).distinct()
     alone = seeds.join(linked, "id", "left_anti").select("id", F.col("s").alias("mass"))
     r = seeds.join(linked, "id", "left_semi").select("id", F.col("s").alias("r"))
     mass = r.select("id", (alpha * F.col("r")).alias("mass"))
@@ -86,6 +88,7 @@ def ppr_push(walk: DataFrame, seeds: DataFrame, alpha: float = ALPHA, epsilon: f
     """
     import pandas as pd
 
+    walk, seeds = checkpointed(walk), checkpointed(seeds)  # each hop reads them
     deg = walk.groupBy("u").agg(F.sum("w").alias("d"), F.count("*").alias("n"))
     rows = neighbourhood(walk, seeds, hops).join(deg.select(F.col("u").alias("v"), F.col("d").alias("dv")), "v").select("u", "v", "w", "dv", F.lit(None).cast("double").alias("s"))
     start = seeds.select(F.col("id").alias("u"), F.lit(None).cast("string").alias("v"), F.lit(None).cast("double").alias("w"), F.lit(None).cast("double").alias("dv"), "s")
