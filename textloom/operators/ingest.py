@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.operators.walk import checkpointed
 
 ENGINE = "~"
 SEMANTIC = "~semantic"
@@ -94,6 +95,7 @@ def apply_run(tables: Tables, records: DataFrame, connector: str, recipe: str) -
     Within a run the last record of a key counts; a delete counts against nodes stated before it. A sweep counts if a sweep record came.
     """
     own = F.lit(connector)
+    records = checkpointed(records)  # read once; each of the steps below reads it
     n = records.where("node is not null").select("seq", "node.*")
     n = without_compacted(latest(n, "id"), tables.compacted, "id")
     e = records.where("edge is not null").select("seq", F.col("edge.from").alias("from_id"), F.col("edge.to").alias("to_id"), F.col("edge.kind").alias("kind"), F.coalesce("edge.weight", F.lit(0.0)).alias("weight"))
@@ -101,7 +103,7 @@ def apply_run(tables: Tables, records: DataFrame, connector: str, recipe: str) -
     d = records.where("delete is not null").select("seq", F.col("delete.id").alias("id"))
     d = latest(d, "id").join(n.select("id", F.col("seq").alias("stated")), "id", "left").where("stated is null or stated < seq").select("id")
     arriving = n.join(d, "id", "left_anti").select("id", F.coalesce("kind", F.lit("document")).alias("kind"), "text", F.coalesce("attrs", F.create_map().cast("map<string,string>")).alias("attrs"), "at", own.alias("connector"), F.coalesce("hash", T.content_hash(F.col("text"))).alias("hash"), F.coalesce("chunker", F.lit(recipe)).alias("recipe"))
-    arriving = guard(arriving, tables.nodes, "id")
+    arriving = checkpointed(guard(arriving, tables.nodes, "id"))
     stated = e.select("from_id", "to_id", "kind", "weight", own.alias("connector"))
     change = changed(tables.nodes, arriving)
     nodes, edges = delete_nodes(upsert(tables.nodes, arriving, "id"), upsert(tables.edges, stated, "from_id", "to_id", "kind"), d, connector)
@@ -109,8 +111,9 @@ def apply_run(tables: Tables, records: DataFrame, connector: str, recipe: str) -
         nodes = sweep(nodes, arriving, connector, "id")
         edges = sweep(edges, stated, connector, "from_id", "to_id", "kind")
     value = records.where("cursor is not null").agg(F.max_by("cursor.value", "seq").alias("value")).where("value is not null").select(own.alias("connector"), "value")
+    nodes, edges = checkpointed(nodes), checkpointed(edges)  # the next run's plan starts here
     gone = tables.nodes.join(nodes.select("id"), "id", "left_anti")
-    return replace(tables, nodes=nodes, edges=edges, cursors=upsert(tables.cursors, value, "connector")), run_stats(arriving, change, gone)
+    return replace(tables, nodes=nodes, edges=edges, cursors=checkpointed(upsert(tables.cursors, value, "connector"))), run_stats(arriving, change, gone)
 
 
 def remove_connector(tables: Tables, connector: str) -> Tables:
