@@ -17,7 +17,7 @@ def parsed(lines: DataFrame) -> DataFrame:
     has_sweep = F.get_json_object("value", "$.sweep").isNotNull()
     out = lines.where(F.trim("value") != "").select("seq", "value", r, has_sweep.alias("has_sweep"))
     bad = F.try_parse_json("value").isNull()
-    out = out.where(F.when(bad, F.raise_error(F.concat(F.lit("record "), F.col("seq"), F.lit(" is no JSON object"))).cast("boolean")).otherwise(True))
+    out = out.where(F.when(bad, F.raise_error(F.concat(F.lit("record "), F.col("seq").cast("string"), F.lit(" is no JSON object"))).cast("boolean")).otherwise(True))
     sweep = F.when(F.col("has_sweep"), F.struct(F.lit(True).alias("present")))
     return out.select("seq", *(F.col(f"r.{k}").alias(k) for k in KINDS[:-1]), sweep.alias("sweep"))
 
@@ -33,7 +33,7 @@ def valid(records: DataFrame) -> DataFrame:
     parts = sum((F.col(k).isNotNull().cast("int") for k in KINDS[1:]), F.col("node").isNotNull().cast("int"))
     empty = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     wrong = (parts != 1) | (F.col("node").isNotNull() & empty("node.id")) | (F.col("delete").isNotNull() & empty("delete.id")) | (F.col("edge").isNotNull() & (empty("edge.from") | empty("edge.to") | empty("edge.kind")))
-    return records.where(F.when(wrong, F.raise_error(F.concat(F.lit("record "), F.col("seq"), F.lit(" is not valid"))).cast("boolean")).otherwise(True))
+    return records.where(F.when(wrong, F.raise_error(F.concat(F.lit("record "), F.col("seq").cast("string"), F.lit(" is not valid"))).cast("boolean")).otherwise(True))
 
 
 def lines(records: DataFrame) -> Column:

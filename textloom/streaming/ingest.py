@@ -12,8 +12,8 @@ from textloom.sources import records as R
 
 
 def record_stream(spark: SparkSession, path: str) -> DataFrame:
-    """(file, value) of the JSON lines of new files under path."""
-    return spark.readStream.format("text").load(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"), F.monotonically_increasing_id().alias("n"), "value")
+    """(file, modified, value) of the JSON lines of new files under path."""
+    return spark.readStream.format("text").load(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").alias("modified"), "value")
 
 
 def run_available(spark: SparkSession, path: str, checkpoint: str, merge: Callable[[DataFrame, int], None]) -> StreamingQuery:
@@ -24,9 +24,9 @@ def run_available(spark: SparkSession, path: str, checkpoint: str, merge: Callab
     """
 
     def batch(lines: DataFrame, number: int) -> None:
-        order = F.struct("modified", "file", "n")
-        numbered = lines.select(F.xxhash64("file").alias("part"), order.alias("o"), "value")
-        seq = F.unix_micros("o.modified") * 4096 + F.pmod("o.n", F.lit(4096))
-        merge(R.valid(R.parsed(numbered.select(seq.alias("seq"), "value"))), number)
+        n = F.monotonically_increasing_id()  # in order within a file, which one task reads or neighbouring ones do
+        seq = F.struct("modified", "file", n.alias("n"))
+        numbered = lines.select(seq.alias("seq"), "value")
+        merge(R.valid(R.parsed(numbered)), number)
 
     return record_stream(spark, path).writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
