@@ -165,7 +165,7 @@ def test_text_chunks_keep_heading_paths():
 def test_code_chunks():
     from textloom.plans.catalogue import GO_TEXT, YAML_TEXT
 
-    go = chunk.chunk_go(GO_TEXT, 60)
+    go = chunk.chunk_go(GO_TEXT, 80)
     assert [c.prefix for c in go] == ["shop › func Sum(a, b int) int", "shop › type Pair struct"]
     assert chunk.chunk_go("not go at all", 100)[0].prefix == ""
     yaml = chunk.chunk_yaml(YAML_TEXT, 1000)

@@ -147,7 +147,7 @@ def graph(talk: DataFrame, connector: str) -> tuple[DataFrame, DataFrame]:
     session, repo = F.concat(F.lit("session:"), F.col("session")), F.concat(F.lit("repo:"), project_root(F.col("cwd")))
     branch = F.concat_ws(":", F.lit("branch"), project_root(F.col("cwd")), "branch")
     no_attrs = F.create_map().cast("map<string,string>")
-    node = lambda d, i, k, x=none, at=none: d.select(i.alias("id"), k.alias("kind"), x.cast("string").alias("text"), no_attrs.alias("attrs"), at.cast("timestamp").alias("at"), own.alias("connector")).distinct()
+    node = lambda d, i, k, x=none, at=none: d.select(i.alias("id"), k.alias("kind"), x.cast("string").alias("text"), no_attrs.alias("attrs"), at.cast("timestamp").alias("at"), own.alias("connector")).dropDuplicates(["id"])
     arc = lambda d, a, b, k: d.select(a.alias("from_id"), b.alias("to_id"), F.lit(k).alias("kind"), F.lit(0.0).alias("weight"), own.alias("connector")).distinct()
     placed, branched = talk.where("cwd <> ''"), talk.where("cwd <> '' and branch <> ''")
     nodes = [node(t, F.col("node"), F.when(F.col("role") == "user", "message").otherwise("reply"), F.col("text"), F.col("at")), node(talk, session, F.lit("session")), node(placed, repo, F.lit("repo")), node(branched, branch, F.lit("branch"))]
