@@ -83,6 +83,15 @@ def test_suffix_dedup(docs, none):
     assert suffix_dedup.suffix_dedup(none).count() == 0
 
 
+def test_surroundings_that_share_36_bits_of_digest(spark):
+    a = "ybbqbfgwiiengjxvhyguteodnlcxpwjslgwtyayrvqkzxmgiljgbyepeygzundonahzvnkdiyltsvwzuinmfpmro"
+    b = "wrjfvfgkoknoyunonrkpvnomjzdalpltneisgyyrvqkzxmgiljlkwnerqtpxmzigilavhmhxtczpmykqaqvpcgnt"
+    x, y = (int(suffix_dedup.surroundings(t.encode(), np.array([38]))[0]) for t in (a, b))
+    assert x >> 28 == y >> 28 and x != y
+    got = by_id(suffix_dedup.suffix_dedup(spark.createDataFrame([(1, a), (2, b), (3, b + " end")], "doc_id long, text string")))
+    assert [got[i].n_removed for i in (1, 2, 3)] == [0, 0, len(b)]
+
+
 def test_substring_dedup(docs, none):
     got = by_id(substring_dedup.deduped(docs))
     for i, r in got.items():

@@ -32,6 +32,7 @@ MATCH, GRAM = 50, 12
 WINDOW = MATCH - GRAM + 1
 SIDE = MATCH - GRAM  # bytes on each side of an anchor that a run with it can hold
 AROUND = 2 * SIDE + GRAM
+PLACE_BITS = np.uint64(28)
 PLACE = np.uint64((1 << 28) - 1)
 SCHEMA = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, starts array<long>, ends array<long>"
 
@@ -75,7 +76,10 @@ def surroundings(text: bytes, at: np.ndarray) -> np.ndarray:
 
 
 def anchor_rows(docs: DataFrame) -> DataFrame:
-    """(anchor, doc_id, rest): rest holds the upper 36 bits of the surroundings' digest and the place."""
+    """(anchor, doc_id, around): anchor holds the lower 36 bits of the anchor's hash and the place, around the whole digest of the surroundings.
+
+    Only around tells surroundings apart. Anchors whose 36 bits clash meet in one group, which adds comparisons and changes no result.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -83,14 +87,14 @@ def anchor_rows(docs: DataFrame) -> DataFrame:
             for doc_id, text in [*common.text_rows(b, "text", "doc_id"), (None, b"")]:
                 if len(text) >= MATCH:
                     at, h = anchors(text)
-                    rest = (surroundings(text, at) & ~PLACE) | at.astype(np.uint64)
-                    held.append((h.view(np.int64), np.full(len(h), doc_id, np.int64), rest.view(np.int64)))
+                    packed = (h << PLACE_BITS) | at.astype(np.uint64)
+                    held.append((packed.view(np.int64), np.full(len(h), doc_id, np.int64), surroundings(text, at).view(np.int64)))
                     size += len(h)
                 if held and (size > 100_000 or doc_id is None):
-                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], ["anchor", "doc_id", "rest"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], ["anchor", "doc_id", "around"])
                     held, size = [], 0
 
-    return docs.where(F.octet_length("text") >= MATCH).mapInArrow(run, "anchor long, doc_id long, rest long")
+    return docs.where(F.octet_length("text") >= MATCH).mapInArrow(run, "anchor long, doc_id long, around long")
 
 
 def _first_of_runs(*keys: np.ndarray) -> np.ndarray:
@@ -105,12 +109,11 @@ def met(rows: DataFrame) -> DataFrame:
     """(doc_id, place, anchor) of anchors that two documents have: anchor is null where all around it goes, else its runs are to be compared."""
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # A row for each anchor, document and surroundings is enough to tell; a hot anchor's equal surroundings keep their places.
-    dealt = rows.repartition(n, "anchor").sortWithinPartitions("anchor")
+    dealt = rows.repartition(n, F.shiftright("anchor", int(PLACE_BITS))).sortWithinPartitions("anchor")
 
-    def judge(h: np.ndarray, doc: np.ndarray, rest: np.ndarray) -> pa.RecordBatch | None:
-        ctx = rest.view(np.uint64) >> np.uint64(28)
+    def judge(h: np.ndarray, doc: np.ndarray, ctx: np.ndarray, place: np.ndarray) -> pa.RecordBatch | None:
         order = np.lexsort((doc, ctx, h))
-        h, doc, ctx, place = h[order], doc[order], ctx[order], (rest[order].view(np.uint64) & PLACE).astype(np.int64)
+        h, doc, ctx, place = h[order], doc[order], ctx[order], place[order]
         group = np.cumsum(_first_of_runs(h)) - 1
         starts = np.flatnonzero(_first_of_runs(h))
         two = (np.minimum.reduceat(doc, starts) < np.maximum.reduceat(doc, starts))[group]
@@ -128,7 +131,8 @@ def met(rows: DataFrame) -> DataFrame:
         held: list[tuple[np.ndarray, ...]] = []
         size = 0
         for b in batches:
-            held.append(tuple(b.column(k).to_numpy() for k in range(3)))
+            packed, doc, ctx = (b.column(k).to_numpy() for k in range(3))
+            held.append((packed >> np.int64(PLACE_BITS), doc, ctx, packed & np.int64(PLACE)))
             size += b.num_rows
             h = held[-1][0]
             if size >= 500_000 and h[0] != h[-1]:  # judge what is complete: all before the last anchor of this batch
