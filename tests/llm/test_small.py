@@ -103,6 +103,23 @@ def test_substring_dedup(docs, none):
     assert substring_dedup.deduped(none).count() == 0
 
 
+def test_shared_passages_go_whole(spark):
+    rng = np.random.default_rng(11)
+    text = lambda n: [f"w{x}" for x in rng.integers(0, 10**9, n)]
+    wrapped = lambda w, n: "\n".join(" ".join(w[k : k + n]) for k in range(0, len(w), n))
+    rows, passages = [], {}
+    for k in range(60):  # each passage of 51 words in three documents: as it is, wrapped at two widths, and among other words
+        passages[k] = text(51)
+        rows += [(3 * k, " ".join(text(20) + passages[k] + text(20))), (3 * k + 1, wrapped(text(30) + passages[k] + text(9), 7)), (3 * k + 2, wrapped(text(3) + passages[k] + text(70), 5))]
+    own = text(60)
+    rows += [(1000, " ".join(own + text(40) + own)), (1001, " ".join(text(40) + own[:55] + text(5)))]
+    got = by_id(substring_dedup.deduped(spark.createDataFrame(rows, "doc_id long, text string")))
+    for i, t in rows[: 3 * len(passages)]:
+        words = t.split() if i % 3 == 0 else [x for x in t.split() if x not in passages[i // 3]]
+        assert got[i].kept_text.decode().split() == words
+    assert len(got[1000].kept_text.split()) == 100 and len(got[1001].kept_text.split()) == 45
+
+
 def test_license_scan(docs, none):
     got = by_id(license_scan.scan(docs))
     for i in TEXTS:
