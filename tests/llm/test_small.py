@@ -69,6 +69,22 @@ def test_near_dedup(docs, none):
     assert near_dedup.near_duplicates(none).count() == 0
 
 
+def test_near_dedup_stage_takes_80_percent(spark):
+    rng = np.random.default_rng(3)
+    rows = []
+    for k in range(40):
+        w = [f"w{x}" for x in rng.integers(0, 10**9, 104)]
+        rows += [(2 * k, " ".join(w)), (2 * k + 1, " ".join([*w[:92], *(f"v{x}" for x in rng.integers(0, 10**9, 3))]))]  # 88 of 103 shingles in common, or 85.4 %
+        rows += [(1000 + 2 * k, " ".join(x := [f"w{x}" for x in rng.integers(0, 10**9, 104)])), (1001 + 2 * k, " ".join(x[:86]))]  # 82 of 100
+        rows += [(2000 + 2 * k, " ".join(x := [f"w{x}" for x in rng.integers(0, 10**9, 104)])), (2001 + 2 * k, " ".join(x[:66]))]  # 62 of 100
+    made = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = {r.doc_id for r in near_dedup.stage(spark, made, "").collect()}
+    assert kept == {i for i, _ in rows if i >= 2000 or i % 2 == 0}
+    found = by_id(near_dedup.near_duplicates(made, 60))
+    assert all(found[i].component_id == i - i % 2 for i, _ in rows)
+    assert near_dedup.matches_at(85) == 38
+
+
 def test_suffix_dedup(docs, none):
     got = by_id(suffix_dedup.suffix_dedup(docs))
     seen: dict[bytes, int] = {}

@@ -2,16 +2,17 @@
 
 1. Each document's set of word shingles gives a fingerprint and a signature of COORDINATES minima. Documents with equal sets are
    linked at once; one representative of each class goes on.
-2. Representatives are posted under their coordinate-value pairs. Two signatures that agree in MATCHES places share a posting among
-   the COORDINATES - MATCHES + 1 rarest pairs of each (prefix filter), so only those are kept; pairs that one document alone
+2. Representatives are posted under their coordinate-value pairs. Two signatures that agree in enough places (matches) share a posting
+   among the COORDINATES - matches + 1 rarest pairs of each (prefix filter), so only those are kept; pairs that one document alone
    has, and posting lists with the same members as another, are skipped.
-3. Within a posting list, blocks of documents are compared: collisions of coordinates are counted, and what reaches MATCHES is
+3. Within a posting list, blocks of documents are compared: collisions of coordinates are counted, and what reaches matches is
    confirmed on the full sets. A list of any length is dealt out as pairs of blocks, so no task holds more than two blocks; only
    links that join two parts of a block pair leave it, so a list of n documents gives some n rows, not n * n.
 4. Links are contracted to components.
 
-A pair at the link threshold agrees in 54 of 64 coordinates on average, with a standard deviation of 2.9; MATCHES is 38, so the
-chance to miss a link is below 1e-6. Links are confirmed on sets of 64-bit shingle hashes.
+The places in which two signatures have to agree follow from the link threshold: the most for which a pair at the threshold is missed
+with a chance below 5e-7 (38 of 64 at 85 %, where a pair agrees in 54 on average). The query links at PERCENT, the stage of the
+pipeline at STAGE_PERCENT. Links are confirmed on sets of 64-bit shingle hashes.
 
 Defined cases: a document without words (null or empty text) has no shingles and stands alone; one with fewer words than the
 width has its whole sequence as one shingle; rows that repeat a doc_id give a row each;
@@ -21,6 +22,7 @@ Ties: the least doc_id of a component is kept. Columns other than doc_id and tex
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -31,10 +33,18 @@ from pyspark.sql import functions as F
 from textloom.llm import common
 from textloom.llm.components import components
 
-WIDTH, COORDINATES, MATCHES, PERCENT, BLOCK = 5, 64, 38, 85, 1024
+WIDTH, COORDINATES, PERCENT, STAGE_PERCENT, BLOCK = 5, 64, 85, 80, 1024
 SEED = 20240229
 
 
+def matches_at(percent: int) -> int:
+    """The most matches m, 1 at least, for which a pair of this similarity agrees in fewer than m coordinates with a chance below 5e-7."""
+    p, below, m = percent / 100, 0.0, 0
+    while m < COORDINATES and (below := below + math.comb(COORDINATES, m) * p**m * (1 - p) ** (COORDINATES - m)) < 5e-7:
+        m += 1
+    return max(m, 1)
+
+
 def shingle_set(text: bytes, width: int = WIDTH) -> np.ndarray:
     """Sorted distinct hashes of the shingles of a text's words, A-Z taken as a-z."""
     return common.distinct(common.shingle_hashes(common.word_hashes(text.translate(common.LOWER_SPACE))[0], width))
@@ -71,7 +81,7 @@ def features(docs: DataFrame) -> DataFrame:
     return common.map_docs(docs, rows, "doc_id long, n_shingles long, f1 long, f2 long, sig binary", "doc_id")
 
 
-def rare_postings(reps: DataFrame) -> DataFrame:
+def rare_postings(reps: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(key, doc_id): each representative's prefix, where another one has the same key.
 
     The key is a hash of coordinate and value; a clash of two keys only adds a comparison.
@@ -92,7 +102,7 @@ def rare_postings(reps: DataFrame) -> DataFrame:
     shared = posted.join(spread, F.col("key") == F.col("k"))
     per_doc = shared.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("shared"))
     alone = F.lit(COORDINATES) - F.size("shared")
-    places = F.greatest(F.lit(COORDINATES - MATCHES + 1) - alone, F.lit(0))
+    places = F.greatest(F.lit(COORDINATES - matches_at(percent) + 1) - alone, F.lit(0))
     return per_doc.select("doc_id", F.explode(F.slice("shared", 1, places)).alias("p")).select("doc_id", F.col("p.key").alias("key"))
 
 
@@ -123,7 +133,7 @@ def _links(ids: np.ndarray, sigs: np.ndarray, sets: list[np.ndarray], percent: i
     hits = np.zeros((n, n), np.uint8)
     for k in range(COORDINATES):
         hits += sigs[:, k][:, None] == sigs[:, k][None]
-    fit = (hits >= MATCHES) & (100 * np.minimum(size[:, None], size[None]) >= percent * np.maximum(size[:, None], size[None]))
+    fit = (hits >= matches_at(percent)) & (100 * np.minimum(size[:, None], size[None]) >= percent * np.maximum(size[:, None], size[None]))
     a, b = np.nonzero(np.triu(fit, 1))
     order = np.argsort(-hits[a, b].astype(np.int16), kind="stable")
     out = []
@@ -175,7 +185,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     feats = common.cut(features(docs), "features")
     classes = feats.where("n_shingles > 0").groupBy("n_shingles", "f1", "f2").agg(F.min("doc_id").alias("rep"))
     reps = common.only(feats.where("n_shingles > 0"), classes.select(F.col("rep").alias("doc_id")))
-    cells = common.cut(block_pairs(common.cut(rare_postings(reps), "postings")), "cells")
+    cells = common.cut(block_pairs(common.cut(rare_postings(reps, percent), "postings")), "cells")
     found = components(confirmed(cells, docs, percent))
     keys = ["n_shingles", "f1", "f2"]
     merged = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*keys, F.coalesce("component", "rep").alias("c"))
@@ -189,5 +199,5 @@ def op7_near_dedup(spark, sf_dir: str) -> DataFrame:
 
 def stage(spark, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component: that with the least doc_id. Rows without doc_id stay."""
-    gone = near_duplicates(docs).where("not kept").select("doc_id")
+    gone = near_duplicates(docs, STAGE_PERCENT).where("not kept").select("doc_id")
     return common.only(docs, gone, "left_anti")
