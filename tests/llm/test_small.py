@@ -156,6 +156,50 @@ def test_license_suppression(spark):
     assert r.labels == "gpl-3" and r.n_found > len(spans) == 2
 
 
+def expansions(pattern):
+    """Strings that a regular expression of this scan's kind matches: every branch, every optional part with and without."""
+    from re import _parser as parser
+
+    def of(items):
+        out = [""]
+        for op, arg in items:
+            match str(op):
+                case "LITERAL":
+                    part = [chr(arg)]
+                case "IN":
+                    part = ["1"] if str(arg[0][0]) == "CATEGORY" else [chr(x) if str(o) == "LITERAL" else chr(x[0]) for o, x in arg]
+                case "MAX_REPEAT":
+                    part = [*([""] if arg[0] == 0 else []), *of(arg[2])]
+                case "SUBPATTERN":
+                    part = of(arg[3])
+                case "BRANCH":
+                    part = [x for branch in arg[1] for x in of(branch)]
+            out = [a + b for a in out for b in part]
+        return out
+
+    return of(parser.parse(pattern))
+
+
+def test_license_keywords_stand_in_all_that_their_rules_match(spark):
+    by_rule = iter(license_scan.rules())
+    for _, _, keyword, way in license_scan.WAYS:
+        assert all(keyword in f" {x} " for x in expansions(way.replace("{name}", "X").replace("{tail}", license_scan.TAIL).replace("{id}", "X")))
+        for _, name, _, short in license_scan.FAMILIES:
+            rule = next(by_rule)
+            assert all(rule["k2"] in x for x in expansions(short if "{id}" in way else name)), rule
+    said = {
+        "terms and conditions of the GPL version 3": "gpl-3",
+        "in accordance with the terms and conditions of the MPL 2.0": "mpl-2",
+        "SPDX-License-Identifier: CPL-1.0": "cpl",
+        "SPDX-License-Identifier: BSL-1.0": "boost",
+        "SPDX-License-Identifier: OFL-1.1": "ofl",
+        "published under Creative Commons Zero": "cc0",
+        "a copy of the terms of the Expat": "mit",
+    }
+    got = by_id(license_scan.scan(spark.createDataFrame(list(enumerate(said)), "doc_id long, text string")))
+    assert [got[i].labels for i in range(len(said))] == list(said.values())
+
+
 def test_quality_rules(docs, none):
     got = by_id(quality_rules.quality(docs, quality_rules.LineCrf()))
     for i in TEXTS:

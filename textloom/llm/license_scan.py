@@ -27,7 +27,7 @@ BASE = {"under the mit license": "mit", "apache license version 2": "apache-2",
 
 #: License families: label, regular expression of the name, a keyword that every name holds, short identifier.
 FAMILIES = [
-    ("mit", "(?:mit|expat)", "i", "mit"),
+    ("mit", "(?:mit|expat)", "t", "mit"),
     ("apache-2", "apache(?: software)?(?: licen[sc]e)?(?: version| v)? ?2(?: 0)?", "apache", "apache 2 0"),
     ("apache-1", "apache(?: software)?(?: licen[sc]e)?(?: version| v)? ?1(?: [01])?", "apache", "apache 1 1"),
     ("gpl-2", "(?:gnu (?:general public licen[sc]e|gpl)|gpl)(?: version| v)? ?2(?: 0)?", "g", "gpl 2 0(?: only| or later)?"),
@@ -61,7 +61,7 @@ FAMILIES = [
     ("ofl", "(?:sil )?open font(?: licen[sc]e)?(?:(?: version| v)? ?1 1)?", "font", "ofl 1 1"),
     ("odbl", "(?:open database licen[sc]e|odbl)", "o", "odbl 1 0"),
     ("pddl", "(?:public domain dedication and licen[sc]e|pddl)", "p", "pddl 1 0"),
-    ("cc0", "(?:cc0(?: 1 0)?|cc zero|creative commons zero)", "cc", "cc0 1 0"),
+    ("cc0", "(?:cc0(?: 1 0)?|cc zero|creative commons zero)", "c", "cc0 1 0"),
     ("cc-by-nc-nd", "(?:cc|creative commons) (?:by nc nd|attribution non ?commercial no ?deriv\\S*)(?: [1-4] 0)?", "c", "cc by nc nd [1-4] 0"),
     ("cc-by-nc-sa", "(?:cc|creative commons) (?:by nc sa|attribution non ?commercial share ?alike)(?: [1-4] 0)?", "c", "cc by nc sa [1-4] 0"),
     ("cc-by-nc", "(?:cc|creative commons) (?:by nc|attribution non ?commercial)(?: [1-4] 0)?", "c", "cc by nc [1-4] 0"),
@@ -71,14 +71,16 @@ FAMILIES = [
     ("public-domain", "public domain", "public domain", "public domain"),
     ("proprietary", "(?:proprietary|commercial)", "r", "proprietary"),
 ]
-#: Ways of stating a license: priority, weight, keyword, expression with {name}, {tail} and {id}.
+#: The keywords of short identifiers that don't hold their family's.
+ID_WORDS = {"cpl": "cpl", "boost": "bsl", "ofl": "ofl"}
+#: Ways of stating a license: priority, weight, keyword that it always holds, expression with {name}, {tail} and {id}.
 WAYS = [
     (1, 1.0, "identifier", "spdx licen[sc]e identifier {id}"),
     (2, 0.95, "licen", "(?:dual |re)?licen[sc]ed under (?:the )?(?:terms of (?:the )?)?{name}{tail}"),
-    (2, 0.95, "under", "(?:released|distributed|published|made available) under (?:the )?(?:terms of (?:the )?)?{name}{tail}"),
-    (2, 0.9, "licen", "permission is granted under (?:the )?{name}{tail}"),
-    (3, 0.85, "terms", "(?:subject to|in accordance with|under)? ?(?:the )?terms (?:and conditions )?of (?:the )?{name}{tail}"),
-    (3, 0.85, "under", "under (?:the |a |an )?{name} licen[sc]e(?: agreement)?(?: version \\d+(?: \\d+)?)?"),
+    (2, 0.95, "under ", "(?:released|distributed|published|made available) under (?:the )?(?:terms of (?:the )?)?{name}{tail}"),
+    (2, 0.9, "under ", "permission is granted under (?:the )?{name}{tail}"),
+    (3, 0.85, "terms ", "(?:subject to|in accordance with|under)? ?(?:the )?terms (?:and conditions )?of (?:the )?{name}{tail}"),
+    (3, 0.85, "under ", "under (?:the |a |an )?{name} licen[sc]e(?: agreement)?(?: version \\d+(?: \\d+)?)?"),
     (4, 0.8, "copy of", "copy of (?:the )?{name} licen[sc]e"),
     (4, 0.75, "licen", "licen[sc]e (?:is |type )?(?:the )?{name}"),
     (5, 0.6, "licen", "{name} licen[sc]e(?: agreement)?(?: version \\d+(?: \\d+)?)?"),
@@ -93,7 +95,7 @@ def rules() -> list[dict]:
     for priority, weight, keyword, way in WAYS:
         for label, name, word, short in FAMILIES:
             pattern = way.replace("{name}", name).replace("{tail}", TAIL).replace("{id}", short)
-            out.append({"rule": len(out), "label": label, "priority": priority, "weight": weight, "k1": keyword, "k2": word, "pattern": f"(?<= )(?:{pattern})(?= )"})
+            out.append({"rule": len(out), "label": label, "priority": priority, "weight": weight, "k1": keyword, "k2": ID_WORDS.get(label, word) if "{id}" in way else word, "pattern": f"(?<= )(?:{pattern})(?= )"})
     return out
 
 
@@ -142,7 +144,9 @@ def scan(docs: DataFrame) -> DataFrame:
     df = common.as_docs(docs).select("doc_id", normalised(F.col("text")).alias("norm"))
     norm = F.col("norm")
     df = df.withColumn("n_words", F.greatest(spaces(norm) - 1, F.lit(0)).cast("long"))
-    gate = F.contains(norm, F.lit("licen")) | F.contains(norm, F.lit("under ")) | F.contains(norm, F.lit("terms of")) | F.contains(norm, F.lit("identifier"))
+    gate = F.lit(False)
+    for keyword in dict.fromkeys(keyword for _, _, keyword, _ in WAYS):
+        gate |= F.contains(norm, F.lit(keyword))
     df = df.withColumn("found", F.when(gate, detections(norm)).otherwise(F.array().cast(SPAN)))
     df = df.withColumn("kept", F.when(F.size("found") > 1, unsuppressed(F.col("found"))).otherwise(F.col("found")))
     counts, firsts, lasts, labels = [], [], [], []
