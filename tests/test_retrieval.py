@@ -56,6 +56,14 @@ def test_power_and_push_agree(spark):
     assert power == pytest.approx(push, abs=0.01)
 
 
+def test_push_has_no_bound_of_hops(spark):
+    chain = [(f"n{i}", f"n{i + 1}", 1.0) for i in range(12)]
+    edges = spark.createDataFrame([*chain, *((v, u, w) for u, v, w in chain)], "u string, v string, w double")
+    seed = spark.createDataFrame([("n0", 1.0)], "id string, s double")
+    near, far = ({r.id: r.mass for r in walk.ppr_push(edges, seed, hops=h).collect()} for h in (2, 12))
+    assert near == far and "n6" in near
+
+
 def test_degree_cap_counts_muted_edges(spark):
     nodes = spark.createDataFrame([(c, "x", None) for c in ("hub", "a", "b", "c")], "id string, kind string, text string")
     e = spark.createDataFrame([(c, "hub", "in", 0.0) for c in "abc"] + [("a", "b", "next", 0.0)], "from_id string, to_id string, kind string, weight double")

@@ -76,7 +76,7 @@ def neighbourhood(walk: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
     """Edges of walk whose first end lies within hops of a seed."""
     near = seeds.select(F.col("id").alias("u"))
     for _ in range(hops):
-        near = near.unionAll(walk.join(near, "u", "left_semi").select(F.col("v").alias("u"))).distinct()
+        near = checkpointed(near.unionAll(walk.join(near, "u", "left_semi").select(F.col("v").alias("u"))).distinct())  # the next hop reads it twice
     return walk.join(near, "u", "left_semi")
 
 
@@ -84,13 +84,13 @@ def ppr_push(walk: DataFrame, seeds: DataFrame, alpha: float = ALPHA, epsilon: f
     """(id, mass) by pushing residuals in first-in first-out order until none exceeds epsilon times its degree.
 
     The push is sequential by definition. It touches at most 1 / (epsilon * alpha) degrees, so the edges within hops of the seeds go
-    to one group, sorted, and the whole push runs there.
+    to one group, sorted, and the whole push runs there. Where a node beyond them is left with more, hops is doubled and the push
+    starts anew, so hops bounds nothing in the result.
     """
     import pandas as pd
 
     walk, seeds = checkpointed(walk), checkpointed(seeds)  # each hop reads them
     deg = walk.groupBy("u").agg(F.sum("w").alias("d"), F.count("*").alias("n"))
-    rows = neighbourhood(walk, seeds, hops).join(deg.select(F.col("u").alias("v"), F.col("d").alias("dv")), "v").select("u", "v", "w", "dv", F.lit(None).cast("double").alias("s"))
     start = seeds.select(F.col("id").alias("u"), F.lit(None).cast("string").alias("v"), F.lit(None).cast("double").alias("w"), F.lit(None).cast("double").alias("dv"), "s")
 
     def push(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -129,9 +129,15 @@ def ppr_push(walk: DataFrame, seeds: DataFrame, alpha: float = ALPHA, epsilon: f
             if left[u] > epsilon * degree[u] and u not in waiting:
                 queue.append(u)
                 waiting.add(u)
-        return pd.DataFrame({"id": list(mass), "mass": list(mass.values())}).astype({"id": object, "mass": float})
-
-    return rows.unionAll(start).groupBy(F.lit("all").alias("g")).applyInPandas(push, "id string, mass double")
+        beyond = [v for v, r in left.items() if v not in adjacency and r > epsilon * degree[v]]
+        return pd.DataFrame({"id": [*mass, *beyond], "mass": [*mass.values(), *(None for _ in beyond)]}).astype({"id": object, "mass": float})
+
+    while True:
+        rows = neighbourhood(walk, seeds, hops).join(deg.select(F.col("u").alias("v"), F.col("d").alias("dv")), "v").select("u", "v", "w", "dv", F.lit(None).cast("double").alias("s"))
+        pushed = checkpointed(rows.unionAll(start).groupBy(F.lit("all").alias("g")).applyInPandas(push, "id string, mass double"))
+        if pushed.where("mass is null or isnan(mass)").isEmpty():
+            return pushed
+        hops *= 2
 
 
 def from_node(walk: DataFrame, nodes: DataFrame, start: str, reach: float = 0.05) -> DataFrame:
