@@ -36,10 +36,27 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def cut(df: DataFrame, name: str) -> DataFrame:
-    """Write df to the shared folder and read it again, so that a lost executor costs no recomputation of what came before."""
-    df.write.parquet(path := new_path(df.sparkSession, name))
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Spark removes a query's shuffle files when the query ends, where this is set.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def cut(df: DataFrame, name: str, after: Iterable[DataFrame] = ()) -> DataFrame:
+    """Write df to the shared folder and read it again, so that a lost executor costs no recomputation of what came before.
+
+    What is written needs no shuffle file any more, so these go at once. after: results of cut that nothing else reads; they go too.
+    """
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP, None)
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path := new_path(spark, name))
+    finally:
+        spark.conf.unset(CLEANUP) if before is None else spark.conf.set(CLEANUP, before)
+    for done in after:
+        drop_path(spark, done.written_at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_at = path
+    return out
 
 
 def drop_path(spark: SparkSession, path: str) -> None:
@@ -109,21 +126,31 @@ def only(docs: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
     return docs.join(key, docs["doc_id"].cast("long") == F.col("__key"), how)
 
 
-FILTER_BITS = 1 << 26
+#: Bits of a bitmap for an id, and the largest bitmap that is broadcast, 64 MB; beyond it rows aren't sifted, only joined.
+BITS_EACH, MOST_BITS = 32, 1 << 29
 
 
-def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs (doc_id, ...) whose doc_id is in ids, and few others, without a shuffle of docs.
+def sifted(docs: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(rows of docs whose doc_id may be in ids, rows whose doc_id surely isn't), told without a shuffle of docs. ids: a written table.
 
-    ids are hashed into a bitmap of FILTER_BITS bits, 8 MB at most whatever their number, which is broadcast. With more ids more
-    rows pass that a later join drops; none is lost.
+    ids are hashed into a bitmap that is broadcast; its size follows their number. With more ids than MOST_BITS has room for, all rows
+    come back as the first part, which a join has to tell apart in any case.
     """
-    place = lambda c: F.pmod(F.xxhash64(c), F.lit(FILTER_BITS)) + 1
-    bits = ids.groupBy(F.bitmap_bucket_number(place("doc_id")).alias("bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place("doc_id"))).alias("bits"))
+    bits = 1 << max(15, (BITS_EACH * ids.count()).bit_length())
+    if bits > MOST_BITS:
+        return docs, docs.where("false")
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(bits)) + 1
+    held = ids.groupBy(F.bitmap_bucket_number(place("doc_id")).alias("__bucket")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(place("doc_id"))).alias("__bits"))
     at = F.bitmap_bit_position(place("doc_id")).cast("int")
-    byte = F.conv(F.hex(F.substring(F.col("bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
-    met = docs.join(F.broadcast(bits), F.bitmap_bucket_number(place("doc_id")) == F.col("bucket"))
-    return met.where(F.call_function("shiftright", byte, at % 8).bitwiseAND(F.lit(1)) == 1).select(*docs.columns)
+    byte = F.conv(F.hex(F.substring(F.col("__bits"), (at / 8).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    hit = F.coalesce(F.call_function("shiftright", byte, at % 8).bitwiseAND(F.lit(1)) == 1, F.lit(False))
+    met = docs.join(F.broadcast(held), F.bitmap_bucket_number(place("doc_id")) == F.col("__bucket"), "left").withColumn("__hit", hit)
+    return met.where("__hit").select(*docs.columns), met.where("not __hit").select(*docs.columns)
+
+
+def likely(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of docs whose doc_id is in ids, a written table, and few others."""
+    return sifted(docs, ids)[0]
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int, where: str = "true") -> DataFrame:
