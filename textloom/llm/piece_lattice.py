@@ -4,23 +4,30 @@
    that follows another character, and between letters and others. The cut is checked against the model when it is loaded.
 2. Distinct words are exploded into substrings of at most the longest piece's length; an equi-join with the piece table (whose size
    the vocabulary bounds, so it is broadcast) leaves the edges. A character that is no piece is an edge of its UTF-8 byte pieces.
-3. Edges are grouped by word and folded with ``aggregate``. For a unigram model the fold is Viterbi: the path with the greatest sum
-   of scores, of equal ones that with longer pieces at its end. The public model is of BPE type: its scores are merge ranks, and the
-   path of the greatest sum is not what such a model means (it agreed with the library on 2 of 152 documents). There the fold
-   joins, again and again, the two neighbours whose edge has the greatest score, the leftmost of equal ones.
-4. Occurrences take their word's ids. Words above a count that at most FREQUENT words reach are broadcast; the others' occurrences
-   are shuffled to their words, so a frequent word lands in no single task.
+3. Edges are grouped by word and folded with ``aggregate``. The fold is Viterbi: the path with the greatest sum of the model's scores,
+   of equal ones that with longer pieces at its end. It holds the scores of the last places that an edge can reach, so a word
+   of any length takes the same few numbers a step; its back pointers are kept in chunks.
+4. Documents take their words' ids. Words above a count that at most FREQUENT words reach are broadcast, and whole runs of them are
+   encoded where the document lies. The other words, each of which stands less than (all occurrences / FREQUENT) times, are joined to
+   their ids. Texts never cross the network.
 
-Folding costs the cube of a word's length, so words longer than LONG characters are joined by a heap in Python, to the same result.
+The result has a row for each run of frequent words and one for each other word of a document: in order of ``word`` they give the
+document's ids and, decoded from the ids, its text. ``encode`` and ``decode`` give a row for each document.
 
-Defined cases: a null or empty text has no words and no ids. Equal rows get equal results. Rows with equal doc_id are one document
-in the digests of ``document_digests``; rows without doc_id are kept as one such. Columns other than doc_id and text are ignored.
+The public model is of BPE type. Its scores are merge ranks, and the library joins neighbours by rank instead of adding ranks, so its
+ids differ from the best path's (README has figures).
+
+Defined cases: a null or empty text has no words and gives one row with no ids and an empty text. Repeated rows give their rows again.
+A null doc_id stays null. Columns other than doc_id and text are ignored. The mark itself in a text is decoded as a space.
 """
 
 from __future__ import annotations
 
+from collections import Counter
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,9 +35,14 @@ from textloom.llm import common
 
 MARK = "▁"
 WORD = f"{MARK}*(?:\\p{{L}}+|[^\\p{{L}}{MARK}]+)|{MARK}+"
-FREQUENT, LONG = 1_000_000, 40
+FREQUENT = 250_000
 MODEL = "piece_bpe_32k.model"
-SPAN = "struct<start:int,stop:int,id:int>"
+#: An edge is one long: the place where it stops, its length, and the id of its piece.
+ID_BITS, LENGTH_BITS = 20, 8
+NO_PIECE = (1 << ID_BITS) - 1
+CHUNK = 256
+HELD_TOKENS = 200_000
+RUNS = "doc_id long, word int, n_words int, ids array<int>, text string"
 
 
 @dataclass(frozen=True)
@@ -39,11 +51,19 @@ class Pieces:
     byte_ids: list[int]
     unknown: float  # score of a character that is no piece
     longest: int
-    by_rank: bool  # a BPE model: scores are merge ranks
     texts: list[str]  # by id, for decoding
 
     def table(self, spark: SparkSession) -> DataFrame:
-        return spark.createDataFrame(self.rows, "piece string, id int, piece_score double")
+        return spark.createDataFrame([r[:2] for r in self.rows], "piece string, id int")
+
+    def scores(self) -> Column:
+        by_id = dict((i, s) for _, i, s in self.rows)
+        return F.from_json(F.lit(str([by_id.get(i, self.unknown) for i in range(max(by_id) + 1)])), "array<double>")
+
+    def hexes(self) -> Column:
+        """The bytes of each id, as hexadecimal digits."""
+        of_byte = {i: f"{b:02X}" for b, i in enumerate(self.byte_ids)}
+        return F.split(F.lit(",".join(of_byte.get(i) or t.encode().hex().upper() for i, t in enumerate(self.texts))), ",")
 
 
 def load(path: str = MODEL) -> Pieces:
@@ -58,165 +78,240 @@ def load(path: str = MODEL) -> Pieces:
         body = piece.lstrip(MARK)
         if MARK in body or len({c.isalpha() for c in body}) > 1:
             raise ValueError(f"piece {piece!r} crosses a cut between words")
+    longest = max(len(p) for p, *_ in rows)
+    if longest >> LENGTH_BITS or n >= NO_PIECE:
+        raise ValueError("pieces don't fit an edge")
     usual = [s for *_, s in rows if s > -1e8]
     byte_ids = [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
-    return Pieces(rows, byte_ids, min(usual) - 10, max(len(p) for p, *_ in rows), all(s == round(s) for *_, s in rows), [m.id_to_piece(i) for i in range(n)])
-
-
-def words_of(text: Column) -> Column:
-    marked = F.concat(F.lit(MARK), F.translate(text, " ", MARK))
-    return F.when(F.coalesce(text, F.lit("")) == "", F.array().cast("array<string>")).otherwise(F.regexp_extract_all(marked, F.lit(WORD), F.lit(0)))
+    return Pieces(rows, byte_ids, min(usual) - 10, longest, [m.id_to_piece(i) for i in range(n)])
 
 
 def edges(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, start, stop, id, edge_score): the lattice of each row's word. id is null for a character that is no piece."""
-    spark = words.sparkSession
-    n = F.char_length("word")
-    starts = words.select("word", F.explode(F.sequence(F.lit(1), n)).alias("start"))
-    room = F.least(n - F.col("start") + 1, F.lit(pieces.longest))
-    cut = starts.select("word", "start", F.explode(F.sequence(F.lit(1), room)).alias("length")).withColumn("part", F.substring("word", F.col("start"), F.col("length")))
+    """(word, edge): the lattice of each row's word, an edge as one long."""
+    stops = words.select("word", F.explode(F.sequence(F.lit(1), F.char_length("word"))).alias("stop"))
+    room = F.least(F.col("stop"), F.lit(pieces.longest))
+    cut = stops.select("word", "stop", F.explode(F.sequence(F.lit(1), room)).alias("length"))
+    cut = cut.withColumn("part", F.substring("word", F.col("stop") - F.col("length") + 1, F.col("length")))
     # The vocabulary bounds this side; the literal size check keeps a larger table from being broadcast.
-    table = pieces.table(spark)
+    table = pieces.table(words.sparkSession)
     met = cut.join(F.broadcast(table) if len(pieces.rows) <= 1 << 20 else table, F.col("part") == F.col("piece"), "left").where("id is not null or length = 1")
-    return met.select("word", (F.col("start") - 1).alias("start"), (F.col("start") - 1 + F.col("length")).alias("stop"), "id", F.coalesce("piece_score", F.lit(pieces.unknown)).alias("edge_score"))
-
-
-def best_paths(lattice: DataFrame) -> DataFrame:
-    """(word, path): path is the spans (start, stop, id) of the best way through each word's lattice."""
-    by_stop = lattice.groupBy("word", "stop").agg(F.collect_list(F.struct("start", "id", "edge_score")).alias("arcs"))
-    grouped = by_stop.groupBy("word").agg(F.array_sort(F.collect_list(F.struct("stop", "arcs"))).alias("steps"))
-    node = "struct<score:double,back:int,id:int>"
-    first = F.array(F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("back"), F.lit(None).cast("int").alias("id")).cast(node))
-
-    def step(best: Column, s: Column) -> Column:
-        # The greatest score; of equal ones the smaller start, that is the longer piece.
-        top = F.array_max(F.transform(s["arcs"], lambda a: F.struct((F.get(best, a["start"])["score"] + a["edge_score"]).alias("score"), (-a["start"]).alias("back"), a["id"].alias("id"))))
-        return F.concat(best, F.array(top.cast(node)))
-
-    nodes = grouped.select("word", F.aggregate("steps", first, step).alias("nodes"))
-    start = F.struct(F.array().cast(f"array<{SPAN}>").alias("path"), (F.size("nodes") - 1).alias("at"))
+    packed = F.shiftleft(F.shiftleft(F.col("stop").cast("long"), LENGTH_BITS).bitwiseOR(F.col("length").cast("long")), ID_BITS).bitwiseOR(F.coalesce("id", F.lit(NO_PIECE)).cast("long"))
+    return met.select("word", packed.alias("edge"))
+
+
+def _pushed(acc: Column, x: Column) -> tuple[Column, Column]:
+    """The full chunks and the open one of acc, with x at the end: appending copies a chunk, not all that came before."""
+    full = F.size(acc["open"]) >= CHUNK
+    chunks = F.when(full, F.concat(acc["chunks"], F.array(acc["open"]))).otherwise(acc["chunks"])
+    return chunks, F.when(full, F.array(x)).otherwise(F.concat(acc["open"], F.array(x)))
+
+
+def best_paths(lattice: DataFrame, pieces: Pieces) -> DataFrame:
+    """(word, path): path is the edges of the best way through each word's lattice, in order."""
+    grouped = lattice.groupBy(F.xxhash64("word").alias("h"), "word").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    scores, reach = pieces.scores(), pieces.longest + 1
+    kind = "struct<at:long,best:array<double>,chunks:array<array<long>>,open:array<long>>"
+    made = lambda kind, **c: F.struct(*(v.alias(k) for k, v in c.items())).cast(kind)
+    stop_of = lambda e: F.shiftright(e, ID_BITS + LENGTH_BITS)
+    length_of = lambda e: F.shiftright(e, ID_BITS).bitwiseAND(F.lit((1 << LENGTH_BITS) - 1))
+    none = {"chunks": F.array().cast("array<array<long>>"), "open": F.array().cast("array<long>")}
+
+    def step(acc: Column, e: Column) -> Column:
+        # best holds the scores of the last places, the newest at its end; edges come in order of their stop, short ones first.
+        new = stop_of(e) > acc["at"]
+        newest = F.size(acc["best"]) - 1
+        before = newest - (acc["at"] - (stop_of(e) - length_of(e))).cast("int")
+        id_ = e.bitwiseAND(F.lit(NO_PIECE)).cast("int")
+        score = F.get(acc["best"], before) + F.when(id_ == NO_PIECE, F.lit(pieces.unknown)).otherwise(F.get(scores, id_))
+        chunks, open_ = _pushed(acc, e)
+        kept = F.when(newest + 1 >= reach, F.slice(acc["best"], 2, reach - 1)).otherwise(acc["best"])
+        put = lambda a, x: F.concat(F.slice(a, 1, F.size(a) - 1), F.array(x))
+        ahead = made(kind, at=stop_of(e), best=F.concat(kept, F.array(score)), chunks=chunks, open=open_)
+        better = made(kind, at=acc["at"], best=put(acc["best"], score), chunks=acc["chunks"], open=put(acc["open"], e))
+        return F.when(new, ahead).when(score >= F.get(acc["best"], newest), better).otherwise(acc)
+
+    first = made(kind, at=F.lit(0).cast("long"), best=F.array(F.lit(0.0)), **none)
+    nodes = grouped.select("word", F.aggregate("edges", first, step).alias("n"))
+    back_kind = "struct<at:long,chunks:array<array<long>>,open:array<long>>"
 
     def back(acc: Column, _: Column) -> Column:
-        n = F.get(F.col("nodes"), acc["at"])
-        one = F.array(F.struct((-n["back"]).alias("start"), acc["at"].alias("stop"), n["id"].alias("id")).cast(SPAN))
-        return F.when(acc["at"] > 0, F.struct(F.concat(one, acc["path"]).alias("path"), (-n["back"]).alias("at"))).otherwise(acc)
-
-    return nodes.select("word", F.aggregate("nodes", start, back)["path"].alias("path"))
-
-
-def merged_paths(lattice: DataFrame) -> DataFrame:
-    """(word, path) like best_paths, by joining the neighbours of the greatest score first."""
-    key = F.col("start").cast("long") * (1 << 32) + F.col("stop")
-    arc = F.struct(key.alias("key"), F.struct("edge_score", "id").alias("value"))
-    grouped = lattice.groupBy("word").agg(F.map_from_entries(F.collect_list(arc)).alias("arcs"))
-    at = lambda i, j: F.col("arcs")[i.cast("long") * (1 << 32) + j]
-
-    def join(cuts: Column, _: Column) -> Column:
-        pairs = F.transform(F.slice(cuts, 1, F.size(cuts) - 2), lambda c, i: F.struct(at(c, F.get(cuts, i + 2))["edge_score"].alias("score"), (-i).alias("place")))
-        top = F.array_max(pairs)
-        return F.when((F.size(cuts) > 2) & top["score"].isNotNull(), F.filter(cuts, lambda c, i: i != 1 - top["place"])).otherwise(cuts)
-
-    n = F.char_length("word")
-    cuts = grouped.select("word", "arcs", F.aggregate(F.sequence(F.lit(1), n), F.sequence(F.lit(0), n), join).alias("cuts"))
-    spans = F.transform(F.slice("cuts", 1, F.size("cuts") - 1), lambda c, i: F.struct(c.alias("start"), F.get(F.col("cuts"), i + 1).alias("stop"), at(c, F.get(F.col("cuts"), i + 1))["id"].alias("id")).cast(SPAN))
-    return cuts.select("word", spans.alias("path"))
-
-
-def merged_by_heap(word: str, table: dict[str, tuple[int, float]], byte_ids: list[int]) -> tuple[list[int], int]:
-    """(ids, characters that are no piece): the same joins over a linked list."""
-    import heapq
-
-    end, nxt, prv = list(range(1, len(word) + 1)), list(range(1, len(word) + 1)), list(range(-1, len(word) - 1))
-    alive, heap = [True] * len(word), []
-
-    def offer(i: int) -> None:
-        if i >= 0 and (j := nxt[i]) < len(word) and (hit := table.get(word[i : end[j]])):
-            heapq.heappush(heap, (-hit[1], i, end[i], end[j]))
-
-    for i in range(len(word) - 1):
-        offer(i)
-    while heap:
-        _, i, middle, stop = heapq.heappop(heap)
-        if alive[i] and end[i] == middle and (j := nxt[i]) < len(word) and end[j] == stop:
-            alive[j], end[i], nxt[i] = False, stop, nxt[j]
-            if nxt[i] < len(word):
-                prv[nxt[i]] = i
-            offer(prv[i])
-            offer(i)
-    ids, unknown = [], 0
-    for i in range(len(word)):
-        if alive[i]:
-            hit = table.get(word[i : end[i]])
-            unknown += hit is None
-            ids += [hit[0]] if hit else [byte_ids[b] for b in word[i : end[i]].encode()]
-    return ids, unknown
+        n, k = F.col("n"), (acc["at"] - 1).cast("int")
+        chunk = F.floor(k / CHUNK).cast("int")
+        e = F.when(chunk < F.size(n["chunks"]), F.get(F.get(n["chunks"], chunk), k - chunk * CHUNK)).otherwise(F.get(n["open"], k - F.size(n["chunks"]) * CHUNK))
+        chunks, open_ = _pushed(acc, e)
+        return F.when(acc["at"] > 0, made(back_kind, at=acc["at"] - length_of(e), chunks=chunks, open=open_)).otherwise(acc)
+
+    end = made(back_kind, at=F.col("n")["at"], **none)
+    walked = nodes.select("word", F.aggregate(F.sequence(F.lit(1), F.col("n")["at"].cast("int")), end, back).alias("b"))
+    return walked.select("word", F.reverse(F.concat(F.flatten(F.col("b")["chunks"]), F.col("b")["open"])).alias("path"))
 
 
 def encoded_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, ids, n_fallback) of distinct words."""
-    byte_ids = F.array(*(F.lit(i) for i in pieces.byte_ids))
+    """(word, ids, text) of distinct words; text is decoded from ids."""
+    byte_ids = F.from_json(F.lit(str(pieces.byte_ids)), "array<int>")
 
-    def ids(s: Column) -> Column:
-        raw = F.hex(F.encode(F.substring(F.col("word"), s["start"] + 1, s["stop"] - s["start"]), "utf-8"))
+    def ids(e: Column) -> Column:
+        id_ = e.bitwiseAND(F.lit(NO_PIECE)).cast("int")
+        raw = F.hex(F.encode(F.substring(F.col("word"), F.shiftright(e, ID_BITS + LENGTH_BITS).cast("int"), F.lit(1)), "utf-8"))
         pairs = F.transform(F.sequence(F.lit(0), (F.length(raw) / 2 - 1).cast("int")), lambda i: F.get(byte_ids, F.conv(F.substring(raw, (2 * i + 1).cast("int"), F.lit(2)), 16, 10).cast("int")))
-        return F.when(s["id"].isNotNull(), F.array(s["id"])).otherwise(pairs)
-
-    short = words.where(F.char_length("word") <= LONG) if pieces.by_rank else words
-    paths = (merged_paths if pieces.by_rank else best_paths)(edges(short, pieces))
-    folded = paths.select("word", F.flatten(F.transform("path", ids)).alias("ids"), F.size(F.filter("path", lambda s: s["id"].isNull())).alias("n_fallback"))
-    if not pieces.by_rank:
-        return folded
-    table = {p: (i, s) for p, i, s in pieces.rows}
-
-    def rows(docs):
-        for word, _ in docs:
-            yield word, *merged_by_heap(word, table, pieces.byte_ids)
-
-    long = words.where(F.char_length("word") > LONG).select("word", F.lit("").alias("text"))
-    return folded.unionAll(common.map_docs(long, rows, "word string, ids array<int>, n_fallback int", "word"))
-
-
-def encode(docs: DataFrame, pieces: Pieces) -> DataFrame:
-    """(doc_id, ids): the ids of each row's text, in order. Rows need distinct doc_ids."""
-    words = common.as_docs(docs).select("doc_id", F.posexplode_outer(words_of(F.col("text"))).alias("pos", "word"))
-    table = encoded_words(words.where("word is not null").select("word").distinct(), pieces).select(F.col("word").alias("k"), "ids")
-    met = words.join(table, F.col("word") == F.col("k"), "left")
-    return met.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("pos", "ids"))), lambda x: F.coalesce(x["ids"], F.array().cast("array<int>")))).alias("ids"))
-
-
-def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:
-    """(doc_id, text) from (doc_id, ids): byte pieces join to characters, marks become spaces, the leading one goes."""
-    of_byte = {i: f"{b:02X}" for b, i in enumerate(pieces.byte_ids)}
-    hexes = F.array(*(F.lit(of_byte.get(i) or t.encode().hex().upper()) for i, t in enumerate(pieces.texts)))
-    text = F.decode(F.unhex(F.array_join(F.transform("ids", lambda i: F.get(hexes, i)), "")), "utf-8")
-    return encoded.select("doc_id", F.substring(F.translate(text, MARK, " "), 2, 1 << 30).alias("text"))
-
-
-def document_digests(docs: DataFrame, pieces: Pieces, frequent: int = FREQUENT) -> DataFrame:
-    """(doc_id, n_words, n_pieces, n_fallback, ids_digest): ids_digest is the exclusive or of hashes of (position, ids) of the words."""
+        return F.when(id_ == NO_PIECE, pairs).otherwise(F.array(id_))
+
+    found = best_paths(edges(words, pieces), pieces).select("word", F.flatten(F.transform("path", ids)).alias("ids"))
+    return found.withColumn("text", decoded(F.col("ids"), pieces))
+
+
+def decoded(ids: Column, pieces: Pieces) -> Column:
+    """The text of ids: byte pieces join to characters, marks become spaces."""
+    hexes = pieces.hexes()
+    return F.translate(F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(hexes, i)), "")), "utf-8"), MARK, " ")
+
+
+_pattern = []
+
+
+def cut_words(text: str) -> list[str]:
+    """The words of a text that has its marks."""
+    if not _pattern:
+        import regex
+
+        _pattern.append(regex.compile(WORD))
+    return _pattern[0].findall(text)
+
+
+def tokens_of(text: str) -> list[str] | None:
+    """Tokens between single spaces, which cut into words alone; None where spaces come otherwise, so that words may span them."""
+    return text.split(" ") if "  " not in text and MARK not in text and text[0] != " " and text[-1] != " " else None
+
+
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n) of all distinct words; tokens are counted where they lie first."""
+
+    def rows(docs: Iterable[tuple]) -> Iterator[tuple]:
+        held: Counter[str] = Counter()
+        words: Counter[str] = Counter()
+
+        def flushed() -> Iterator[tuple]:
+            for token, n in held.items():
+                for w in cut_words(MARK + token):
+                    words[w] += n
+            yield from words.items()
+            held.clear()
+            words.clear()
+
+        for (text,) in docs:
+            if text:
+                text = text.decode("utf-8", "replace")
+                if (tokens := tokens_of(text)) is None:
+                    words.update(cut_words(MARK + text.replace(" ", MARK)))
+                else:
+                    held.update(tokens)
+                if len(held) + len(words) > HELD_TOKENS:
+                    yield from flushed()
+        yield from flushed()
+
+    return common.map_docs(docs, rows, "word string, n long", batch=20_000).groupBy("word").agg(F.sum("n").alias("n"))
+
+
+class Known:
+    """Ids and texts of frequent words, and through them of tokens. A token with another word has None as ids."""
+
+    def __init__(self, table: dict[str, tuple[bytes, str]]):
+        self.table = table
+        self.ids: dict[str, bytes | None] = {}
+        self.texts: dict[str, str] = {}
+        self.sizes: dict[str, int] = {}
+
+    def learn(self, tokens: Iterable[str]) -> None:
+        if len(self.ids) > 2 * HELD_TOKENS:
+            self.ids, self.texts, self.sizes = {}, {}, {}
+        for t in tokens:
+            if t not in self.ids:
+                got = [self.table.get(w) for w in cut_words(MARK + t)]
+                whole = None not in got
+                self.ids[t] = b"".join(x for x, _ in got) if whole else None
+                self.texts[t] = "".join(x for _, x in got) if whole else ""
+                self.sizes[t] = len(got)
+
+    def parts(self, text: str) -> Iterator[tuple[int, int, bytes | None, str]]:
+        """(first word, words, ids, text) of each run of frequent words; (place, 1, None, word) of each other one."""
+        tokens = tokens_of(text)
+        if tokens is not None:
+            self.learn(kinds := set(tokens))
+            if all(self.ids[t] is not None for t in kinds):
+                yield 0, sum(map(self.sizes.__getitem__, tokens)), b"".join(map(self.ids.__getitem__, tokens)), "".join(map(self.texts.__getitem__, tokens))
+                return
+        ids, texts, first, at = [], [], 0, 0
+        for t in tokens if tokens is not None else [None]:
+            if t is not None and (known := self.ids[t]) is not None:
+                ids.append(known)
+                texts.append(self.texts[t])
+                at += self.sizes[t]
+                continue
+            for w in cut_words(MARK + (t if t is not None else text.replace(" ", MARK))):
+                if got := self.table.get(w):
+                    ids.append(got[0])
+                    texts.append(got[1])
+                else:
+                    if at > first:
+                        yield first, at - first, b"".join(ids), "".join(texts)
+                    yield at, 1, None, w
+                    ids, texts, first = [], [], at + 1
+                at += 1
+        if at > first:
+            yield first, at - first, b"".join(ids), "".join(texts)
+
+
+def document_runs(docs: DataFrame, pieces: Pieces, frequent: int = FREQUENT) -> DataFrame:
+    """(doc_id, word, n_words, ids, text): runs of words with their ids; word is the place of a run's first one."""
     docs = common.as_docs(docs)
-    counts = docs.select(F.explode(words_of(F.col("text"))).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
-    spread = encoded_words(counts.select("word"), pieces)
-    # The counts stay with the words, which are dealt by word already.
-    table = common.cut(spread.join(counts, "word").select(F.xxhash64("word").alias("k1"), F.hash("word").alias("k2"), F.xxhash64("ids").alias("h"), F.size("ids").alias("size"), "n_fallback", "n"), "words")
-    levels = table.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("words")).collect()  # at most 100,000 rows
+    spark = docs.sparkSession
+    counts = common.cut(word_counts(docs), "words")
+    levels = counts.groupBy(F.least("n", F.lit(100_000)).alias("n")).agg(F.count("*").alias("words")).collect()  # at most 100,000 rows
     least, held = 1 << 62, 0
     for r in sorted(levels, key=lambda r: -r.n):
         held += r.words
         if held > frequent:
             break
         least = r.n
-    keys = ["k1", "k2"]
-    value = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("size", "n_fallback")]
-    found = docs.select("doc_id", F.posexplode_outer(words_of(F.col("text"))).alias("pos", "word")).select("doc_id", "pos", F.xxhash64("word").alias("k1"), F.hash("word").alias("k2"), F.col("word").isNotNull().alias("real"))
-    often = table.where(f"n >= {least}").drop("n")
-    met = found.join(F.broadcast(often), keys, "left").where("not real or h is not null")
-    rest = found.join(F.broadcast(often.select(*keys)), keys, "left_anti").where("real").join(table.where(f"n < {least}").drop("n"), keys)
-    sums = [F.sum(F.col("real").cast("long")).alias("n_words"), F.sum("size").alias("n_pieces"), F.sum("n_fallback").alias("n_fallback"), F.bit_xor("x").alias("ids_digest")]
-    rows = lambda d: d.select("doc_id", "real", *value, F.when(F.col("real"), F.xxhash64("pos", "h")).otherwise(F.lit(0)).alias("x")).groupBy("doc_id").agg(*sums)
-    both = rows(met).unionAll(rows(rest))
-    return both.groupBy("doc_id").agg(*(F.sum(c).alias(c) for c in ("n_words", "n_pieces", "n_fallback")), F.bit_xor("ids_digest").alias("ids_digest"))
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    table = common.cut(encoded_words(counts.select("word").repartition(n, "word"), pieces).join(counts, "word"), "pieces-of-words")
+    often = table.where(f"n >= {least}").select("word", "ids", "text").toArrow()
+    known = spark.sparkContext.broadcast({w: (np.array(i, np.int32).tobytes(), t) for w, i, t in zip(*(often.column(k).to_pylist() for k in range(3)), strict=True)})
+
+    def runs(docs: Iterable[tuple]) -> Iterator[tuple]:
+        table = Known(known.value)
+        for doc_id, text in docs:
+            if not text:
+                yield doc_id, 0, 0, [], ""
+                continue
+            for first, words, ids, t in table.parts(text.decode("utf-8", "replace")):
+                if ids is not None:
+                    yield doc_id, first, words, np.frombuffer(ids, np.int32), t
+
+    def others(docs: Iterable[tuple]) -> Iterator[tuple]:
+        table = Known(known.value)
+        for doc_id, text in docs:
+            for first, _, ids, t in table.parts(text.decode("utf-8", "replace")) if text else ():
+                if ids is None:
+                    yield doc_id, first, t
+
+    rare = common.map_docs(docs, others, "doc_id long, word int, w string", "doc_id", batch=20_000)
+    spelled = table.where(f"n < {least}").select(F.col("word").alias("w"), "ids", "text")
+    rest = rare.join(spelled, "w").select("doc_id", "word", F.lit(1).alias("n_words"), "ids", "text")
+    return common.map_docs(docs, runs, RUNS, "doc_id", batch=200).unionAll(rest)
+
+
+def encode(docs: DataFrame, pieces: Pieces, frequent: int = FREQUENT) -> DataFrame:
+    """(doc_id, ids): the ids of each document's text, in order. Rows need distinct doc_ids."""
+    runs = document_runs(docs, pieces, frequent)
+    return runs.groupBy("doc_id").agg(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("word", "ids"))), lambda x: x["ids"])).alias("ids"))
+
+
+def decode(encoded: DataFrame, pieces: Pieces) -> DataFrame:
+    """(doc_id, text) from (doc_id, ids); the leading mark goes."""
+    return encoded.select("doc_id", F.substring(decoded(F.col("ids"), pieces), 2, (1 << 31) - 1).alias("text"))
 
 
 def op6_piece_lattice(spark, sf_dir: str) -> DataFrame:
-    return document_digests(common.table(spark, sf_dir, "documents"), load())
+    runs = document_runs(common.table(spark, sf_dir, "documents"), load())
+    return runs.select("doc_id", "word", "n_words", F.size("ids").alias("n_pieces"), "ids", "text")
