@@ -5,8 +5,8 @@
 2. Distinct words are exploded into substrings of at most the longest piece's length; an equi-join with the piece table (whose size
    the vocabulary bounds, so it is broadcast) leaves the edges. A character that is no piece is an edge of its UTF-8 byte pieces.
 3. Edges are grouped by word and folded with ``aggregate``. The fold is Viterbi: the path with the greatest sum of the model's scores,
-   of equal ones that with longer pieces at its end. It holds the scores of the last places that an edge can reach, so a word
-   of any length takes the same few numbers a step; its back pointers are kept in chunks.
+   of equal ones that with longer pieces at its end. One fold over the edges leaves the best score of each place, a second one
+   back over them the path, whose edges are those that add up to these scores.
 4. Documents take their words' ids. Words above a count that at most FREQUENT words reach are broadcast, and whole runs of them are
    encoded where the document lies. The other words, each of which stands less than (all occurrences / FREQUENT) times, are joined to
    their ids. Texts never cross the network.
@@ -17,17 +17,21 @@ document's ids and, decoded from the ids, its text. ``encode`` and ``decode`` gi
 The public model is of BPE type. Its scores are merge ranks, and the library joins neighbours by rank instead of adding ranks, so its
 ids differ from the best path's (README has figures).
 
+A word is held in a row with its edges, up to the longest piece's length times its own, and the fold copies a number for each place
+before each other one; that is nothing for words, and some seconds for a run of 100,000 letters.
+
 Defined cases: a null or empty text has no words and gives one row with no ids and an empty text. Repeated rows give their rows again.
 A null doc_id stays null. Columns other than doc_id and text are ignored. The mark itself in a text is decoded as a space.
 """
 
 from __future__ import annotations
 
-from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,9 +43,9 @@ FREQUENT = 250_000
 MODEL = "piece_bpe_32k.model"
 #: An edge is one long: the place where it stops, its length, and the id of its piece.
 ID_BITS, LENGTH_BITS = 20, 8
-NO_PIECE = (1 << ID_BITS) - 1
-CHUNK = 256
-HELD_TOKENS = 200_000
+ID = (1 << ID_BITS) - 1
+#: Bytes of text that are cut into words at once.
+BATCH_BYTES = 4 << 20
 RUNS = "doc_id long, word int, n_words int, ids array<int>, text string"
 
 
@@ -56,9 +60,14 @@ class Pieces:
     def table(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame([r[:2] for r in self.rows], "piece string, id int")
 
+    @property
+    def no_piece(self) -> int:
+        """Stands for the id of a character that is no piece."""
+        return len(self.texts)
+
     def scores(self) -> Column:
         by_id = dict((i, s) for _, i, s in self.rows)
-        return F.from_json(F.lit(str([by_id.get(i, self.unknown) for i in range(max(by_id) + 1)])), "array<double>")
+        return F.from_json(F.lit(str([by_id.get(i, self.unknown) for i in range(self.no_piece + 1)])), "array<double>")
 
     def hexes(self) -> Column:
         """The bytes of each id, as hexadecimal digits."""
@@ -79,7 +88,7 @@ def load(path: str = MODEL) -> Pieces:
         if MARK in body or len({c.isalpha() for c in body}) > 1:
             raise ValueError(f"piece {piece!r} crosses a cut between words")
     longest = max(len(p) for p, *_ in rows)
-    if longest >> LENGTH_BITS or n >= NO_PIECE:
+    if longest >> LENGTH_BITS or n >= ID:
         raise ValueError("pieces don't fit an edge")
     usual = [s for *_, s in rows if s > -1e8]
     byte_ids = [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
@@ -95,55 +104,41 @@ def edges(words: DataFrame, pieces: Pieces) -> DataFrame:
     # The vocabulary bounds this side; the literal size check keeps a larger table from being broadcast.
     table = pieces.table(words.sparkSession)
     met = cut.join(F.broadcast(table) if len(pieces.rows) <= 1 << 20 else table, F.col("part") == F.col("piece"), "left").where("id is not null or length = 1")
-    packed = F.shiftleft(F.shiftleft(F.col("stop").cast("long"), LENGTH_BITS).bitwiseOR(F.col("length").cast("long")), ID_BITS).bitwiseOR(F.coalesce("id", F.lit(NO_PIECE)).cast("long"))
+    packed = F.shiftleft(F.shiftleft(F.col("stop").cast("long"), LENGTH_BITS).bitwiseOR(F.col("length").cast("long")), ID_BITS).bitwiseOR(F.coalesce("id", F.lit(pieces.no_piece)).cast("long"))
     return met.select("word", packed.alias("edge"))
 
 
-def _pushed(acc: Column, x: Column) -> tuple[Column, Column]:
-    """The full chunks and the open one of acc, with x at the end: appending copies a chunk, not all that came before."""
-    full = F.size(acc["open"]) >= CHUNK
-    chunks = F.when(full, F.concat(acc["chunks"], F.array(acc["open"]))).otherwise(acc["chunks"])
-    return chunks, F.when(full, F.array(x)).otherwise(F.concat(acc["open"], F.array(x)))
+def _parts(e: Column) -> tuple[Column, Column, Column]:
+    """(stop, length, id) of an edge."""
+    return F.shiftright(e, ID_BITS + LENGTH_BITS).cast("int"), F.shiftright(e, ID_BITS).bitwiseAND(F.lit((1 << LENGTH_BITS) - 1)).cast("int"), e.bitwiseAND(F.lit(ID)).cast("int")
 
 
 def best_paths(lattice: DataFrame, pieces: Pieces) -> DataFrame:
     """(word, path): path is the edges of the best way through each word's lattice, in order."""
-    grouped = lattice.groupBy(F.xxhash64("word").alias("h"), "word").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
-    scores, reach = pieces.scores(), pieces.longest + 1
-    kind = "struct<at:long,best:array<double>,chunks:array<array<long>>,open:array<long>>"
-    made = lambda kind, **c: F.struct(*(v.alias(k) for k, v in c.items())).cast(kind)
-    stop_of = lambda e: F.shiftright(e, ID_BITS + LENGTH_BITS)
-    length_of = lambda e: F.shiftright(e, ID_BITS).bitwiseAND(F.lit((1 << LENGTH_BITS) - 1))
-    none = {"chunks": F.array().cast("array<array<long>>"), "open": F.array().cast("array<long>")}
+    grouped = lattice.groupBy("word").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    scores = pieces.scores()
+    kind = "struct<best:array<double>,now:double>"
 
     def step(acc: Column, e: Column) -> Column:
-        # best holds the scores of the last places, the newest at its end; edges come in order of their stop, short ones first.
-        new = stop_of(e) > acc["at"]
-        newest = F.size(acc["best"]) - 1
-        before = newest - (acc["at"] - (stop_of(e) - length_of(e))).cast("int")
-        id_ = e.bitwiseAND(F.lit(NO_PIECE)).cast("int")
-        score = F.get(acc["best"], before) + F.when(id_ == NO_PIECE, F.lit(pieces.unknown)).otherwise(F.get(scores, id_))
-        chunks, open_ = _pushed(acc, e)
-        kept = F.when(newest + 1 >= reach, F.slice(acc["best"], 2, reach - 1)).otherwise(acc["best"])
-        put = lambda a, x: F.concat(F.slice(a, 1, F.size(a) - 1), F.array(x))
-        ahead = made(kind, at=stop_of(e), best=F.concat(kept, F.array(score)), chunks=chunks, open=open_)
-        better = made(kind, at=acc["at"], best=put(acc["best"], score), chunks=acc["chunks"], open=put(acc["open"], e))
-        return F.when(new, ahead).when(score >= F.get(acc["best"], newest), better).otherwise(acc)
-
-    first = made(kind, at=F.lit(0).cast("long"), best=F.array(F.lit(0.0)), **none)
-    nodes = grouped.select("word", F.aggregate("edges", first, step).alias("n"))
-    back_kind = "struct<at:long,chunks:array<array<long>>,open:array<long>>"
-
-    def back(acc: Column, _: Column) -> Column:
-        n, k = F.col("n"), (acc["at"] - 1).cast("int")
-        chunk = F.floor(k / CHUNK).cast("int")
-        e = F.when(chunk < F.size(n["chunks"]), F.get(F.get(n["chunks"], chunk), k - chunk * CHUNK)).otherwise(F.get(n["open"], k - F.size(n["chunks"]) * CHUNK))
-        chunks, open_ = _pushed(acc, e)
-        return F.when(acc["at"] > 0, made(back_kind, at=acc["at"] - length_of(e), chunks=chunks, open=open_)).otherwise(acc)
-
-    end = made(back_kind, at=F.col("n")["at"], **none)
-    walked = nodes.select("word", F.aggregate(F.sequence(F.lit(1), F.col("n")["at"].cast("int")), end, back).alias("b"))
-    return walked.select("word", F.reverse(F.concat(F.flatten(F.col("b")["chunks"]), F.col("b")["open"])).alias("path"))
+        # Edges come in order of their stop, and at each stop there is one of length 1, which comes first and closes the place before.
+        stop, length, i = _parts(e)
+        score = F.get(scores, i)
+        ahead = F.struct(F.concat(acc["best"], F.array(acc["now"])).alias("best"), (acc["now"] + score).alias("now"))
+        also = F.struct(acc["best"].alias("best"), F.greatest(acc["now"], F.get(acc["best"], stop - length) + score).alias("now"))
+        return F.when(length == 1, ahead).otherwise(also)
+
+    first = F.struct(F.array().cast("array<double>").alias("best"), F.lit(0.0).alias("now")).cast(kind)
+    summed = grouped.select("word", "edges", F.aggregate("edges", first, step, lambda acc: F.concat(acc["best"], F.array(acc["now"]))).alias("best"))
+    back_kind = "struct<at:int,path:array<long>>"
+
+    def back(acc: Column, e: Column) -> Column:
+        # Long edges of a stop come first here; the first one that adds up to the stop's score is on the path.
+        stop, length, i = _parts(e)
+        adds_up = (stop == acc["at"]) & (F.get(F.col("best"), stop - length) + F.get(scores, i) == F.get(F.col("best"), stop))
+        return F.when(adds_up, F.struct((stop - length).alias("at"), F.concat(acc["path"], F.array(e)).alias("path"))).otherwise(acc)
+
+    end = F.struct((F.size("best") - 1).alias("at"), F.array().cast("array<long>").alias("path")).cast(back_kind)
+    return summed.select("word", F.aggregate(F.reverse("edges"), end, back, lambda acc: F.reverse(acc["path"])).alias("path"))
 
 
 def encoded_words(words: DataFrame, pieces: Pieces) -> DataFrame:
@@ -151,10 +146,10 @@ def encoded_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     byte_ids = F.from_json(F.lit(str(pieces.byte_ids)), "array<int>")
 
     def ids(e: Column) -> Column:
-        id_ = e.bitwiseAND(F.lit(NO_PIECE)).cast("int")
-        raw = F.hex(F.encode(F.substring(F.col("word"), F.shiftright(e, ID_BITS + LENGTH_BITS).cast("int"), F.lit(1)), "utf-8"))
+        stop, _, id_ = _parts(e)
+        raw = F.hex(F.encode(F.substring(F.col("word"), stop, F.lit(1)), "utf-8"))
         pairs = F.transform(F.sequence(F.lit(0), (F.length(raw) / 2 - 1).cast("int")), lambda i: F.get(byte_ids, F.conv(F.substring(raw, (2 * i + 1).cast("int"), F.lit(2)), 16, 10).cast("int")))
-        return F.when(id_ == NO_PIECE, pairs).otherwise(F.array(id_))
+        return F.when(id_ == pieces.no_piece, pairs).otherwise(F.array(id_))
 
     found = best_paths(edges(words, pieces), pieces).select("word", F.flatten(F.transform("path", ids)).alias("ids"))
     return found.withColumn("text", decoded(F.col("ids"), pieces))
@@ -178,87 +173,94 @@ def cut_words(text: str) -> list[str]:
     return _pattern[0].findall(text)
 
 
-def tokens_of(text: str) -> list[str] | None:
-    """Tokens between single spaces, which cut into words alone; None where spaces come otherwise, so that words may span them."""
-    return text.split(" ") if "  " not in text and MARK not in text and text[0] != " " and text[-1] != " " else None
+def _cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    """(words of each text, code of each word in order, distinct words by code) of texts without nulls.
+
+    Where single spaces stand between the tokens of a text, tokens are cut apart from each other, a distinct one once.
+    """
+    plain = pc.invert(pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, MARK)), pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " "))))
+    plain = pc.and_(plain, pc.greater(pc.binary_length(texts), 0)).to_numpy(zero_copy_only=False)
+    words, codes, distinct = _cut_plain(texts.filter(pa.array(plain)))
+    if plain.all():
+        return words, codes, distinct
+    sizes, parts, at = np.zeros(len(texts), np.int64), [], 0
+    more: dict[str, int] = {}
+    known = {w: i for i, w in enumerate(distinct.to_pylist())}
+    rows = iter(words.tolist())
+    for i, ok in enumerate(plain.tolist()):
+        if ok:
+            sizes[i] = next(rows)
+            parts.append(codes[at : at + sizes[i]])
+            at += sizes[i]
+        elif text := texts[i].as_py():
+            own = cut_words(MARK + text.replace(" ", MARK))
+            sizes[i] = len(own)
+            parts.append(np.array([known[w] if w in known else more.setdefault(w, len(known) + len(more)) for w in own], np.int64))
+    return sizes, np.concatenate([np.zeros(0, np.int64), *parts]), pa.concat_arrays([distinct, pa.array(list(more), pa.string())])
+
+
+def _cut_plain(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
+    lists = pc.split_pattern(texts, " ")
+    tokens = lists.flatten().dictionary_encode()
+    # Marks stand at the beginnings of tokens alone, so the words of all distinct tokens are found in one string.
+    found = pa.array(cut_words(MARK + MARK.join(tokens.dictionary.to_pylist())) if len(tokens.dictionary) else [], pa.string())
+    opens = np.flatnonzero(pc.starts_with(found, MARK).to_numpy(zero_copy_only=False))
+    encoded = found.dictionary_encode()
+    of_token = encoded.indices.to_numpy()
+    sizes = np.diff(np.append(opens, len(found)))
+    token = tokens.indices.to_numpy()
+    codes = of_token[_ranges(opens[token], sizes[token])] if len(token) else np.zeros(0, np.int64)
+    ends = np.concatenate([[0], np.cumsum(sizes[token])])
+    offsets = lists.offsets.to_numpy() - (lists.offsets[0].as_py() if len(lists) else 0)
+    return np.diff(ends[offsets]), codes, encoded.dictionary
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """starts[0], starts[0] + 1, ... sizes[0] of them, then those of starts[1], ..."""
+    ends = np.cumsum(sizes)
+    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+
+
+def _pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
+    """(batch, texts without nulls) of some BATCH_BYTES bytes each."""
+    for b in batches:
+        texts = pc.fill_null(b.column("text"), "")
+        ends = np.cumsum(pc.binary_length(texts).to_numpy())
+        cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(BATCH_BYTES, ends[-1] if len(ends) else 0, BATCH_BYTES)) + 1, [len(ends)]]))
+        for a, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            yield b.slice(a, e - a), texts.slice(a, e - a)
 
 
 def word_counts(docs: DataFrame) -> DataFrame:
-    """(word, n) of all distinct words; tokens are counted where they lie first."""
-
-    def rows(docs: Iterable[tuple]) -> Iterator[tuple]:
-        held: Counter[str] = Counter()
-        words: Counter[str] = Counter()
-
-        def flushed() -> Iterator[tuple]:
-            for token, n in held.items():
-                for w in cut_words(MARK + token):
-                    words[w] += n
-            yield from words.items()
-            held.clear()
-            words.clear()
-
-        for (text,) in docs:
-            if text:
-                text = text.decode("utf-8", "replace")
-                if (tokens := tokens_of(text)) is None:
-                    words.update(cut_words(MARK + text.replace(" ", MARK)))
-                else:
-                    held.update(tokens)
-                if len(held) + len(words) > HELD_TOKENS:
-                    yield from flushed()
-        yield from flushed()
-
-    return common.map_docs(docs, rows, "word string, n long", batch=20_000).groupBy("word").agg(F.sum("n").alias("n"))
+    """(word, n) of all distinct words; they are counted where they lie first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, texts in _pieces_of(batches):
+            _, codes, distinct = _cut(texts)
+            yield pa.RecordBatch.from_arrays([distinct, pa.array(np.bincount(codes, minlength=len(distinct)))], ["word", "n"])
 
+    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
+
+@dataclass(frozen=True)
 class Known:
-    """Ids and texts of frequent words, and through them of tokens. A token with another word has None as ids."""
-
-    def __init__(self, table: dict[str, tuple[bytes, str]]):
-        self.table = table
-        self.ids: dict[str, bytes | None] = {}
-        self.texts: dict[str, str] = {}
-        self.sizes: dict[str, int] = {}
-
-    def learn(self, tokens: Iterable[str]) -> None:
-        if len(self.ids) > 2 * HELD_TOKENS:
-            self.ids, self.texts, self.sizes = {}, {}, {}
-        for t in tokens:
-            if t not in self.ids:
-                got = [self.table.get(w) for w in cut_words(MARK + t)]
-                whole = None not in got
-                self.ids[t] = b"".join(x for x, _ in got) if whole else None
-                self.texts[t] = "".join(x for _, x in got) if whole else ""
-                self.sizes[t] = len(got)
-
-    def parts(self, text: str) -> Iterator[tuple[int, int, bytes | None, str]]:
-        """(first word, words, ids, text) of each run of frequent words; (place, 1, None, word) of each other one."""
-        tokens = tokens_of(text)
-        if tokens is not None:
-            self.learn(kinds := set(tokens))
-            if all(self.ids[t] is not None for t in kinds):
-                yield 0, sum(map(self.sizes.__getitem__, tokens)), b"".join(map(self.ids.__getitem__, tokens)), "".join(map(self.texts.__getitem__, tokens))
-                return
-        ids, texts, first, at = [], [], 0, 0
-        for t in tokens if tokens is not None else [None]:
-            if t is not None and (known := self.ids[t]) is not None:
-                ids.append(known)
-                texts.append(self.texts[t])
-                at += self.sizes[t]
-                continue
-            for w in cut_words(MARK + (t if t is not None else text.replace(" ", MARK))):
-                if got := self.table.get(w):
-                    ids.append(got[0])
-                    texts.append(got[1])
-                else:
-                    if at > first:
-                        yield first, at - first, b"".join(ids), "".join(texts)
-                    yield at, 1, None, w
-                    ids, texts, first = [], [], at + 1
-                at += 1
-        if at > first:
-            yield first, at - first, b"".join(ids), "".join(texts)
+    """Frequent words with their ids, one after another, and texts."""
+
+    words: pa.Array
+    ids: np.ndarray
+    first: np.ndarray
+    sizes: np.ndarray
+    texts: pa.Array
+
+    @staticmethod
+    def of(table: pa.Table) -> Known:
+        lists = table.column("ids").combine_chunks()
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        return Known(table.column("word").combine_chunks(), lists.flatten().to_numpy(), np.cumsum(sizes) - sizes, sizes, table.column("text").combine_chunks())
+
+    def places(self, distinct: pa.Array) -> np.ndarray:
+        """The place of each word here, or -1."""
+        return pc.fill_null(pc.index_in(distinct, self.words), -1).to_numpy()
 
 
 def document_runs(docs: DataFrame, pieces: Pieces, frequent: int = FREQUENT) -> DataFrame:
@@ -274,31 +276,46 @@ def document_runs(docs: DataFrame, pieces: Pieces, frequent: int = FREQUENT) ->
             break
         least = r.n
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = common.cut(encoded_words(counts.select("word").repartition(n, "word"), pieces).join(counts, "word"), "pieces-of-words")
-    often = table.where(f"n >= {least}").select("word", "ids", "text").toArrow()
-    known = spark.sparkContext.broadcast({w: (np.array(i, np.int32).tobytes(), t) for w, i, t in zip(*(often.column(k).to_pylist() for k in range(3)), strict=True)})
-
-    def runs(docs: Iterable[tuple]) -> Iterator[tuple]:
-        table = Known(known.value)
-        for doc_id, text in docs:
-            if not text:
-                yield doc_id, 0, 0, [], ""
-                continue
-            for first, words, ids, t in table.parts(text.decode("utf-8", "replace")):
-                if ids is not None:
-                    yield doc_id, first, words, np.frombuffer(ids, np.int32), t
-
-    def others(docs: Iterable[tuple]) -> Iterator[tuple]:
-        table = Known(known.value)
-        for doc_id, text in docs:
-            for first, _, ids, t in table.parts(text.decode("utf-8", "replace")) if text else ():
-                if ids is None:
-                    yield doc_id, first, t
-
-    rare = common.map_docs(docs, others, "doc_id long, word int, w string", "doc_id", batch=20_000)
+    table = common.cut(encoded_words(counts.select("word").repartition(n, "word"), pieces).join(counts, "word"), "pieces-of-words", [counts])
+    known = spark.sparkContext.broadcast(Known.of(table.where(f"n >= {least}").select("word", "ids", "text").toArrow()))
+
+    def cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+        """(ids of documents, words of each, codes, distinct words, place of each word among the known ones or -1)."""
+        for b, texts in _pieces_of(batches):
+            sizes, codes, distinct = _cut(texts)
+            yield b.column("doc_id"), sizes, codes, distinct, known.value.places(distinct)[codes] if len(codes) else codes
+
+    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        k = known.value
+        for doc, sizes, _, _, at in cut_batches(batches):
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            i = np.flatnonzero(at >= 0)
+            at, row, place = at[i], row[i], place[i]
+            opens = np.ones(len(i), bool)
+            opens[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)
+            first = np.flatnonzero(opens)
+            ends = np.append(first, len(i))
+            n_ids = np.concatenate([[0], np.cumsum(k.sizes[at])])
+            ids = pa.ListArray.from_arrays(pa.array(n_ids[ends].astype(np.int32)), pa.array(k.ids[_ranges(k.first[at], k.sizes[at])]))
+            texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), k.texts.take(pa.array(at))), "")
+            names = ["doc_id", "word", "n_words", "ids", "text"]
+            yield pa.RecordBatch.from_arrays([doc.take(pa.array(row[first])), pa.array(place[first].astype(np.int32)), pa.array(np.diff(ends).astype(np.int32)), ids, texts], names)
+            none = np.flatnonzero(sizes == 0)
+            zero = pa.array(np.zeros(len(none), np.int32))
+            yield pa.RecordBatch.from_arrays([doc.take(pa.array(none)), zero, zero, pa.array([[]] * len(none), pa.list_(pa.int32())), pa.array([""] * len(none), pa.string())], names)
+
+    def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for doc, sizes, codes, distinct, at in cut_batches(batches):
+            i = np.flatnonzero(at < 0)
+            row = np.repeat(np.arange(len(sizes)), sizes)[i]
+            place = i - (np.cumsum(sizes) - sizes)[row]
+            yield pa.RecordBatch.from_arrays([doc.take(pa.array(row)), pa.array(place.astype(np.int32)), distinct.take(pa.array(codes[i]))], ["doc_id", "word", "w"])
+
+    rare = docs.mapInArrow(others, "doc_id long, word int, w string")
     spelled = table.where(f"n < {least}").select(F.col("word").alias("w"), "ids", "text")
     rest = rare.join(spelled, "w").select("doc_id", "word", F.lit(1).alias("n_words"), "ids", "text")
-    return common.map_docs(docs, runs, RUNS, "doc_id", batch=200).unionAll(rest)
+    return docs.mapInArrow(runs, RUNS).unionAll(rest)
 
 
 def encode(docs: DataFrame, pieces: Pieces, frequent: int = FREQUENT) -> DataFrame:
