@@ -1,16 +1,20 @@
 """License scans by ordered signature rules, in DataFrame functions alone.
 
 A text is lower-cased and its words (runs of digits, letters and all other than ASCII) are joined by single spaces, so that rules
-read past punctuation and line ends. Rules are regular expressions over whole words, one for each license family and way of
-stating it. A rule is tried only on texts that hold its two keywords. Detections are intervals; one that lies within another of a
-rule with a smaller priority number, or of the same priority and longer, is suppressed (of equal ones the first rule's stays).
+read past punctuation and line ends. Rules are regular expressions over whole words: signatures of licenses' own texts (grants,
+conditions, disclaimers, notices in source files), addresses, SPDX identifiers, and the ways of naming a license.
+
+Each rule has two keywords that all its matches hold. Which keywords a text holds is found once, as bits of a number, and a rule is
+tried only where both of its bits are set. Detections are intervals; one that lies within another of a rule with a smaller priority
+number, or of the same priority and longer, is suppressed (of equal ones the first rule's stays). They are taken in order of their
+start, so a fold over the furthest end of each priority tells this in one pass.
 
 Base phrases are counted apart, in all places; their labels always stay.
 
-Everything about a document stands in its row: there is no shuffle and no Python. Comparisons of detections are within a document.
+Everything about a document stands in its row: there is no shuffle and no Python.
 
 Defined cases: a null or empty text has no words, no labels ("") and score 0. Equal rows get equal results. Columns other than
-doc_id and text are ignored. Other than ASCII is lower-cased too; no letter outside ASCII turns into one that a phrase holds.
+doc_id and text are ignored. Other than ASCII is lower-cased too; no letter outside ASCII turns into one that a base phrase holds.
 """
 
 from __future__ import annotations
@@ -73,6 +77,92 @@ FAMILIES = [
 ]
 #: The keywords of short identifiers that don't hold their family's.
 ID_WORDS = {"cpl": "cpl", "boost": "bsl", "ofl": "ofl"}
+#: Signatures of licenses' own texts: label, priority, weight, keyword, expression. Between fixed words names and numbers may vary.
+ANY = "(?:[^ ]+ ){0,12}?"
+TEXTS = [
+    ("mit", 1, 1.0, "permission", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
+    ("mit", 1, 1.0, "permission", "the above copyright notice and this permission notice (?:including the next paragraph )?shall be included in all copies or substantial portions of the software"),
+    ("mit", 2, 0.9, "warranty", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability"),
+    ("mit", 3, 0.8, "liable", "in no event shall the authors or copyright holders be liable for any claim damages or other liability"),
+    ("mit-0", 1, 0.9, "permission", "permission is hereby granted free of charge to any person obtaining a copy of this software to deal in the software without restriction"),
+    ("x11", 1, 0.9, "advertising", "except as contained in this notice the name of " + ANY + "shall not be used in advertising or otherwise to promote the sale"),
+    ("bsd", 2, 0.9, "redistribution", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
+    ("bsd", 3, 0.8, "redistributions", "redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd", 3, 0.8, "redistributions", "redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer"),
+    ("bsd-3", 1, 1.0, "endorse", "neither the names? of " + ANY + "nor the names of (?:its|their|the|any) contributors may be used to endorse or promote products derived from this software"),
+    ("bsd-3", 1, 0.9, "endorse", "the name of the author may not be used to endorse or promote products derived from this software"),
+    ("bsd-4", 1, 1.0, "advertising", "all advertising materials mentioning features or use of this software must display the following acknowledge?ment"),
+    ("bsd-2-patent", 1, 0.9, "patent", "subject to the terms and conditions of this license each copyright holder and contributor hereby grants to those receiving rights under this license a perpetual"),
+    ("bsd", 3, 0.7, "provided by", "this software is provided by " + ANY + "as is and any express or implied warranties"),
+    ("isc", 1, 1.0, "permission", "permission to use copy modify and (?:or )?distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice"),
+    ("0bsd", 1, 1.0, "permission", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted the software is provided"),
+    ("isc", 3, 0.7, "author disclaims", "the author disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness"),
+    ("hpnd", 2, 0.8, "permission", "permission to use copy modify and distribute this software and its documentation for any purpose (?:and without fee )?is hereby granted"),
+    ("zlib", 1, 0.9, "liable", "this software is provided as is without any express or implied warranty in no event will the authors? be held liable"),
+    ("zlib", 1, 1.0, "misrepresented", "the origin of this software must not be misrepresented you must not claim that you wrote the original software"),
+    ("boost", 1, 1.0, "permission", "permission is hereby granted free of charge to any person or organi[sz]ation obtaining a copy of the software and accompanying documentation covered by this license"),
+    ("unlicense", 1, 1.0, "unencumbered", "this is free and unencumbered software released into the public domain"),
+    ("unlicense", 2, 0.9, "dedicate", "dedicate any and all copyright interest in the software to the public domain"),
+    ("wtfpl", 1, 1.0, "verbatim", "everyone is permitted to copy and distribute verbatim or modified copies of this license document and changing it is allowed as long as the name is changed"),
+    ("beerware", 1, 0.9, "beer", "as long as you retain this notice you can do whatever you want with this stuff"),
+    ("apache-2", 1, 1.0, "compliance", "licensed under the apache license version 2 0 (?:the license )?you may not use this (?:file|work|software) except in compliance with the license"),
+    ("apache-2", 2, 0.9, "compliance", "you may not use this (?:file|work|software) except in compliance with the license you may obtain a copy of the license at"),
+    ("apache-2", 2, 0.9, "basis", "software distributed under the license is distributed on an as is basis without warranties or conditions of any kind"),
+    ("apache-2", 1, 0.9, "contributor", "licensed to the apache software foundation asf under one or more contributor license agreements"),
+    ("apache-2", 2, 0.9, "reproduction", "terms and conditions for use reproduction and distribution"),
+    ("apache-1", 1, 0.9, "acknowledg", "this product includes software developed by the apache (?:software foundation|group)"),
+    ("gpl-2", 1, 1.0, "redistribute", "redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license"),
+    ("gpl-2", 1, 1.0, "redistribute", "redistribute it and or modify it under the terms of (?:version 2 of the gnu general public license|the gnu general public license version 2)"),
+    ("gpl-3", 1, 1.0, "redistribute", "redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license"),
+    ("gpl-3", 1, 1.0, "redistribute", "redistribute it and or modify it under the terms of (?:version 3 of the gnu general public license|the gnu general public license version 3)"),
+    ("lgpl-2.1", 1, 1.0, "redistribute", "redistribute it and or modify it under the terms of the gnu (?:lesser|library) general public license as published by the free software foundation either version 2"),
+    ("lgpl-3", 1, 1.0, "redistribute", "redistribute it and or modify it under the terms of the gnu lesser general public license as published by the free software foundation either version 3 of the license"),
+    ("agpl-3", 1, 1.0, "affero", "redistribute it and or modify it under the terms of the gnu affero general public license as published by the free software foundation"),
+    ("gpl", 3, 0.7, "merchantability", "without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license"),
+    ("lgpl", 3, 0.7, "merchantability", "without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu (?:lesser|library) general public license"),
+    ("agpl-3", 3, 0.7, "merchantability", "without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu affero general public license"),
+    ("gpl", 2, 0.8, "everyone", "everyone is permitted to copy and distribute verbatim copies of this license document but changing it is not allowed"),
+    ("gfdl", 1, 1.0, "invariant", "permission is granted to copy distribute and or modify this document under the terms of the gnu free documentation license"),
+    ("gpl-exception", 2, 0.6, "exception", "as a special exception " + ANY + "(?:permission to link|gives? (?:you )?(?:unlimited )?permission)"),
+    ("mpl-2", 1, 1.0, "source code", "this source code form is subject to the terms of the mozilla public license v 2 0"),
+    ("mpl-2", 2, 0.9, "secondary", "this source code form is incompatible with secondary licenses"),
+    ("mpl-1.1", 1, 1.0, "mozilla", "the contents of this file are subject to the mozilla public license version 1 1"),
+    ("epl", 1, 1.0, "eclipse", "this program and the accompanying materials are made available under the terms of the eclipse public license"),
+    ("cddl", 1, 1.0, "common development", "the contents of this file are subject to the terms of the common development and distribution license"),
+    ("cpl", 1, 0.9, "agreement", "the accompanying program is provided under the terms of this common public license agreement"),
+    ("eupl", 1, 1.0, "european", "licensed under the eupl version 1 [012] (?:or as soon they will be approved by the european commission )?"),
+    ("artistic", 1, 0.9, "artistic", "this is free software you can redistribute it and or modify it under the (?:same )?terms of the artistic license"),
+    ("perl", 1, 0.9, "perl", "under the same terms as perl(?: 5)?(?: itself)?"),
+    ("ms-pl", 1, 0.9, "microsoft", "(?:licensed under the )?microsoft (?:public|reciprocal) license"),
+    ("python", 1, 0.9, "python", "psf hereby grants licensee a nonexclusive royalty free world ?wide license to reproduce"),
+    ("openssl", 1, 0.9, "openssl", "this product includes software developed by the openssl project"),
+    ("openssl", 1, 0.9, "cryptographic", "this product includes cryptographic software written by eric young"),
+    ("curl", 1, 0.9, "permission", "permission to use copy modify and distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies"),
+    ("ofl", 1, 1.0, "font", "this font software is licensed under the sil open font license"),
+    ("ofl", 1, 0.9, "font", "permission is hereby granted free of charge to any person obtaining a copy of the font software"),
+    ("cc0", 1, 1.0, "waived", "to the extent possible under law " + ANY + "waived all copyright and related (?:or|and) neighbou?ring rights"),
+    ("cc", 2, 0.6, "creative commons", "this work is licensed under (?:a |the )?creative commons"),
+    ("cc-by-sa", 1, 0.9, "attribution", "(?:text|content) is available under the creative commons attribution share ?alike license"),
+    ("odbl", 1, 1.0, "database", "this " + ANY + "is made available under the open database license"),
+    ("pddl", 1, 0.9, "dedication", "made available under the public domain dedication and license"),
+    ("jsr", 2, 0.6, "evil", "the software shall be used for good not evil"),
+    ("commercial", 2, 0.7, "all rights reserved", "(?:confidential and proprietary|proprietary and confidential) " + ANY + "all rights reserved"),
+    ("proprietary", 2, 0.7, "unauthori", "unauthori[sz]ed (?:copying|use|reproduction|distribution) (?:or \\S+ )?of this (?:file|software|document|material) (?:via any medium )?is strictly prohibited"),
+    ("proprietary", 3, 0.5, "written permission", "may not be (?:copied|reproduced|redistributed)" + " (?:[^ ]+ ){0,12}?" + "without (?:the )?(?:express |prior )*written permission"),
+    ("no-ai", 2, 0.5, "training", "may not be used (?:for|to) (?:the )?(?:training|train) (?:of )?(?:any )?(?:ai|artificial intelligence|machine learning|language) models?"),
+    ("all-rights-reserved", 5, 0.3, "reserved", "all rights reserved"),
+]
+#: Addresses, as words: label, expression. Every one of them is of the form host, then path.
+ADDRESSES = [
+    ("apache-2", "apache org licenses license 2 0"), ("apache-1", "apache org licenses license 1 [01]"), ("gpl-2", "gnu org (?:copyleft|licenses(?: old licenses)?) gpl 2 0"), ("gpl-3", "gnu org (?:copyleft|licenses) gpl 3 0"), ("gpl", "gnu org (?:copyleft|licenses) gpl"),
+    ("lgpl-2.1", "gnu org (?:copyleft|licenses(?: old licenses)?) lgpl 2 1"), ("lgpl-3", "gnu org (?:copyleft|licenses) lgpl 3 0"), ("agpl-3", "gnu org licenses agpl(?: 3 0)?"), ("gfdl", "gnu org licenses fdl(?: 1 [123])?"), ("mit", "opensource org licenses? mit(?: license)?"),
+    ("bsd-2", "opensource org licenses? bsd 2 clause"), ("bsd-3", "opensource org licenses? bsd 3 clause"), ("apache-2", "opensource org licenses? apache 2 0"), ("isc", "opensource org licenses? isc"), ("artistic", "opensource org licenses? artistic(?: license)? 2 0"),
+    ("mpl-2", "mozilla org (?:en us )?mpl 2 0"), ("mpl-1.1", "mozilla org mpl (?:mpl )?1 1"), ("epl", "eclipse org (?:legal|org documents) epl(?: v10| 2 0| v20)?"), ("boost", "boost org license 1 0"), ("unlicense", "unlicense org"),
+    ("cc-by-nc-nd", "creativecommons org licenses by nc nd [1-4] [05]"), ("cc-by-nc-sa", "creativecommons org licenses by nc sa [1-4] [05]"), ("cc-by-nc", "creativecommons org licenses by nc [1-4] [05]"), ("cc-by-nd", "creativecommons org licenses by nd [1-4] [05]"), ("cc-by-sa", "creativecommons org licenses by sa [1-4] [05]"),
+    ("cc-by", "creativecommons org licenses by [1-4] [05]"), ("cc0", "creativecommons org publicdomain zero 1 0"), ("public-domain", "creativecommons org publicdomain mark 1 0"), ("ofl", "scripts sil org ofl"), ("odbl", "opendatacommons org licenses odbl"),
+    ("pddl", "opendatacommons org licenses pddl"), ("eupl", "joinup ec europa eu (?:[^ ]+ )*?eupl"), ("wtfpl", "(?:wtfpl net|sam zoy org wtfpl)"), ("cddl", "(?:opensource org licenses? cddl1|oracle com (?:[^ ]+ )*?cddl)"), ("zlib", "zlib net zlib license"),
+]
+ADDRESS_WORDS = [" org ", " eu ", " net ", " com "]
 #: Ways of stating a license: priority, weight, keyword that it always holds, expression with {name}, {tail} and {id}.
 WAYS = [
     (1, 1.0, "identifier", "spdx licen[sc]e identifier {id}"),
@@ -86,16 +176,25 @@ WAYS = [
     (5, 0.6, "licen", "{name} licen[sc]e(?: agreement)?(?: version \\d+(?: \\d+)?)?"),
 ]
 TAIL = "(?: licen[sc]e)?(?: version \\d+(?: \\d+)?)?"
+PRIORITIES = 6
 SPAN = "array<struct<start:int,stop:int,priority:int,rule:int,label:string,weight:double>>"
 
 
 def rules() -> list[dict]:
-    """All rules in order; a rule's number is its place."""
-    out = []
+    """All rules in order; a rule's number is its place. k1 and k2 are keywords that all of its matches hold, with spaces at both ends."""
+    out: list[dict] = []
+
+    def put(label: str, priority: int, weight: float, k1: str, k2: str, pattern: str) -> None:
+        out.append({"rule": len(out), "label": label, "priority": priority, "weight": weight, "k1": k1, "k2": k2, "pattern": f"(?<= )(?:{pattern.rstrip()})(?= )"})
+
+    for label, priority, weight, keyword, pattern in TEXTS:
+        put(label, priority, weight, keyword, keyword, pattern)
+    for label, pattern in ADDRESSES:
+        ends = [w for w in ADDRESS_WORDS if w.strip() in pattern.split("(")[-1 if pattern.startswith("(") else 0].replace(")", " ").split()]
+        put(label, 2, 0.9, ends[0] if ends and not pattern.startswith("(") else " ", "", pattern)
     for priority, weight, keyword, way in WAYS:
         for label, name, word, short in FAMILIES:
-            pattern = way.replace("{name}", name).replace("{tail}", TAIL).replace("{id}", short)
-            out.append({"rule": len(out), "label": label, "priority": priority, "weight": weight, "k1": keyword, "k2": ID_WORDS.get(label, word) if "{id}" in way else word, "pattern": f"(?<= )(?:{pattern})(?= )"})
+            put(label, priority, weight, keyword, ID_WORDS.get(label, word) if "{id}" in way else word, way.replace("{name}", name).replace("{tail}", TAIL).replace("{id}", short))
     return out
 
 
@@ -109,33 +208,65 @@ def spaces(x: Column) -> Column:
     return F.length(x) - F.length(F.replace(x, F.lit(" "), F.lit("")))
 
 
-def detections(norm: Column) -> Column:
-    """All detections of the rules whose keywords norm holds, as character intervals of norm."""
-    kind = "array<struct<rule:int,label:string,priority:int,weight:double,k1:string,k2:string,pattern:string>>"
-    table = F.from_json(F.lit(json.dumps(rules())), kind)
-    tried = F.filter(table, lambda r: F.contains(norm, r["k1"]) & F.contains(norm, r["k2"]))
+def keyword_bits(norm: Column, keywords: list[str]) -> Column:
+    """Bit i tells whether norm holds the keyword i, so each keyword is searched once."""
+    bits = [F.when(F.contains(norm, F.lit(k)), F.lit(1 << i).cast("long")).otherwise(F.lit(0).cast("long")) for i, k in enumerate(keywords)]
+    while len(bits) > 1:
+        bits = [bits[i].bitwiseOR(bits[i + 1]) if i + 1 < len(bits) else bits[i] for i in range(0, len(bits), 2)]
+    return bits[0]
+
+
+def gates(table: list[dict]) -> list[list[str]]:
+    """The distinct keywords, in lists of up to 62."""
+    words = sorted({k for r in table for k in (r["k1"], r["k2"])} - {"", " "})
+    return [words[i : i + 62] for i in range(0, len(words), 62)]
+
+
+def detections(norm: Column, bits: list[Column], table: list[dict]) -> Column:
+    """All detections of the rules whose keywords norm holds, as character intervals of norm, in order of rule."""
+    lists = gates(table)
+    mask = lambda r, words: sum(1 << i for i, k in enumerate(words) if k in (r["k1"], r["k2"]))
+    masks = "".join(f",m{i}:long" for i in range(len(lists)))
+    rows = [{k: r[k] for k in ("rule", "label", "priority", "weight", "pattern")} | {f"m{i}": mask(r, words) for i, words in enumerate(lists)} for r in table]
+    held = F.from_json(F.lit(json.dumps(rows)), f"array<struct<rule:int,label:string,priority:int,weight:double,pattern:string{masks}>>")
+
+    def open_(own: Column, r: Column) -> Column:
+        out = F.lit(True)
+        for i in range(len(lists)):
+            out &= own[f"b{i}"].bitwiseAND(r[f"m{i}"]) == r[f"m{i}"]
+        return out
+
     total = lambda a: F.aggregate(a, F.lit(0), lambda n, x: n + F.length(x))
 
     def spans(r: Column) -> Column:
-        found, between = F.regexp_extract_all(norm, r["pattern"], F.lit(0)), F.split(norm, r["pattern"], F.lit(-1))
+        found = F.regexp_extract_all(norm, r["pattern"], F.lit(0))
+        between = F.split(norm, r["pattern"], F.lit(-1))
 
         def span(x: Column, i: Column) -> Column:
             start = total(F.slice(between, 1, i + 1)) + total(F.slice(found, 1, i))
             return F.struct(start.alias("start"), (start + F.length(x)).alias("stop"), r["priority"].alias("priority"), r["rule"].alias("rule"), r["label"].alias("label"), r["weight"].alias("weight"))
 
-        return F.transform(found, span)
+        return F.when(F.size(found) > 0, F.transform(found, span)).otherwise(F.array().cast(SPAN))
 
-    return F.flatten(F.transform(tried, spans))
+    # The bits are bound as a variable of a function, else the optimizer would put their searches in the place of each use.
+    bound = F.array(F.struct(*(b.alias(f"b{i}") for i, b in enumerate(bits))))
+    return F.flatten(F.flatten(F.transform(bound, lambda own: F.transform(F.filter(held, lambda r: open_(own, r)), spans))))
 
 
 def unsuppressed(found: Column) -> Column:
-    def loses(x: Column, y: Column) -> Column:
-        length = lambda z: z["stop"] - z["start"]
-        within = (y["start"] <= x["start"]) & (y["stop"] >= x["stop"])
-        longer = (length(y) > length(x)) | ((length(y) == length(x)) & (y["rule"] < x["rule"]))
-        return within & ((y["priority"] < x["priority"]) | ((y["priority"] == x["priority"]) & longer))
+    """What is left of detections: in order of start, long ones first, then priority and rule, whatever could hold one comes before it."""
+    key = F.transform(found, lambda x: F.struct(x["start"].alias("a"), (-x["stop"]).alias("b"), x["priority"].alias("p"), x["rule"].alias("r"), x["label"].alias("label"), x["weight"].alias("weight")))
+    state = f"struct<ends:array<int>,kept:{SPAN}>"
+    first = F.struct(F.array_repeat(F.lit(-1), PRIORITIES + 1).alias("ends"), F.array().cast(SPAN).alias("kept")).cast(state)
+
+    def step(acc: Column, x: Column) -> Column:
+        stop, p = -x["b"], x["p"]
+        lost = F.array_max(F.slice(acc["ends"], 1, p + 1)) >= stop  # something of this priority or a better one reaches as far
+        ends = F.transform(acc["ends"], lambda e, i: F.when(i == p, F.greatest(e, stop)).otherwise(e))
+        one = F.array(F.struct(x["a"].alias("start"), stop.alias("stop"), p.alias("priority"), x["r"].alias("rule"), x["label"].alias("label"), x["weight"].alias("weight"))).cast(SPAN)
+        return F.when(lost, acc).otherwise(F.struct(ends.alias("ends"), F.concat(acc["kept"], one).alias("kept")).cast(state))
 
-    return F.filter(found, lambda x: ~F.exists(found, lambda y: loses(x, y)))
+    return F.aggregate(F.array_sort(key), first, step)["kept"]
 
 
 def scan(docs: DataFrame) -> DataFrame:
@@ -144,10 +275,9 @@ def scan(docs: DataFrame) -> DataFrame:
     df = common.as_docs(docs).select("doc_id", normalised(F.col("text")).alias("norm"))
     norm = F.col("norm")
     df = df.withColumn("n_words", F.greatest(spaces(norm) - 1, F.lit(0)).cast("long"))
-    gate = F.lit(False)
-    for keyword in dict.fromkeys(keyword for _, _, keyword, _ in WAYS):
-        gate |= F.contains(norm, F.lit(keyword))
-    df = df.withColumn("found", F.when(gate, detections(norm)).otherwise(F.array().cast(SPAN)))
+    table = rules()
+    lists = gates(table)
+    df = df.withColumn("found", detections(norm, [keyword_bits(norm, words) for words in lists], table))
     df = df.withColumn("kept", F.when(F.size("found") > 1, unsuppressed(F.col("found"))).otherwise(F.col("found")))
     counts, firsts, lasts, labels = [], [], [], []
     for phrase, label in BASE.items():
