@@ -101,9 +101,11 @@ def edges(words: DataFrame, pieces: Pieces) -> DataFrame:
     room = F.least(F.col("stop"), F.lit(pieces.longest))
     cut = stops.select("word", "stop", F.explode(F.sequence(F.lit(1), room)).alias("length"))
     cut = cut.withColumn("part", F.substring("word", F.col("stop") - F.col("length") + 1, F.col("length")))
-    # The vocabulary bounds this side; the literal size check keeps a larger table from being broadcast.
-    table = pieces.table(words.sparkSession)
-    met = cut.join(F.broadcast(table) if len(pieces.rows) <= 1 << 20 else table, F.col("part") == F.col("piece"), "left").where("id is not null or length = 1")
+    # The vocabulary bounds this side; the literal size check keeps a larger table from being broadcast. Equal 64-bit digests meet, which
+    # a table of numbers finds faster, and a piece counts where it is equal itself.
+    table = pieces.table(words.sparkSession).withColumn("key", F.xxhash64("piece"))
+    met = cut.join(F.broadcast(table) if len(pieces.rows) <= 1 << 20 else table, F.xxhash64("part") == F.col("key"), "left")
+    met = met.withColumn("id", F.when(F.col("part") == F.col("piece"), F.col("id"))).where("id is not null or length = 1")
     packed = F.shiftleft(F.shiftleft(F.col("stop").cast("long"), LENGTH_BITS).bitwiseOR(F.col("length").cast("long")), ID_BITS).bitwiseOR(F.coalesce("id", F.lit(pieces.no_piece)).cast("long"))
     return met.select("word", packed.alias("edge"))
 
@@ -202,12 +204,18 @@ def _cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 def _cut_plain(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     lists = pc.split_pattern(texts, " ")
     tokens = lists.flatten().dictionary_encode()
-    # Marks stand at the beginnings of tokens alone, so the words of all distinct tokens are found in one string.
-    found = pa.array(cut_words(MARK + MARK.join(tokens.dictionary.to_pylist())) if len(tokens.dictionary) else [], pa.string())
-    opens = np.flatnonzero(pc.starts_with(found, MARK).to_numpy(zero_copy_only=False))
-    encoded = found.dictionary_encode()
+    # A token of letters is one word. Marks stand at the beginnings of tokens alone, so the words of all others are found in one string.
+    alpha = pc.utf8_is_alpha(tokens.dictionary)
+    one, rest = tokens.dictionary.filter(alpha), tokens.dictionary.filter(pc.invert(alpha))
+    found = pa.array(cut_words(MARK + MARK.join(rest.to_pylist())) if len(rest) else [], pa.string())
+    encoded = pa.concat_arrays([pc.binary_join_element_wise(MARK, one, ""), found]).dictionary_encode()
     of_token = encoded.indices.to_numpy()
-    sizes = np.diff(np.append(opens, len(found)))
+    letters = alpha.to_numpy(zero_copy_only=False)
+    opens, sizes = np.zeros(len(letters), np.int64), np.ones(len(letters), np.int64)
+    opens[letters] = np.arange(len(one))
+    heads = np.flatnonzero(pc.starts_with(found, MARK).to_numpy(zero_copy_only=False))
+    opens[~letters] = len(one) + heads
+    sizes[~letters] = np.diff(np.append(heads, len(found)))
     token = tokens.indices.to_numpy()
     codes = of_token[_ranges(opens[token], sizes[token])] if len(token) else np.zeros(0, np.int64)
     ends = np.concatenate([[0], np.cumsum(sizes[token])])
@@ -218,7 +226,9 @@ def _cut_plain(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1, ... sizes[0] of them, then those of starts[1], ..."""
     ends = np.cumsum(sizes)
-    return np.arange(ends[-1] if len(ends) else 0) + np.repeat(starts - (ends - sizes), sizes)
+    out = np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)  # of one batch
+    out += np.repeat((starts - (ends - sizes)).astype(np.int32), sizes)
+    return out
 
 
 def _pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, pa.Array]]:
@@ -229,6 +239,7 @@ def _pieces_of(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBat
         cuts = np.unique(np.concatenate([[0], np.searchsorted(ends, np.arange(BATCH_BYTES, ends[-1] if len(ends) else 0, BATCH_BYTES)) + 1, [len(ends)]]))
         for a, e in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             yield b.slice(a, e - a), texts.slice(a, e - a)
+            pa.default_memory_pool().release_unused()
 
 
 def word_counts(docs: DataFrame) -> DataFrame:

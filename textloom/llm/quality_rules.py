@@ -1,7 +1,12 @@
 """Quality rules: a linear-chain CRF labels each line as content or boilerplate.
 
 Base rules count words, symbols, repeated lines and repeated words. A document that passes them is kept if Viterbi decoding of
-its line sequence leaves at least half of its words in content lines.
+its line sequence leaves a great enough share of its words in content lines.
+
+Labels come by document, lines have none, so they are drawn from how lines stand in documents of both labels: a line of a rejected
+document that looks like those of kept ones is content, one of a kept document that looks like those of rejected ones is
+boilerplate (``line_labels``). The CRF learns these sequences, which change within a document. The share that keeps a document is
+that which tells the sample's labels apart best.
 
 Defined cases: a null or empty text has no words, so it fails the base rules. Without labelled rows the model has zero weights
 and takes every line as content. Ties in decoding go to content. Equal rows get equal results; a null doc_id stays null.
@@ -11,7 +16,7 @@ Columns other than doc_id and text are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -19,6 +24,8 @@ from pyspark.sql import DataFrame
 from textloom.llm import common
 
 MIN_WORDS, MAX_REPEAT_PERCENT, MIN_CONTENT = 50, 50, 0.5
+#: Chances of content at which a line of a kept and of a rejected document counts as content.
+LIKE_REJECTED, LIKE_KEPT, ROUNDS = 0.2, 0.5, 3
 #: Labelled documents that the model is fitted on, at most.
 SAMPLE = 3000
 SYMBOLS = b"[#*$%&|<>]"[1:-1]
@@ -35,6 +42,7 @@ class LineCrf:
     emit: np.ndarray = field(default_factory=lambda: np.zeros((N_FEATURES, 2)))
     step: np.ndarray = field(default_factory=lambda: np.zeros((2, 2)))
     start: np.ndarray = field(default_factory=lambda: np.zeros(2))
+    least: float = MIN_CONTENT  # share of words in content lines that keeps a document
 
     def decode(self, x: np.ndarray) -> np.ndarray:
         """The likeliest label sequence of the lines x; of equal ones that with more content at its end."""
@@ -106,36 +114,71 @@ def judged(rows: Iterable[tuple], crf: LineCrf) -> Iterator[tuple]:
         x, counts = line_features(lines)
         y = crf.decode(x)
         share = float(np.dot(y, counts)) / n if n else 0.0
-        yield doc_id, n, points - white, count_in(text, SYMBOLS), len(lines) - len(set(lines)), repeat, failed, len(lines), int(y.sum()), share, not failed and share >= MIN_CONTENT
+        yield doc_id, n, points - white, count_in(text, SYMBOLS), len(lines) - len(set(lines)), repeat, failed, len(lines), int(y.sum()), share, not failed and share >= crf.least
 
 
 def fit_crf(docs: DataFrame, labels: DataFrame, bound: int = SAMPLE, rounds: int = 120) -> LineCrf:
-    """Maximum likelihood on at most bound labelled documents; a document's quality label is that of its lines."""
+    """Maximum likelihood on at most bound labelled documents, with labels of lines drawn from those of documents."""
     sample = common.labelled_sample(docs, labels, "quality", bound)
 
     def features(rows: Iterable[tuple]) -> Iterator[tuple]:
         for doc_id, y, text in rows:
-            x, _ = line_features([z for z in text.split(b"\n") if z.strip()])
-            yield doc_id, y, len(x), x.astype(np.int8).tobytes()
+            x, words = line_features([z for z in text.split(b"\n") if z.strip()])
+            yield doc_id, y, len(x), x.astype(np.int8).tobytes(), words
 
-    got = common.map_docs(sample, features, "doc_id long, y int, n int, x binary", "doc_id", "y").collect()
+    # At most bound rows of N_FEATURES bytes a line.
+    got = common.map_docs(sample, features, "doc_id long, y int, n int, x binary, words array<int>", "doc_id", "y").collect()
     got = sorted((r for r in got if r.n), key=lambda r: (r.doc_id, r.x))
     if len({r.y for r in got}) < 2:
         return LineCrf()
     docs_x = [np.frombuffer(bytes(r.x), np.int8).reshape(-1, N_FEATURES).astype(np.float64) for r in got]
-    return _maximised(docs_x, np.array([int(r.y > 0) for r in got]), rounds)
+    y = np.array([int(r.y > 0) for r in got])
+    crf = _maximised(docs_x, y, line_labels(docs_x, y), rounds)
+    return replace(crf, least=best_share(crf, docs_x, [np.array(r.words) for r in got], y))
+
 
+def line_labels(docs_x: list[np.ndarray], y: np.ndarray, rounds: int = ROUNDS) -> list[np.ndarray]:
+    """A label for each line: a model of single lines is fitted to the labels so far, at first those of the documents, and relabels them.
 
-def _maximised(docs_x: list[np.ndarray], y: np.ndarray, rounds: int, rate: float = 0.5, l2: float = 1e-3) -> LineCrf:
-    """Gradient ascent with per-weight steps on the log-likelihood, by forward and backward sums over all documents at once."""
+    A rejected document keeps the boilerplate line that is least like content, a kept one the line that is most like it.
+    """
+    lengths = np.array([len(x) for x in docs_x])
+    flat, doc = np.concatenate(docs_x), np.repeat(np.arange(len(y)), lengths)
+    first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
+    each = (np.array([0.5 / max(1, (y == k).sum()) for k in (0, 1)])[y] / lengths)[doc]
+    gold = y[doc].astype(float)
+    for _ in range(rounds):
+        w, seen = np.zeros(flat.shape[1]), np.full(flat.shape[1], 1e-8)
+        for _ in range(200):
+            g = flat.T @ ((gold - 1 / (1 + np.exp(-flat @ w))) * each) - 1e-4 * w
+            seen += g * g
+            w += 0.5 * g / np.sqrt(seen)
+        p = 1 / (1 + np.exp(-flat @ w))
+        gold = np.where(y[doc] == 1, p >= LIKE_REJECTED, p >= LIKE_KEPT).astype(float)
+        for k, pick in ((0, np.minimum), (1, np.maximum)):
+            end = pick.reduceat(p, first)[doc] == p
+            gold[end & (y[doc] == k)] = k
+    return np.split(gold.astype(int), first[1:])
+
+
+def best_share(crf: LineCrf, docs_x: list[np.ndarray], words: list[np.ndarray], y: np.ndarray) -> float:
+    """The least share of content that keeps a document: that of the best mean accuracy over both labels, of equal ones the smallest."""
+    share = np.array([np.dot(crf.decode(x), w) / max(1, w.sum()) for x, w in zip(docs_x, words, strict=True)])
+    grid = np.linspace(0.05, 0.95, 19)
+    right = [((share >= t) & (y == 1)).sum() / (y == 1).sum() + ((share < t) & (y == 0)).sum() / (y == 0).sum() for t in grid]
+    return float(grid[int(np.argmax(right))])
+
+
+def _maximised(docs_x: list[np.ndarray], y: np.ndarray, labels: list[np.ndarray], rounds: int, rate: float = 0.5, l2: float = 1e-3) -> LineCrf:
+    """Gradient ascent with per-weight steps on the log-likelihood of the labels, by forward and backward sums over all documents at once."""
     order = np.argsort([-len(x) for x in docs_x], kind="stable")
-    docs_x, y = [docs_x[i] for i in order], y[order]
+    docs_x, y, labels = [docs_x[i] for i in order], y[order], [labels[i] for i in order]
     lengths = np.array([len(x) for x in docs_x])
     total, longest = lengths.sum(), lengths.max()
     first = np.concatenate([[0], np.cumsum(lengths)[:-1]])
     flat = np.concatenate(docs_x)
     gold = np.zeros((len(flat), 2))
-    gold[np.arange(len(flat)), np.repeat(y, lengths)] = 1
+    gold[np.arange(len(flat)), np.concatenate(labels)] = 1
     live = [int((lengths > t).sum()) for t in range(longest)]
     weight = np.array([0.5 / max(1, (y == k).sum()) for k in (0, 1)])[y] * len(y)  # both labels count alike
     each = np.repeat(weight / lengths, lengths)[:, None]
