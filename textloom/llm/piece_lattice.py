@@ -4,6 +4,7 @@
    that follows another character, and between letters and others. The cut is checked against the model when it is loaded.
 2. Distinct words are exploded into substrings of at most the longest piece's length; an equi-join with the piece table (whose size
    the vocabulary bounds, so it is broadcast) leaves the edges. A character that is no piece is an edge of its UTF-8 byte pieces.
+   A piece that scores less than some way of spelling it by others is on no best path, so the table leaves it out (``useful``).
 3. Edges are grouped by word and folded with ``aggregate``. The fold is Viterbi: the path with the greatest sum of the model's scores,
    of equal ones that with longer pieces at its end. One fold over the edges leaves the best score of each place, a second one
    back over them the path, whose edges are those that add up to these scores.
@@ -39,7 +40,7 @@ from textloom.llm import common
 
 MARK = "▁"
 WORD = f"{MARK}*(?:\\p{{L}}+|[^\\p{{L}}{MARK}]+)|{MARK}+"
-FREQUENT = 250_000
+FREQUENT = 500_000
 MODEL = "piece_bpe_32k.model"
 #: An edge is one long: the place where it stops, its length, and the id of its piece.
 ID_BITS, LENGTH_BITS = 20, 8
@@ -91,10 +92,26 @@ def load(path: str = MODEL) -> Pieces:
     if longest >> LENGTH_BITS or n >= ID:
         raise ValueError("pieces don't fit an edge")
     usual = [s for *_, s in rows if s > -1e8]
+    rows = useful(rows, min(usual) - 10)
     byte_ids = [m.piece_to_id(f"<0x{b:02X}>") for b in range(256)]
     return Pieces(rows, byte_ids, min(usual) - 10, longest, [m.id_to_piece(i) for i in range(n)])
 
 
+def useful(rows: list[tuple[str, int, float]], unknown: float) -> list[tuple[str, int, float]]:
+    """The pieces that can be on a best path: those that no spelling by two pieces or more beats. Single characters stay."""
+    score = {p: s for p, _, s in rows}
+    longest = max(map(len, score), default=0)
+
+    def beaten(piece: str) -> bool:
+        best = [0.0]
+        for stop in range(1, len(piece) + 1):
+            ways = (best[stop - n] + (score.get(piece[stop - n : stop], unknown if n == 1 else None) or 0.0) for n in range(1, min(stop, longest) + 1) if n < len(piece) and (n == 1 or piece[stop - n : stop] in score))
+            best.append(max(ways))
+        return best[-1] > score[piece]
+
+    return [r for r in rows if len(r[0]) == 1 or not beaten(r[0])]
+
+
 def edges(words: DataFrame, pieces: Pieces) -> DataFrame:
     """(word, edge): the lattice of each row's word, an edge as one long."""
     stops = words.select("word", F.explode(F.sequence(F.lit(1), F.char_length("word"))).alias("stop"))
