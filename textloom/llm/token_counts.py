@@ -4,9 +4,14 @@ A flat file is a run of big-endian 16-bit ids, each document closed by END, with
 vocabulary, and its two bytes are the UTF-8 form of one character, so Spark's text writer can lay such files down on any store with
 that character as line separator.
 
+A file holds up to PACKS packs, and a pack documents of PACK_BYTES bytes together or one longer document; so a file's size is
+bounded by its packs, however long documents are, and files are what machines take in parallel. A file over Spark's limit for one
+value (2 GiB; only a text of 128 MiB of ids or more gets there) is an error.
+
 Reading cuts every file into blocks, searches each block's ids for END at once, and stitches documents that span blocks by a prefix
 scan: what the blocks before have as last separator and as number of separators gives each block its carry. Only positions of
-separators are shuffled, keyed by file.
+separators are shuffled, keyed by file. The same scan over the files of a partition gives a document's place in it, by which it is
+told which one it is; a document without a partner on either side is an error, so none is lost.
 
 Defined cases: a null or empty text is a document of no tokens. A file that does not end in END gives its tail as a last document,
 not closed. Blocks may cut a document anywhere. Empty files give nothing. Repeated rows are documents of their own.
@@ -26,22 +31,30 @@ from textloom.llm import common, tokens
 
 END = 0xC580
 SEPARATOR = END.to_bytes(2, "big").decode()
-BLOCK_BYTES, DOCS_PER_FILE = 1 << 20, 4000
+BLOCK_BYTES, PACK_BYTES, PACKS = 1 << 20, 1 << 20, 8
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str = tokens.BYTE_BPE, per_file: int = DOCS_PER_FILE) -> DataFrame:
-    """Write docs as flat files of up to per_file documents; returns (part, ordinal, doc_id), the order in which they were written.
+def write_token_files(docs: DataFrame, path: str, tokenizer: str = tokens.BYTE_BPE, pack_bytes: int = PACK_BYTES, packs: int = PACKS) -> DataFrame:
+    """Write docs as flat files of up to so many packs; returns (part, ordinal, doc_id), the order in which they were written.
 
     docs has to be a table that is read, not computed, so that both passes see the same order.
     """
 
     def rows(docs: Iterable[tuple]) -> Iterator[tuple]:
         encode = tokens.encoder(tokenizer, ">u2").encode
+        held, size, end = [], 0, END.to_bytes(2, "big")
         for (text,) in docs:
-            yield (encode(text.decode("utf-8", "replace")),)
-
-    ids = common.map_docs(docs, rows, "ids binary", batch=200)
-    ids.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", per_file).text(path)
+            ids = encode(text.decode("utf-8", "replace"))
+            if held and size + len(ids) > pack_bytes:
+                yield (end.join(held),)
+                held, size = [], 0
+            held.append(ids)
+            size += len(ids) + 2
+        if held:
+            yield (end.join(held),)
+
+    ids = common.map_docs(docs, rows, "ids binary", batch=4)
+    ids.select(F.col("ids").cast("string").alias("value")).write.option("lineSep", SEPARATOR).option("maxRecordsPerFile", packs).text(path)
     return docs.select(F.spark_partition_id().alias("part"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("ordinal"), "doc_id")
 
 
@@ -50,6 +63,7 @@ def blocks(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES) -> Da
     if block_bytes % 2:
         raise ValueError("a block holds whole ids")
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).where("length > 1")
+    files = files.withColumn("length", F.when(F.col("length") < (1 << 31) - 1, F.col("length")).otherwise(F.raise_error(F.lit("a token file of 2 GiB or more"))))
     n = F.ceil(F.col("length") / block_bytes).cast("int")
     pieces = F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(F.col("content"), i * block_bytes + 1, F.lit(block_bytes)))
     cut = files.select(F.element_at(F.split("path", "/"), -1).alias("file"), F.posexplode(pieces).alias("block", "bytes"))
@@ -89,9 +103,21 @@ def token_counts(spark: SparkSession, path: str, block_bytes: int = BLOCK_BYTES)
     return documents(blocks(spark, path, block_bytes))
 
 
+def counted_documents(docs: DataFrame, path: str, **sizes: int) -> DataFrame:
+    """(doc_id, part, ordinal, start, n_tokens, closed) of each row of docs, written to path as token files and counted there.
+
+    ordinal is the row's place in its partition, start that of its first id in its file.
+    """
+    order = write_token_files(docs, path, **sizes)
+    found = common.cut(blocks(docs.sparkSession, path), "separators")
+    part, number = (F.regexp_extract("file", r"^part-(\d+)-.*-c(\d+)", k).cast("int") for k in (1, 2))
+    files = found.groupBy("file").agg(F.sum(F.size("ends")).alias("n")).withColumns({"part": part, "number": number})
+    before = files.select("file", "part", (F.sum("n").over(Window.partitionBy("part").orderBy("number")) - F.col("n")).alias("before"))
+    counted = documents(found).join(before, "file").select("part", (F.col("ordinal") + F.col("before")).alias("ordinal"), "start", "n_tokens", "closed")
+    met = counted.join(order.withColumn("known", F.lit(True)), ["part", "ordinal"], "full_outer")
+    sure = F.when(F.col("known") & F.col("n_tokens").isNotNull(), F.col("part")).otherwise(F.raise_error(F.lit("a document has no partner: the table was read in another order")).cast("int"))
+    return met.select("doc_id", sure.alias("part"), "ordinal", "start", "n_tokens", "closed")
+
+
 def op1_token_counts(spark, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
-    order = write_token_files(docs, path := common.new_path(spark, "token-files"))
-    part = lambda k: F.regexp_extract("file", r"^part-(\d+)-.*-c(\d+)", k).cast("int")
-    counted = token_counts(spark, path).select(part(1).alias("part"), (F.col("ordinal") + part(2) * DOCS_PER_FILE).alias("ordinal"), "start", "n_tokens", "closed")
-    return counted.join(order, ["part", "ordinal"]).select("doc_id", "part", "ordinal", "start", "n_tokens", "closed")
+    return counted_documents(common.table(spark, sf_dir, "documents"), common.new_path(spark, "token-files"))
