@@ -4,6 +4,8 @@ Lengths of pieces form a histogram of at most CAPACITY entries, whatever the num
 that fill a sequence are enumerated, their repeat counts are fitted to the histogram by non-negative least squares and rounded
 down, and what is left over is packed by repeated best-fit patterns. Pieces are then numbered within their length and take the
 places of that length in order, so that only the histogram and the plan, both bounded by CAPACITY and PER_LENGTH, pass the driver.
+Full pieces, the commonest at scale, are a sequence each and take no number. To number the others, each length is dealt out to as many
+parts as its count asks for, of some PART pieces, so that no task holds a common length alone.
 
 Defined cases: a null or empty text is the one closing id; repeated rows and rows without doc_id are packed like others.
 Columns other than doc_id and text are ignored. Ties between pieces of one length go by (doc_id, piece, ids_crc32).
@@ -21,7 +23,7 @@ from pyspark.sql import functions as F
 
 from textloom.llm import common, tokens
 
-CAPACITY, PER_LENGTH, SHARDS, CLOSING = 2048, 6, 64, 0
+CAPACITY, PER_LENGTH, PART, CLOSING = 2048, 6, 100_000, 0
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -147,8 +149,14 @@ def packed(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     hist = np.zeros(capacity + 1, np.int64)
     for r in counts:
         hist[r.length] = r.n
+    full, hist[capacity] = int(hist[capacity]), 0
     at = places(plan(hist, capacity))
-    dealt = cut_pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SHARDS)))
+    sequences = int(at["sequence"].max(initial=-1) + hist.sum() + 1)  # more than the plan has
+    # A full piece is a sequence alone; any distinct numbers from there on do.
+    alone = cut_pieces.where(F.col("length") == capacity).withColumns({"sequence_id": F.monotonically_increasing_id() + sequences, "offset": F.lit(0).cast("long")}) if full else None
+    cut_pieces = cut_pieces.where(F.col("length") < capacity)
+    parts = F.get(F.lit((1 + hist // PART).tolist()), F.col("length").cast("int"))
+    dealt = cut_pieces.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), parts))
     before = dealt.groupBy("length", "shard").agg(F.count("*").alias("n")).select("length", "shard", (F.sum("n").over(Window.partitionBy("length").orderBy("shard")) - F.col("n")).alias("before"))
     own = F.row_number().over(Window.partitionBy("length", "shard").orderBy("doc_id", "piece", "ids_crc32")) - 1
     ranked = dealt.withColumn("own", own).join(before, ["length", "shard"]).select("doc_id", "piece", "start", "length", "ids_crc32", (F.col("own") + F.col("before")).alias("rank"))
@@ -162,7 +170,8 @@ def packed(cut_pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             where = [pa.array(at["sequence"][i] + rank - at["rank"][i]), pa.array(at["offset"][i])]
             yield pa.RecordBatch.from_arrays([*(b.column(k) for k in range(5)), *where], [*b.schema.names[:5], "sequence_id", "offset"])
 
-    return ranked.mapInArrow(placed, f"{PIECES}, sequence_id long, offset long")
+    rest = ranked.mapInArrow(placed, f"{PIECES}, sequence_id long, offset long")
+    return rest.unionAll(alone.select(*rest.columns)) if alone is not None else rest
 
 
 def pack(docs: DataFrame, capacity: int = CAPACITY, tokenizer: str = tokens.BYTE_BPE) -> DataFrame:
