@@ -4,9 +4,9 @@ The unit of storage is the quantised DCT coefficient: a block of 8 x 8 holds 64
 of the zigzag order. Every coefficient is coded in size category 8, whose extra bits are the byte itself, and with quantiser 1 the
 entropy coding loses nothing. Frames are plain baseline JPEG, grey, SIDE x SIDE, each block its own restart interval.
 
-Reading parses the RIFF chunks, finds frames by the index, decodes the coefficients (at once for frames laid out as above, by a
-general Huffman decoder for other grey baseline frames) and turns them to pixels by the inverse DCT. A shot ends where the
-difference of two frames' luma histograms exceeds what the shot has shown so far.
+Reading parses the RIFF chunks, finds frames by the index and decodes any grey baseline frame by its own Huffman tables: all restart
+intervals of many frames go in lockstep, a symbol at each step, found in a table by the next 16 bits. The inverse DCT turns
+coefficients to pixels. A shot ends where the difference of two frames' luma histograms exceeds what the shot has shown so far.
 
 Defined cases: a null or empty text is one block of zeros. Equal texts give equal values. Very long texts give more frames.
 Columns other than doc_id and text are ignored; a null doc_id stays null.
@@ -28,6 +28,8 @@ from textloom.llm import common
 SIDE, FPS, UNIT = 64, 25, 64
 BLOCKS = (SIDE // 8) ** 2
 BINS, WINDOW, LEAST, SPREAD = 16, 8, 0.08, 3.0
+#: Frames that are decoded in lockstep, and bytes of text whose files are read together.
+AT_ONCE, TOGETHER = 128, 1 << 19
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
@@ -140,21 +142,42 @@ def read_avi(media: bytes) -> Avi:
     return Avi(frames, size, fps)
 
 
-def decode_frame(frame: bytes) -> tuple[np.ndarray, int, int]:
-    """(quantised coefficients in zigzag order times their quantisers, a row for each block; width; height) of a grey baseline JPEG."""
-    if frame.startswith(HEADER) and len(frame) == len(HEADER) + BLOCKS * (2 * UNIT + 2):
-        scan = np.frombuffer(frame, np.uint8, BLOCKS * (2 * UNIT + 2), len(HEADER)).reshape(BLOCKS, -1)
-        if not scan[:, 0 : 2 * UNIT : 2].any() and (scan[:-1, -2:] == _RESTART[:-1]).all():
-            b = scan[:, 1 : 2 * UNIT : 2].astype(np.int16)
-            return b - 255 * (b < 128), SIDE, SIDE
-    return _decode_any(frame)
+@dataclass(frozen=True)
+class Coding:
+    """What a frame's header says: for each of the DC and AC table, by the next 16 bits, 256 times a code's length plus its symbol."""
+
+    codes: np.ndarray
+    quantiser: np.ndarray
+    every: int  # blocks of a restart interval, 0 for all
+    width: int
+    height: int
+
+    @property
+    def blocks(self) -> int:
+        return -(-self.width // 8) * -(-self.height // 8)
+
+
+_codings: dict[bytes, Coding] = {}
 
 
-def _decode_any(frame: bytes) -> tuple[np.ndarray, int, int]:
+def _coding(frame: bytes) -> tuple[Coding, int]:
+    """(coding, first byte of the scan) of a grey baseline frame."""
+    at = 2
+    while frame[at + 1] != 0xDA:
+        at += 2 + int.from_bytes(frame[at + 2 : at + 4], "big")
+    at += 2 + int.from_bytes(frame[at + 2 : at + 4], "big")
+    if (header := frame[:at]) not in _codings:
+        if len(_codings) > 64:
+            _codings.clear()
+        _codings[header] = _parsed(header)
+    return _codings[header], at
+
+
+def _parsed(header: bytes) -> Coding:
     at, tables, quantiser, every, width, height = 2, {}, np.ones(64, np.int64), 0, 0, 0
-    while True:
-        marker, size = struct.unpack_from(">xBH", frame, at)
-        body = frame[at + 4 : at + 2 + size]
+    while at < len(header):
+        marker, size = struct.unpack_from(">xBH", header, at)
+        body = header[at + 4 : at + 2 + size]
         at += 2 + size
         if marker == 0xDB:
             quantiser = np.frombuffer(body, np.uint8, 64, 1).astype(np.int64) if body[0] < 16 else np.frombuffer(body, ">u2", 64, 1).astype(np.int64)
@@ -166,82 +189,113 @@ def _decode_any(frame: bytes) -> tuple[np.ndarray, int, int]:
             raise ValueError("only baseline frames are read")
         elif marker == 0xC4:
             while body:
-                counts, place = body[1:17], 17
-                codes, code = {}, 0
+                kind, counts, symbols = body[0], body[1:17], body[17:]
+                by_bits, code = np.zeros(1 << 16, np.uint32), 0
                 for length, n in enumerate(counts, 1):
                     for _ in range(n):
-                        codes[length, code] = body[place]
-                        place, code = place + 1, code + 1
+                        room = 1 << 16 - length
+                        by_bits[code * room : (code + 1) * room] = length << 8 | symbols[0]
+                        symbols, code = symbols[1:], code + 1
                     code <<= 1
-                tables[body[0]] = codes
-                body = body[place:]
+                tables[kind] = by_bits
+                body = symbols
         elif marker == 0xDD:
             every = struct.unpack(">H", body)[0]
         elif marker == 0xDA:
-            dc, ac = tables[body[2] >> 4], tables[16 + (body[2] & 15)]
-            break
-    scan = frame[at : frame.rindex(b"\xff\xd9")]
-    parts, start, i = [], 0, 0
-    while (i := scan.find(b"\xff", i)) >= 0:
-        if 0xD0 <= scan[i + 1 : i + 2][0] <= 0xD7:
-            parts.append(scan[start:i])
-            start = i + 2
-        i += 2
-    parts.append(scan[start:])
-    total = -(-width // 8) * -(-height // 8)
-    out = np.zeros((total, 64), np.int64)
-    done = 0
-    for part in parts:
-        part = part.replace(b"\xff\x00", b"\xff")
-        bits, have, last = int.from_bytes(part, "big"), 8 * len(part), 0
-
-        def take(n: int) -> int:
-            nonlocal have
-            have -= n
-            return bits >> have & (1 << n) - 1 if have >= 0 else (bits << -have) & (1 << n) - 1
-
-        def symbol(codes: dict) -> int:
-            code = 0
-            for length in range(1, 17):
-                code = code << 1 | take(1)
-                if (length, code) in codes:
-                    return codes[length, code]
+            chosen = tables[body[2] >> 4], tables[16 + (body[2] & 15)]
+    return Coding(np.concatenate(chosen), quantiser, every, width, height)
+
+
+def decode_frames(frames: list[bytes]) -> list[np.ndarray]:
+    """Of each grey baseline frame the coefficients in zigzag order times their quantisers, a row for each block."""
+    out: list[np.ndarray] = [np.zeros((0, 64), np.int64)] * len(frames)
+    alike: dict[int, list[tuple[int, int]]] = {}
+    codings: dict[int, Coding] = {}
+    for i, f in enumerate(frames):
+        coding, at = _coding(f)
+        codings[id(coding)] = coding
+        alike.setdefault(id(coding), []).append((i, at))
+    for key, places in alike.items():
+        for a in range(0, len(places), AT_ONCE):
+            part = places[a : a + AT_ONCE]
+            rows = _decoded(codings[key], [frames[i][at : frames[i].rindex(b"\xff\xd9")] for i, at in part])
+            for (i, _), own in zip(part, rows.reshape(len(part), -1, 64), strict=True):
+                out[i] = own
+    return out
+
+
+def _decoded(coding: Coding, scans: list[bytes]) -> np.ndarray:
+    """Coefficients of all blocks of scans that share a coding."""
+    data = np.frombuffer(b"".join(scans) + b"\0", np.uint8)
+    begins = np.cumsum([0, *map(len, scans)])
+    mark = np.flatnonzero(data[:-1] == 0xFF)
+    after = data[mark + 1]
+    restarts = mark[(after >= 0xD0) & (after <= 0xD7)]
+    gone = np.zeros(len(data), bool)  # the zero that follows a data byte FF, and restart markers
+    gone[mark[after == 0] + 1] = True
+    gone[restarts] = gone[restarts + 1] = True
+    place = np.concatenate([[0], np.cumsum(~gone)])
+    clean = np.concatenate([data[~gone], np.zeros(8, np.uint8)]).astype(np.uint64)
+    words = clean[:-4] << np.uint64(32) | clean[1:-3] << np.uint64(24) | clean[2:-2] << np.uint64(16) | clean[3:-1] << np.uint64(8) | clean[4:]
+    # Intervals: where they begin, in bits, their first block and number of blocks.
+    starts = np.sort(np.concatenate([begins[:-1], restarts + 2]))
+    frame = np.searchsorted(begins, starts, side="right") - 1
+    nth = np.arange(len(starts)) - np.searchsorted(starts, begins[:-1])[frame]
+    every = coding.every or coding.blocks
+    block = frame * coding.blocks + nth * every
+    left = np.minimum(every, coding.blocks - nth * every)
+    bit = place[starts] * 8
+    live = left > 0
+    bit, block, left = bit[live], block[live], left[live]
+    k, last = np.zeros(len(bit), np.int64), np.zeros(len(bit), np.int64)
+    out = np.zeros(len(scans) * coding.blocks * 64, np.int64)
+    top = lambda at, n: (words[at >> 3] >> (np.uint64(40) - (at & 7).astype(np.uint64) - n)) & ((np.uint64(1) << n) - np.uint64(1))
+    sixteen = np.uint64(16)
+    while len(bit):
+        if bit.max() >> 3 >= len(words):
+            raise ValueError("a scan ends before its blocks do")
+        code = coding.codes[top(bit, sixteen).astype(np.int64) + (k > 0) * (1 << 16)].astype(np.int64)
+        if not code.all():
             raise ValueError("no such code")
-
-        def value(size: int) -> int:
-            v = take(size) if size else 0
-            return v if not size or v >> size - 1 else v - (1 << size) + 1
-
-        for _ in range(min(every or total, total - done)):
-            last += value(symbol(dc))
-            out[done, 0] = last
-            k = 1
-            while k < 64:
-                run, size = divmod(symbol(ac), 16)
-                if not size and run != 15:
-                    break
-                k += run
-                if size:
-                    out[done, k] = value(size)
-                k += 1
-            done += 1
-    return out * quantiser, width, height
-
-
-def payload_of(blocks: list[np.ndarray], size: int | None) -> bytes:
+        run, size = code >> 4 & 15, code & 15
+        run[k == 0] = 0
+        bit = bit + (code >> 8)
+        value = top(bit, size.astype(np.uint64)).astype(np.int64)
+        value = np.where((size > 0) & (value >> np.maximum(size - 1, 0) == 0), value - (1 << size) + 1, value)
+        bit = bit + size
+        first = k == 0
+        last = np.where(first, last + value, last)
+        ends = ~first & (size == 0) & (run != 15)
+        k = np.where(ends, 64, k + run)
+        put = (k < 64) & (first | (size > 0))
+        out[block[put] * 64 + k[put]] = np.where(first, last, value)[put]
+        k = k + 1
+        done = k >= 64
+        if done.any():
+            k[done] = 0
+            block, left = block + done, left - done
+            live = left > 0
+            if not live.all():
+                bit, block, left, k, last = bit[live], block[live], left[live], k[live], last[live]
+    return out.reshape(-1, 64) * coding.quantiser
+
+
+def payload_of(rows: np.ndarray, size: int | None) -> bytes:
     """The bytes that the coefficients stand for."""
-    rows = np.concatenate(blocks) if blocks else np.zeros((0, 64), np.int64)
     data = np.where(rows < 0, rows + 255, rows).astype(np.uint8).tobytes()
     return data if size is None else data[:size]
 
 
-def luma(blocks: np.ndarray) -> np.ndarray:
-    """Histogram of a frame's pixels, as shares."""
-    pixels = np.clip(blocks.astype(np.float32) @ INVERSE + 128, 0, 255).astype(np.uint8)
-    return np.bincount((pixels >> 4).ravel(), minlength=BINS) / pixels.size
+def luma(frames: list[np.ndarray]) -> np.ndarray:
+    """Histograms of frames' pixels, as shares, a row each."""
+    out = np.zeros((len(frames), BINS))
+    for i, blocks in enumerate(frames):
+        pixels = np.clip(blocks.astype(np.float32) @ INVERSE + 128, 0, 255).astype(np.uint8)
+        out[i] = np.bincount((pixels >> 4).ravel(), minlength=BINS) / pixels.size
+    return out
 
 
-def clips(histograms: list[np.ndarray]) -> list[tuple[int, int]]:
+def clips(histograms: np.ndarray) -> list[tuple[int, int]]:
     """(first frame, end frame) of each shot. A cut needs a difference over LEAST and over the mean of the last WINDOW differences of
     the shot by SPREAD deviations."""
     out, start, seen = [], 0, []
@@ -254,7 +308,7 @@ def clips(histograms: list[np.ndarray]) -> list[tuple[int, int]]:
             start, seen = i, []
         else:
             seen.append(d)
-    return [*out, (start, len(histograms))] if histograms else []
+    return [*out, (start, len(histograms))] if len(histograms) else []
 
 
 def padded(text: bytes) -> bytes:
@@ -264,28 +318,42 @@ def padded(text: bytes) -> bytes:
 def clip_rows(media: bytes) -> list[tuple[int, int, float, float]]:
     """(first frame, end frame, start second, end second) of each shot of a grey motion-JPEG AVI."""
     avi = read_avi(media)
-    return [(a, b, a / avi.fps, b / avi.fps) for a, b in clips([luma(decode_frame(f)[0]) for f in avi.frames])]
+    return [(a, b, a / avi.fps, b / avi.fps) for a, b in clips(luma(decode_frames(avi.frames)))]
 
 
-def measured(media: bytes) -> tuple[bytes, str]:
-    """(payload, feature) read from a stored file."""
-    avi = read_avi(media)
-    blocks = [decode_frame(f)[0] for f in avi.frames]
-    hists = [luma(b) for b in blocks]
-    mean = np.mean(hists, 0) if hists else np.zeros(BINS)
-    shots = clips(hists)
-    times = ",".join(f"{1000 * a // FPS}-{1000 * b // FPS}" for a, b in shots)
-    return payload_of(blocks, avi.payload_bytes), f"frames={len(blocks)};shots={len(shots)};ms={times};luma={' '.join(f'{x:.3f}' for x in mean)}"
+def measured(files: list[bytes]) -> list[tuple[bytes, str]]:
+    """(payload, feature) read from each of some stored files, whose frames are decoded together."""
+    avis = [read_avi(m) for m in files]
+    decoded = iter(decode_frames([f for a in avis for f in a.frames]))
+    out = []
+    for avi in avis:
+        blocks = [next(decoded) for _ in avi.frames]
+        hists = luma(blocks)
+        mean = hists.mean(0) if len(hists) else np.zeros(BINS)
+        shots = clips(hists)
+        times = ",".join(f"{1000 * a // FPS}-{1000 * b // FPS}" for a, b in shots)
+        rows = np.concatenate(blocks) if blocks else np.zeros((0, 64), np.int64)
+        out.append((payload_of(rows, avi.payload_bytes), f"frames={len(blocks)};shots={len(shots)};ms={times};luma={' '.join(f'{x:.3f}' for x in mean)}"))
+    return out
 
 
 def media_columns(docs: DataFrame) -> DataFrame:
     """One row per document: its text stored as AVI and read back. No shuffle."""
 
+    def read(held: list[tuple]) -> Iterator[tuple]:
+        for (doc_id, n, media), (back, feature) in zip(held, measured([m for *_, m in held]), strict=True):
+            yield doc_id, n, len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature
+
     def rows(docs: Iterable[tuple]) -> Iterator[tuple]:
+        held, size = [], 0
         for doc_id, text in docs:
-            media = write_avi(padded(text))
-            back, feature = measured(media)
-            yield doc_id, len(text), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-UNIT:]), len(media), hashlib.sha256(media).hexdigest(), feature
+            held.append((doc_id, len(text), write_avi(padded(text))))
+            size += len(text)
+            if size >= TOGETHER or len(held) >= AT_ONCE:
+                yield from read(held)
+                held, size = [], 0
+        if held:
+            yield from read(held)
 
     return common.map_docs(common.as_docs(docs), rows, SCHEMA, "doc_id")
 
