@@ -146,7 +146,7 @@ def _near(x: np.ndarray, y: np.ndarray, percent: int) -> bool:
 def block_pairs(postings: DataFrame, comps: DataFrame, sizes: DataFrame) -> DataFrame:
     """(cell, doc_id, component): what posting lists hold besides their first document in several components, as pairs of blocks.
 
-    comps: (node, component); sizes: (doc_id, n_shingles). A group of a list is some of its components; a large one makes several blocks.
+    comps: (node, component) as far as it is known; sizes: (doc_id, n_shingles). A group of a list is some of its components; a large one makes several blocks.
     """
     first = postings.groupBy("key").agg(F.min("doc_id").alias("a"), F.count("*").alias("n")).where("n > 2").select(F.col("key").alias("k"), "a")
     rest = postings.join(first, F.col("key") == F.col("k")).where("doc_id > a").select("key", "doc_id")
@@ -230,7 +230,9 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     reps = common.only(feats.where("n_shingles > 0"), classes.select(F.col("rep").alias("doc_id")))
     postings = common.cut(rare_postings(reps, percent), "postings")
     stars = common.cut(star_links(postings, docs, percent), "star-links")
-    cells = common.cut(block_pairs(postings, components(stars), reps.select("doc_id", "n_shingles")), "cells")
+    # What is linked with the same first document is one component; that is told by an aggregate, and nearly all of a large group's own.
+    nearest = stars.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("component"))
+    cells = common.cut(block_pairs(postings, nearest, reps.select("doc_id", "n_shingles")), "cells")
     found = components(stars.unionAll(confirmed(cells, docs, percent)))
     keys = ["n_shingles", "f1", "f2"]
     merged = classes.join(found.withColumnRenamed("node", "rep"), "rep", "left").select(*keys, F.coalesce("component", "rep").alias("c"))
