@@ -2,14 +2,12 @@ import math
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators import lexical, rank, vectors, walk
-
-NOTES = {"bread": "a sourdough starter wants flour", "oven": "heat the stone well", "ravens": "ravens fly over the hill"}
-
+from textloom.operators import layer, lexical, rank, render, vectors, walk
 
 def one(spark, column):
     return spark.range(1).select(column).first()[0]
@@ -31,18 +29,39 @@ def test_bm25_equals_formula(spark):
     assert got == pytest.approx(want)
 
 
-def notes_graph(spark, edges):
-    nodes = spark.createDataFrame([(k, "document", v) for k, v in NOTES.items()], "id string, kind string, text string")
-    return nodes, spark.createDataFrame(edges, "from_id string, to_id string, kind string, weight double")
-
-
-@pytest.mark.parametrize(("edges", "weights", "order", "oven"), [([("oven", "bread", "links", 0.0)], {}, ["bread", "oven"], True), ([("oven", "bread", "links", 0.0), ("bread", "ravens", "cites", 0.0)], {"links": 0.0}, ["bread", "ravens"], False)])
-def test_walk_from_one_seed(spark, edges, weights, order, oven):
-    nodes, e = notes_graph(spark, edges)
-    net = walk.damped(walk.walk_edges(nodes, e, weights))
-    mass = {r.id: r.mass for r in walk.ppr_push(net, spark.createDataFrame([("bread", 1.0)], "id string, s double")).collect()}
-    assert sorted(mass, key=lambda i: -mass[i]) == order
-    assert (mass.get("oven", 0) > 0) is oven
+def walk_by_hand(arcs, seed, rounds=400):
+    """Mass of the lazy walk with restart by iterating its equation on dense vectors; arcs: (u, v, w) both ways, before damping."""
+    nodes = sorted({x for u, v, _ in arcs for x in (u, v)})
+    at = {x: i for i, x in enumerate(nodes)}
+    w = np.zeros((len(nodes), len(nodes)))
+    for u, v, x in arcs:
+        w[at[u], at[v]] += x
+        w[at[v], at[u]] += x
+    d = w.sum(1)
+    w = w / (d[:, None] * d[None]) ** 0.25
+    step = w / w.sum(1, keepdims=True)
+    start = np.zeros(len(nodes))
+    start[at[seed]] = 1
+    p = start.copy()
+    for _ in range(rounds):
+        p = walk.ALPHA * start + (1 - walk.ALPHA) * (0.5 * p + 0.5 * p @ step)
+    return dict(zip(nodes, p.tolist(), strict=True))
+
+
+def test_walk_equals_iteration_by_hand(spark):
+    rng = np.random.default_rng(12)
+    pairs = {(int(a), int(b)) for a, b in rng.integers(0, 14, (30, 2)) if a != b}
+    kinds = {p: ("cites", "tags", "quiet")[sum(p) % 3] for p in pairs}
+    weights = {"tags": 2.5, "quiet": 0.0}
+    nodes = spark.createDataFrame([(f"n{i}", "x", None) for i in range(14)], "id string, kind string, text string")
+    edges = spark.createDataFrame([(f"n{a}", f"n{b}", kinds[a, b], 0.0) for a, b in pairs], "from_id string, to_id string, kind string, weight double")
+    net = walk.damped(walk.walk_edges(nodes, edges, weights))
+    arcs = [(f"n{a}", f"n{b}", weights.get(kinds[a, b], 1.0)) for a, b in pairs if weights.get(kinds[a, b], 1.0) > 0]
+    seed = arcs[0][0]
+    want = walk_by_hand(arcs, seed)
+    mass = {r.id: r.mass for r in walk.ppr_push(net, spark.createDataFrame([(seed, 1.0)], "id string, s double"), epsilon=1e-8).collect()}
+    assert mass == pytest.approx({k: v for k, v in want.items() if v > 1e-6}, abs=1e-4)
+    assert sorted(mass, key=lambda i: -mass[i])[:6] == sorted(want, key=lambda i: -want[i])[:6]
 
 
 def test_power_and_push_agree(spark):
@@ -74,11 +93,14 @@ def test_degree_cap_counts_muted_edges(spark):
     assert len(pairs()) == 4
 
 
-def test_structural_tail_is_a_quarter(spark):
-    rows = [(f"d{i}", "document", 1.0 - i / 100, 0.5, False) for i in range(8)] + [(f"tag{i}", "tag", 0.0, 0.4 - i / 10, True) for i in range(3)]
+@pytest.mark.parametrize("k", [1, 3, 5, 9])
+def test_structural_hits_come_last_in_their_share(spark, k):
+    rng = np.random.default_rng(k)
+    rows = [(f"p{i}", "page", 1.0, float(rng.random()), False) for i in range(12)] + [(f"s{i}", "group", 0.0, float(rng.random()), True) for i in range(7)]
     hits = spark.createDataFrame(rows, "id string, class string, score double, mass double, is_structural boolean")
-    got = [r.id for r in rank.class_cut(hits, 8).orderBy("pos").collect()]
-    assert len(got) == 10 and got[-2:] == ["tag0", "tag1"]
+    got = [r.id for r in rank.class_cut(hits, k).orderBy("pos").collect()]
+    by_mass = lambda structural: [r[0] for r in sorted(rows, key=lambda r: (-r[3], r[0])) if r[4] is structural]
+    assert got == by_mass(False)[:k] + by_mass(True)[: max(1, k // 4)]
 
 
 def test_class_rule(spark):
@@ -97,8 +119,6 @@ def test_fusion_and_best_chunk(spark):
 
 
 def test_knn_equals_brute_force(spark):
-    import numpy as np
-
     x = np.random.default_rng(3).normal(size=(70, 8))
     df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<double>")
     got = {(r.a, r["rank"]): r.b for r in vectors.knn(df, df, 3, block=16).collect()}
@@ -116,3 +136,65 @@ def test_text_functions(spark):
     assert [one(spark, T.is_entity_name(F.lit(n))) for n in ("spark engine", "a", "12 apostles", "one two three four five")] == [True, False, False, False]
     assert Counter(one(spark, T.attr_pairs(F.create_map(F.lit("b"), F.lit("2"), F.lit("a"), F.lit("1")))).split()) == Counter(["a=1", "b=2"])
     assert str(one(spark, T.since("30d", F.lit("2024-02-01").cast("timestamp"))))[:10] == "2024-01-02"
+
+
+def test_bm25_of_texts_equals_that_of_the_index(spark):
+    df = spark.createDataFrame([(i, 0, t) for i, t in enumerate(["red fish blue fish", "one red hat", "", "green eggs and red ham red", "hat"])], "node_id long, idx int, text string")
+    index = lexical.bm25(lexical.text_postings(df), lexical.chunk_lengths(df), lexical.query_terms(spark, "red fish hat"))
+    scan = lexical.bm25_texts(df, ["red", "fish", "hat", "absent"])
+    as_dict = lambda d: {r.node_id: r.score for r in d.collect()}
+    assert as_dict(scan) == pytest.approx(as_dict(index)) and lexical.bm25_texts(df, []).count() == 0
+
+
+def test_near_pairs_equal_brute_force(spark):
+    x = np.random.default_rng(8).normal(size=(90, 6))
+    df = spark.createDataFrame([(f"v{i:02}", v.tolist()) for i, v in enumerate(x)], "id string, v array<double>")
+    got = {(r.a, r.b) for r in vectors.near_pairs(df, 4.0, block=20).collect()}
+    assert got == {(f"v{i:02}", f"v{j:02}") for i in range(90) for j in range(i + 1, 90) if x[i] @ x[j] >= 4.0} and got
+
+
+def test_candidates_equal_brute_force(spark):
+    rng = np.random.default_rng(4)
+    words = [f"word{chr(97 + i)}" for i in range(20)]
+    texts = {i: " ".join(rng.choice(words, 6)) for i in range(15)}
+    names = [f"{a} {b}" if rng.random() < 0.3 else a for a, b in zip(words, rng.permutation(words).tolist(), strict=True)]
+    chunks = {(i, k): rng.normal(size=5) for i in texts for k in range(int(rng.integers(1, 10)))}
+    entity = {n: rng.normal(size=5) for n in names}
+    got = layer.candidates(
+        spark.createDataFrame(list(texts.items()), "node_id long, text string"), spark.createDataFrame([(n, n) for n in names], "entity string, name string"),
+        spark.createDataFrame([(i, k, v.tolist()) for (i, k), v in chunks.items()], "node_id long, idx int, v array<double>"), spark.createDataFrame([(n, v.tolist()) for n, v in entity.items()], "entity string, v array<double>"), most=5,
+    )
+    for i, t in texts.items():
+        best = {n: max(float(v @ chunks[i, k]) for k in range(layer.CHUNKS) if (i, k) in chunks) for n, v in entity.items()}
+        held = {n: 2 + 0.1 * len(n.split()) if set(n.split()) <= set(t.split()) else 0.0 for n in names}
+        score = {n: round(best[n] + held[n], 9) for n in names if held[n] or best[n] > 0}
+        assert [r.entity for r in got.where(f"node_id = {i}").orderBy(F.desc("score"), "entity").collect()] == sorted(score, key=lambda n: (-score[n], n))[:5]
+
+
+def most_stems(text, wanted, reach):
+    """The most distinct stems of words that begin within reach characters of each other."""
+    at = [(m.start(), m[0][:5]) for m in re.finditer(r"\w+", text) if m[0][:5] in wanted]
+    return max((len({s for b, s in at if a <= b <= a + reach}) for a, _ in at), default=0)
+
+
+def test_snippets_hold_most_stems():
+    rng = np.random.default_rng(2)
+    filler = [f"filler{i}" for i in range(40)]
+    for k in range(60):
+        parts = rng.choice(filler, 120).tolist()
+        for term in ("walking", "stones", "rivers")[: 1 + k % 3]:
+            for _ in range(2):
+                parts[int(rng.integers(0, 120))] = term
+        text = " ".join(parts)
+        got = render.snippet(text, ["walkings", "stone", "river"], 100)
+        body = got.strip("…")
+        assert len(body) <= 100 and body in text and all(w in parts for w in body.split())
+        wanted = {w[:5] for w in ("walking", "stones", "rivers")}
+        assert len({w[:5] for w in body.split()} & wanted) == most_stems(text, wanted, 75)
+        assert (got[0] == "…") == (not text.startswith(body)) and (got[-1] == "…") == (not text.endswith(body))
+    assert render.snippet("  two \n words ", ["x"]) == "two words" and render.snippet("a" * 300, ["b"], 50) in ("…", "a" * 50 + "…", "")
+
+
+def test_common_base():
+    assert render.common_base(["/a/b/c.md", "/a/b/d/e.md"]) == "/a/b/" and render.common_base(["/a/x"]) == "/a/"
+    assert render.common_base(["/x", "/y"]) == "" and render.common_base(["turn:1", "turn:2"]) == "" and render.common_base(["/ab/c", "/ad/c"]) == ""

@@ -13,7 +13,7 @@ LABEL_RUNES, STEM_RUNES, SNIPPET_RUNES = 60, 5, 280
 
 def tokens(x: Column) -> Column:
     """Lower-cased runs of letters and digits; no stemming, no empties."""
-    return F.filter(F.split(F.lower(x), r"[^\p{L}\p{Nd}]+"), lambda t: t != "")
+    return F.array_remove(F.split(F.lower(x), r"[^\p{L}\p{Nd}]+"), "")
 
 
 def content_hash(x: Column) -> Column:

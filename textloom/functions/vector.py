@@ -18,6 +18,11 @@ def unit(v: Column) -> Column:
     return F.when(n > 0, F.transform(v.cast("array<double>"), lambda x: x / n)).otherwise(v.cast("array<double>"))
 
 
+def enrichment_dot(a: Column, b: Column) -> Column:
+    """The dot product by which items are compared: below all others where a vector is missing or of another size."""
+    return dot(a, b, -1.0)
+
+
 def hash_embedding(text: Column, dims: int = 64) -> Column:
     """A vector without a model: the same text gives the same unit vector."""
     return unit(F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.pmod(F.xxhash64(text, i), F.lit(2_000_003)) / 1_000_001.0 - 1))

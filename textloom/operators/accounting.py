@@ -5,9 +5,6 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed default prices, per million tokens in and out, are a table of the caller; see ``priced``.
-
-
 def key_edges(nodes: DataFrame, name: str, pattern: str) -> tuple[DataFrame, DataFrame]:
     """(key nodes, has edges): each match of pattern in a node id that two nodes or more hold. Recomputed whole at each run."""
     owner = f"~key:{name}"
@@ -24,6 +21,7 @@ def key_edges(nodes: DataFrame, name: str, pattern: str) -> tuple[DataFrame, Dat
 def compactable(nodes: DataFrame, edges: DataFrame, kinds: list[str], cutoff: Column, read: DataFrame) -> DataFrame:
     """(container): containers whose every member of kinds, in by an edge of kind in, is dated, at cutoff or before, and read (id)."""
     member = edges.where("kind = 'in'").select(F.col("from_id").alias("id"), F.col("to_id").alias("container")).join(nodes.where(F.col("kind").isin(kinds)).select("id", "at"), "id")
+    member = member.join(nodes.select(F.col("id").alias("container")), "container", "left_semi").select("id", "container", "at")
     seen = member.join(read.select("id", F.lit(True).alias("was_read")), "id", "left")
     ok = F.col("at").isNotNull() & F.coalesce(F.col("at") <= cutoff, F.lit(False)) & F.coalesce("was_read", F.lit(False))
     return seen.groupBy("container").agg(F.bool_and(ok).alias("all_ok")).where("all_ok").select("container")

@@ -6,10 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators.walk import checkpointed
+from textloom.operators.tables import checkpointed
 
 #: Fixed limits of the listings.
-GRAPH_LIMIT, LIST_LIMIT, REACH_LIMIT, REACH_RUNES = 1500, 1000, 200, 1200
+GRAPH_LIMIT, LIST_LIMIT, REACH_LIMIT = 1500, 1000, 200
 
 
 def live_edges(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -71,21 +71,20 @@ def kind_listing(nodes: DataFrame, edges: DataFrame, kind: str, substring: str =
     return top.crossJoin(F.broadcast(rows.agg(F.count("*").alias("total"))))
 
 
-def parts(nodes: DataFrame, edges: DataFrame, start: DataFrame, most: int = 30) -> DataFrame:
+def parts(nodes: DataFrame, edges: DataFrame, start: DataFrame) -> DataFrame:
     """(root, id): what a node stands for, by incoming edges through nodes without text; a node with text is its only part.
 
     start has the column root. Frontiers are joined until none is new.
     """
-    has_text = nodes.select("id", F.col("text").isNotNull().alias("has_text"))
-    into = edges.select(F.col("to_id").alias("id"), F.col("from_id").alias("next"))
+    # Each round reads both.
+    has_text = checkpointed(nodes.select("id", F.col("text").isNotNull().alias("has_text")))
+    into = checkpointed(edges.select(F.col("to_id").alias("id"), F.col("from_id").alias("next")))
     seen = start.select("root", F.col("root").alias("id")).distinct()
     frontier = seen
-    for _ in range(most):
+    while not frontier.isEmpty():  # ends, as each round adds pairs that weren't seen
         through = frontier.join(has_text.where("not has_text"), "id", "left_semi")
         new = through.join(into, "id").select("root", F.col("next").alias("id")).distinct().join(has_text.select("id"), "id", "left_semi").select("root", "id")
         frontier = checkpointed(new.join(seen, ["root", "id"], "left_anti"))
-        if frontier.isEmpty():
-            break
         seen = checkpointed(seen.unionAll(frontier))
     return seen
 
@@ -132,32 +131,48 @@ def adjacency(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     return e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
 
 
-def components(nodes: DataFrame, edges: DataFrame, most: int = 60) -> DataFrame:
+def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """(id, component): the least id reachable. Labels spread to neighbours and jump to their label's label, until none changes."""
     adj = checkpointed(adjacency(nodes, edges))
-    label = nodes.select("id", F.col("id").alias("c"))
-    for _ in range(most):
+    label, held = checkpointed(nodes.select("id", F.col("id").alias("c"))), []
+    while True:  # ends, as labels only fall
         near = adj.join(label, F.col("u") == F.col("id")).groupBy("v").agg(F.min("c").alias("m"))
         step = label.join(near, F.col("id") == F.col("v"), "left").select("id", F.least("c", F.coalesce("m", "c")).alias("c"), F.col("c").alias("old"))
         jump = step.select(F.col("id").alias("k"), F.col("c").alias("cc"))
-        new = checkpointed(step.join(jump, F.col("c") == F.col("k")).select("id", F.least("c", "cc").alias("c"), "old"))
+        new = checkpointed(step.join(jump, F.col("c") == F.col("k")).select("id", F.least("c", "cc").alias("c"), "old"), held)
+        held = [new]
         label = new.select("id", "c")
         if new.where("c <> old").isEmpty():
             break
     return label.select("id", F.col("c").alias("component"))
 
 
+def numbered(ids: DataFrame) -> DataFrame:
+    """(id, n): places from 0 in order of id, by sorted ranges and the number of rows before each."""
+    ranges = checkpointed(ids.select("id").orderBy("id").select("id", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("k")))
+    before = ranges.groupBy("p").agg(F.count("*").alias("c")).select("p", (F.sum("c").over(Window.orderBy("p")) - F.col("c")).alias("before"))  # a row for each range
+    return ranges.join(before, "p").select("id", (F.col("before") + F.col("k")).alias("n"))
+
+
 def graphml(nodes: DataFrame, edges: DataFrame, kinds: list[str] | None = None, edge_kinds: list[str] | None = None) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(node rows, edge rows, count of dangling edges) of an export: nodes numbered in order of id, edges in order of (from, to, kind)."""
+    """(node rows, edge rows, count of dangling edges) of an export: nodes numbered in order of id, edges in order of (from, to, kind).
+
+    An edge dangles if an end is absent from nodes; one whose end is of another kind than kinds is left out.
+    """
     kept = nodes.where(F.col("kind").isin(kinds)) if kinds else nodes
     picked = edges.where(F.col("kind").isin(edge_kinds)) if edge_kinds else edges
-    live = live_edges(kept, picked)
+    there, live = live_edges(nodes, picked), live_edges(kept, picked)
     ends = live.select(F.explode(F.array_distinct(F.array("from_id", "to_id"))).alias("id")).groupBy("id").agg(F.count("*").alias("degree"))
-    number = kept.select("id").rdd.map(lambda r: r[0]).sortBy(lambda x: x.encode()).zipWithIndex().toDF("id string, n long") if not kept.isEmpty() else kept.select("id", F.lit(0).cast("long").alias("n"))
-    rows = kept.join(number, "id").join(ends, "id", "left").select("n", "id", "kind", "attrs", "text", F.coalesce("degree", F.lit(0)).alias("degree"))
+    number = checkpointed(numbered(kept))
+    chunks = F.col("n_chunks") if "n_chunks" in nodes.columns else F.when(F.col("text").isNotNull(), 1)
+    rows = kept.join(number, "id").join(ends, "id", "left").select("n", "id", "kind", "attrs", "text", "at", "connector", F.coalesce(chunks, F.lit(0)).alias("n_chunks"), F.coalesce("degree", F.lit(0)).alias("degree"))
     by = lambda side, name: number.select(F.col("id").alias(side), F.col("n").alias(name))
-    arcs = live.join(by("from_id", "a"), "from_id").join(by("to_id", "b"), "to_id").select("a", "b", "from_id", "to_id", "kind", "weight")
-    lost = picked.agg(F.count("*").alias("all")).crossJoin(live.agg(F.count("*").alias("live"))).select((F.col("all") - F.col("live")).alias("dangling"))
+    arcs = live.join(by("from_id", "a"), "from_id").join(by("to_id", "b"), "to_id").select("a", "b", "from_id", "to_id", "kind", "weight", "connector")
+    key = F.struct("from_id", "to_id", "kind")
+    ranges = checkpointed(arcs.orderBy(key).select("*", F.spark_partition_id().alias("p"), F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)).alias("k")))
+    before = ranges.groupBy("p").agg(F.count("*").alias("c")).select("p", (F.sum("c").over(Window.orderBy("p")) - F.col("c")).alias("before"))
+    arcs = ranges.join(before, "p").select((F.col("before") + F.col("k")).alias("e"), "a", "b", "from_id", "to_id", "kind", "weight", "connector")
+    lost = picked.agg(F.count("*").alias("all")).crossJoin(there.agg(F.count("*").alias("live"))).select((F.col("all") - F.col("live")).alias("dangling"))
     return rows, arcs, lost
 
 
@@ -167,20 +182,24 @@ def xml_escaped(x: Column) -> Column:
     return x
 
 
+#: Columns of an export: id, what has it, name, type.
+GRAPHML = [("n_id", "node", "id", "string"), ("n_label", "node", "label", "string"), ("n_kind", "node", "kind", "string"), ("n_connector", "node", "connector", "string"), ("n_chunks", "node", "chunks", "int"), ("n_degree", "node", "degree", "int"), ("n_at", "node", "at", "string"), ("e_kind", "edge", "kind", "string"), ("e_weight", "edge", "weight", "double"), ("e_connector", "edge", "connector", "string")]
+
+
 def graphml_lines(nodes: DataFrame, edges: DataFrame, **picked) -> DataFrame:
     """(part, n, line): the lines of a GraphML file, ordered by part and n; empty values are left out."""
     rows, arcs, _ = graphml(nodes, edges, **picked)
     data = lambda k, v: F.when(F.coalesce(v.cast("string"), F.lit("")) != "", F.concat(F.lit(f'<data key="{k}">'), xml_escaped(v.cast("string")), F.lit("</data>"))).otherwise("")
-    body = F.concat(data("id", F.col("id")), data("kind", F.col("kind")), data("degree", F.col("degree")), data("label", T.label(F.col("id"), F.col("kind"), F.col("attrs"), F.col("text"))))
-    node = rows.select(F.lit(1).alias("part"), "n", F.concat(F.lit('<node id="n'), F.col("n"), F.lit('">'), body, F.lit("</node>")).alias("line"))
-    place = F.row_number().over(Window.partitionBy("a").orderBy("b", "kind")) + F.col("a") * (1 << 32)
-    edge = arcs.select(F.lit(2).alias("part"), place.alias("n"), F.concat(F.lit('<edge source="n'), F.col("a"), F.lit('" target="n'), F.col("b"), F.lit('">'), data("kind", F.col("kind")), data("weight", F.when(F.col("weight") > 0, F.col("weight"))), F.lit("</edge>")).alias("line"))
-    head = '<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n' + "".join(f'<key id="{k}" for="{f}" attr.name="{k}" attr.type="{t}"/>\n' for k, f, t in (("id", "node", "string"), ("label", "node", "string"), ("degree", "node", "int"), ("kind", "all", "string"), ("weight", "edge", "double"))) + '<graph edgedefault="directed">'
+    values = {"n_id": F.col("id"), "n_label": T.label(F.col("id"), F.col("kind"), F.col("attrs"), F.col("text")), "n_kind": F.col("kind"), "n_connector": F.col("connector"), "n_chunks": F.col("n_chunks"), "n_degree": F.col("degree"), "n_at": F.date_format("at", "yyyy-MM-dd'T'HH:mm:ss'Z'")}
+    node = rows.select(F.lit(1).alias("part"), "n", F.concat(F.lit('<node id="n'), F.col("n"), F.lit('">'), *(data(k, v) for k, v in values.items()), F.lit("</node>")).alias("line"))
+    said = [data("e_kind", F.col("kind")), data("e_weight", F.col("weight")), data("e_connector", F.col("connector"))]
+    edge = arcs.select(F.lit(2).alias("part"), F.col("e").alias("n"), F.concat(F.lit('<edge id="e'), F.col("e"), F.lit('" source="n'), F.col("a"), F.lit('" target="n'), F.col("b"), F.lit('">'), *said, F.lit("</edge>")).alias("line"))
+    head = '<?xml version="1.0" encoding="UTF-8"?>\n<graphml xmlns="http://graphml.graphdrawing.org/xmlns">\n' + "".join(f'<key id="{k}" for="{f}" attr.name="{n}" attr.type="{t}"/>\n' for k, f, n, t in GRAPHML) + '<graph id="G" edgedefault="directed">'
     spark = nodes.sparkSession
     fixed = spark.createDataFrame([(0, 0, head), (3, 0, "</graph>\n</graphml>")], "part int, n long, line string")
     return fixed.unionAll(node).unionAll(edge)
 
 
 def write_graphml(lines: DataFrame, path: str) -> None:
-    """One file, in order: sorted ranges written by one task, which streams them."""
-    lines.orderBy("part", "n").coalesce(1).select("line").write.mode("overwrite").text(path)
+    """A folder of parts that are one file when they are joined in order of name: sorted ranges, each written by its own task."""
+    lines.orderBy("part", "n").select("line").write.mode("overwrite").text(path)

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
-from textloom.operators.walk import checkpointed
+from textloom.operators.tables import checkpointed
 
 ENGINE = "~"
 SEMANTIC = "~semantic"
@@ -61,7 +61,7 @@ def guard(records: DataFrame, stored: DataFrame, *keys: str) -> DataFrame:
     owned = stored.where(F.col("connector") == SEMANTIC).select(*keys, F.lit(True).alias("owned"))
     checked = records.join(owned, list(keys), "left")
     keep = F.when(F.col("owned"), F.raise_error(F.lit("a connector may not state what the semantic layer owns")).cast("boolean")).otherwise(F.lit(True))
-    return checked.where(keep).drop("owned")
+    return checked.where(keep).select(*records.columns)
 
 
 def run_stats(arriving: DataFrame, change: DataFrame, deleted: DataFrame) -> DataFrame:
@@ -104,7 +104,7 @@ def apply_run(tables: Tables, records: DataFrame, connector: str, recipe: str) -
     d = latest(d, "id").join(n.select("id", F.col("seq").alias("stated")), "id", "left").where("stated is null or stated < seq").select("id")
     arriving = n.join(d, "id", "left_anti").select("id", F.coalesce("kind", F.lit("document")).alias("kind"), "text", F.coalesce("attrs", F.create_map().cast("map<string,string>")).alias("attrs"), "at", own.alias("connector"), F.coalesce("hash", T.content_hash(F.col("text"))).alias("hash"), F.coalesce("chunker", F.lit(recipe)).alias("recipe"))
     arriving = checkpointed(guard(arriving, tables.nodes, "id"))
-    stated = e.select("from_id", "to_id", "kind", "weight", own.alias("connector"))
+    stated = checkpointed(guard(e.select("from_id", "to_id", "kind", "weight", own.alias("connector")), tables.edges, "from_id", "to_id", "kind"))
     change = changed(tables.nodes, arriving)
     nodes, edges = delete_nodes(upsert(tables.nodes, arriving, "id"), upsert(tables.edges, stated, "from_id", "to_id", "kind"), d, connector)
     if not records.where("sweep is not null").isEmpty():

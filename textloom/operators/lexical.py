@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from textloom.functions import text as T
+from textloom.operators.tables import checkpointed
 
 #: Fixed values of the scoring rule.
 K1, B, TF_CAP = 1.2, 0.75, 65_535
@@ -45,10 +46,31 @@ def bm25(posts: DataFrame, lengths: DataFrame, query: DataFrame) -> DataFrame:
     stats = lengths.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
     hit = posts.join(F.broadcast(query.select("term").distinct()), "term")
     df = hit.groupBy("term").agg(F.count("*").alias("df"))
+    return _scored(hit.join(lengths, ["node_id", "idx"]), df, stats)
+
+
+def bm25_texts(chunks: DataFrame, terms: list[str]) -> DataFrame:
+    """bm25 of (node_id, idx, text) that have no index: one pass over the texts, in which a chunk becomes its length and its few hits.
+
+    Only these narrow rows are kept and aggregated; no token of a text is shuffled. terms: those of one query.
+    """
+    held = chunks.select("node_id", "idx", T.tokens(F.col("text")).alias("t"))
+    tf = lambda term: F.size("t") - F.size(F.array_remove("t", term))
+    counted = F.array(*(F.struct(F.lit(x).alias("term"), F.least(tf(x), F.lit(TF_CAP)).alias("tf")) for x in dict.fromkeys(terms)))
+    if not terms:
+        return held.select("node_id", "idx", F.lit(0.0).alias("score")).limit(0)
+    rows = checkpointed(held.select("node_id", "idx", F.size("t").alias("len"), F.filter(counted, lambda h: h["tf"] > 0).alias("hits")))
+    stats = rows.agg(F.count("*").alias("n"), F.avg("len").alias("mean"))
+    hit = rows.where(F.size("hits") > 0).select("node_id", "idx", "len", F.inline("hits"))
+    return _scored(hit, hit.groupBy("term").agg(F.count("*").alias("df")), stats)
+
+
+def _scored(hit: DataFrame, df: DataFrame, stats: DataFrame) -> DataFrame:
+    """hit: (node_id, idx, len, term, tf); df has a row for each term of the query."""
     idf = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     weights = df.crossJoin(F.broadcast(stats)).select("term", idf.alias("idf"), "mean")
     part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("len") / F.col("mean")))
-    return hit.join(F.broadcast(weights), "term").join(lengths, ["node_id", "idx"]).groupBy("node_id", "idx").agg(F.sum(part).alias("score"))
+    return hit.join(F.broadcast(weights), "term").groupBy("node_id", "idx").agg(F.sum(part).alias("score"))
 
 
 def query_terms(spark, text: str) -> DataFrame:

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import tempfile
 from collections import deque
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.operators.tables import checkpointed
+
 #: Fixed values of the walk.
 ALPHA, EPSILON, DAMPING = 0.15, 1e-4, 0.25
 
@@ -40,6 +41,7 @@ def walk_edges(nodes: DataFrame, edges: DataFrame, kind_weights: dict[str, float
 
 def damped(walk: DataFrame) -> DataFrame:
     """Weights over the fourth root of the product of the ends' weighted degrees, which are those before damping."""
+    walk = checkpointed(walk)  # read three times
     deg = walk.groupBy("u").agg(F.sum("w").alias("d"))
     both = walk.join(deg.withColumnRenamed("d", "du"), "u").join(deg.select(F.col("u").alias("v"), F.col("d").alias("dv")), "v")
     return both.select("u", "v", (F.col("w") / F.pow(F.col("du") * F.col("dv"), DAMPING)).alias("w"))
@@ -47,29 +49,23 @@ def damped(walk: DataFrame) -> DataFrame:
 
 def ppr_power(walk: DataFrame, seeds: DataFrame, steps: int = 20, alpha: float = ALPHA) -> DataFrame:
     """(id, mass) by the residual form of the lazy walk, a join and an aggregate each step; a seed without edges keeps its mass."""
+    walk = checkpointed(walk)
     deg = walk.groupBy("u").agg(F.sum("w").alias("d"))
     # Every step reads the shares, so they are written once. Their ends are all linked nodes, as arcs go both ways.
     share = checkpointed(walk.join(deg, "u").select("u", "v", (F.col("w") / F.col("d")).alias("p")))
     seeds = checkpointed(seeds)
     linked = share.select(F.col("u").alias("id")).distinct()
     alone = seeds.join(linked, "id", "left_anti").select("id", F.col("s").alias("mass"))
-    r = seeds.join(linked, "id", "left_semi").select("id", F.col("s").alias("r"))
-    mass = r.select("id", (alpha * F.col("r")).alias("mass"))
+    # A row holds a node's residual and the mass it has had so far.
+    r = seeds.join(linked, "id", "left_semi").select("id", F.col("s").alias("r"), (alpha * F.col("s")).alias("mass"))
+    none, held = F.lit(0.0).alias("mass"), []
     for step in range(1, steps):
-        moved = r.join(share, r["id"] == share["u"]).groupBy(F.col("v").alias("id")).agg((0.5 * (1 - alpha) * F.sum(F.col("r") * F.col("p"))).alias("r"))
-        r = moved.unionAll(r.select("id", (0.5 * (1 - alpha) * F.col("r")).alias("r"))).groupBy("id").agg(F.sum("r").alias("r"))
-        if step % 3 == 0:
-            r = checkpointed(r)
-        mass = mass.unionAll(r.select("id", (alpha * F.col("r")).alias("mass")))
-    return mass.unionAll(alone).groupBy("id").agg(F.sum("mass").alias("mass"))
-
-
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Cut lineage through the shared folder of ``spark.checkpoint.dir``; where that is unset (tests) through a new local one."""
-    sc = df.sparkSession.sparkContext
-    if not sc.getCheckpointDir():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="textloom-"))
-    return df.checkpoint()
+        moved = r.join(share, r["id"] == share["u"]).select(F.col("v").alias("id"), (0.5 * (1 - alpha) * F.col("r") * F.col("p")).alias("r"), none)
+        stays = r.select("id", (0.5 * (1 - alpha) * F.col("r")).alias("r"), "mass")
+        r = moved.unionAll(stays).groupBy("id").agg(F.sum("r").alias("r"), F.sum("mass").alias("mass")).select("id", "r", (F.col("mass") + alpha * F.col("r")).alias("mass"))
+        r = checkpointed(r, held)
+        held = [r]
+    return r.select("id", "mass").unionAll(alone)
 
 
 def neighbourhood(walk: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:

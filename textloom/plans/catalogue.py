@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -9,7 +10,8 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.functions import vector as V
-from textloom.operators import accounting, graph, ingest, layer, lexical, metrics, rank, vectors, walk
+from textloom.operators import accounting, gate, graph, ingest, layer, lexical, metrics, rank, vectors, walk
+from textloom.operators.tables import checkpointed
 from textloom.sources import files, graph_tables
 from textloom.sources import sessions as S
 
@@ -94,8 +96,8 @@ def doc_text(spark, d):
 def lexical_scores(spark, d):
     docs = doc_text(spark, d)
     b = t(spark, d, "benchmark")
-    q = b.orderBy("item_id").limit(1).select(F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("term"))
-    s = lexical.bm25(lexical.text_postings(docs), lexical.chunk_lengths(docs), q)
+    q = b.orderBy("item_id").limit(1).select(T.tokens(F.col("text")).alias("terms")).collect()  # the terms of one query
+    s = lexical.bm25_texts(docs, q[0].terms if q else [])
     return s.select(F.col("node_id").alias("doc_id"), F.round("score", 9).alias("score"))
 
 
@@ -110,9 +112,9 @@ def fused_scores(spark, d):
     return rank.reciprocal_rank_fusion(channels, "doc_id")
 
 
-@query(f"WITH {POST} SELECT term, sum(tf)::BIGINT AS cf, count(*) AS df FROM post GROUP BY 1 HAVING count(*) >= 20")
+@query(f"WITH {POST} SELECT term, sum(tf)::BIGINT AS cf, count(*) AS df FROM post GROUP BY 1")
 def tokenize_terms(spark, d):
-    return lexical.vocabulary(lexical.text_postings(doc_text(spark, d))).where("df >= 20")
+    return lexical.vocabulary(lexical.text_postings(doc_text(spark, d)))
 
 
 @query(f"WITH {POST} SELECT lang, count(*) AS chunks, sum(n)::BIGINT AS tokens, round(avg(n), 6) AS avg_len FROM len JOIN documents USING (doc_id) GROUP BY 1")
@@ -211,23 +213,23 @@ def walk_degree_cap(spark, d):
 
 
 def seed_table(spark, d):
-    return rank.seeds(fused_scores(spark, d).select(F.concat(F.lit("doc:"), "doc_id").alias("id"), F.round("score", 9).alias("score")), 5)
+    return rank.seeds(fused_scores(spark, d).select(F.concat(F.lit("doc:"), "doc_id").alias("id"), F.round("score", 9).alias("score")))
 
 
-SEEDS = "sd AS (SELECT 'doc:' || doc_id AS id, round(score, 9) AS score FROM fused), seeds AS (SELECT id, score / sum(score) OVER () AS s FROM (SELECT * FROM sd ORDER BY score DESC, id LIMIT 5))"
-STEPS = 4
+SEEDS = "sd AS (SELECT 'doc:' || doc_id AS id, round(score, 9) AS score FROM fused), seeds AS (SELECT id, score / sum(score) OVER () AS s FROM (SELECT * FROM sd ORDER BY score DESC, id LIMIT 10))"
+STEPS = 20
 POWER = ", ".join(["r0 AS MATERIALIZED (SELECT id, s AS r FROM seeds)"] + [f"r{k} AS MATERIALIZED (SELECT id, sum(r) AS r FROM (SELECT v AS id, 0.425 * r * p AS r FROM r{k - 1} JOIN share ON share.u = r{k - 1}.id UNION ALL SELECT id, 0.425 * r FROM r{k - 1}) GROUP BY 1)" for k in range(1, STEPS)])
 
 
 @query(f"""WITH {GRAPH}, {WALK}, {FUSED}, {SEEDS}, dd AS (SELECT u, sum(w) AS d FROM damp GROUP BY 1), share AS MATERIALIZED (SELECT damp.u, v, w / d AS p FROM damp JOIN dd USING (u)), {POWER}
-SELECT id, round(sum(0.15 * r), 6) AS mass FROM ({' UNION ALL '.join(f'SELECT * FROM r{k}' for k in range(STEPS))}) GROUP BY 1 HAVING sum(0.15 * r) >= 1e-3""")
+SELECT id, round(sum(0.15 * r), 6) AS mass FROM ({' UNION ALL '.join(f'SELECT * FROM r{k}' for k in range(STEPS))}) GROUP BY 1""")
 def ppr_power(spark, d):
-    return walk.ppr_power(walk_table(spark, d), seed_table(spark, d), STEPS).where("mass >= 1e-3").select("id", r6("mass"))
+    return walk.ppr_power(walk_table(spark, d), seed_table(spark, d), STEPS).select("id", r6("mass"))
 
 
 @query()
 def ppr_exact_topk(spark, d):
-    mass = walk.ppr_push(walk_table(spark, d), seed_table(spark, d), hops=3)
+    mass = walk.ppr_push(walk_table(spark, d), seed_table(spark, d))
     return mass.select("id", F.round("mass", 9).alias("score")).orderBy(F.desc("score"), "id").limit(20).select("id", F.row_number().over(Window.orderBy(F.desc("score"), "id")).alias("rank"))
 
 
@@ -316,10 +318,11 @@ def run_stats(spark, d):
     return ingest.run_stats(two, ingest.changed(one, two), one.join(two.select("id"), "id", "left_anti"))
 
 
-@query("SELECT doc_id, (1 + (length(substr(text, 1, 400)) - length(replace(substr(text, 1, 400), chr(10), ''))))::INT AS line, (1 + (length(substr(text, 1, 800)) - length(replace(substr(text, 1, 800), chr(10), ''))))::INT AS end_line FROM documents WHERE length(text) > 800")
+@query("SELECT doc_id, start, (1 + length(before) - length(replace(before, chr(10), '')))::INT AS line FROM (SELECT doc_id, start, substr(text, 1, start) AS before FROM (SELECT doc_id, text, unnest(generate_series(0, length(text) - 1, 400)) AS start FROM documents WHERE length(text) > 0))")
 def chunk_lines(spark, d):
-    docs = t(spark, d, "documents").where(F.char_length("text") > 800)
-    return docs.select("doc_id", T.line_of(F.col("text"), F.lit(400)).alias("line"), T.line_of(F.col("text"), F.lit(800)).alias("end_line"))
+    docs = t(spark, d, "documents").where(F.char_length("text") > 0)
+    cuts = docs.select("doc_id", "text", F.explode(F.sequence(F.lit(0), F.char_length("text") - 1, F.lit(400))).alias("start"))
+    return cuts.select("doc_id", F.col("start").cast("long").alias("start"), T.line_of(F.col("text"), F.col("start")).alias("line"))
 
 
 # --- sources ---
@@ -454,12 +457,14 @@ def bank_summary(spark, d):
     return graph.bank_summary(graph_tables.nodes(spark, d))
 
 
-@query(f"""WITH RECURSIVE {GRAPH}, small AS (SELECT id FROM nodes WHERE connector IN ('talk', 'web')), sadj AS (SELECT u, v FROM adj WHERE u IN (SELECT id FROM small) AND v IN (SELECT id FROM small)),
-reach(id, c) AS (SELECT id, id FROM small UNION SELECT a.v, r.c FROM reach r JOIN sadj a ON a.u = r.id WHERE r.c < a.v), lab AS (SELECT id, min(c) AS component FROM reach GROUP BY 1)
-SELECT size, count(*) AS n FROM (SELECT component, count(*) AS size FROM lab GROUP BY 1) GROUP BY 1""")
+#: No component of these tables is wider than a dozen steps (order, customer, nation, region, nation, supplier, part).
+LABELS = ", ".join(["l0 AS (SELECT id, id AS c FROM nodes)"] + [f"l{k} AS MATERIALIZED (SELECT l.id, least(any_value(l.c), coalesce(min(m.c), any_value(l.c))) AS c FROM l{k - 1} l LEFT JOIN madj a ON a.u = l.id LEFT JOIN l{k - 1} m ON m.id = a.v GROUP BY l.id)" for k in range(1, 14)])
+
+
+@query(f"""WITH {GRAPH}, madj AS MATERIALIZED (SELECT u, v FROM adj), {LABELS}
+SELECT size, count(*) AS n FROM (SELECT c, count(*) AS size FROM l13 GROUP BY 1) GROUP BY 1""")
 def components(spark, d):
-    keep = F.col("connector").isin("talk", "web")
-    c = graph.components(graph_tables.nodes(spark, d).where(keep), graph_tables.edges(spark, d).where(keep))
+    c = graph.components(graph_tables.nodes(spark, d), graph_tables.edges(spark, d))
     return c.groupBy("component").agg(F.count("*").alias("size")).groupBy("size").agg(F.count("*").alias("n"))
 
 
@@ -501,18 +506,20 @@ def power_law_fit(spark, d):
     return spark.createDataFrame([(m["status"], m.get("k_min"), *(round(m[k], 4) for k in keys))], "status string, k_min int" + "".join(f", {k} double" for k in keys))
 
 
-@query(f"""WITH RECURSIVE {GRAPH}, ce AS (SELECT DISTINCT u AS c FROM adj ORDER BY 1 LIMIT 10), ball(c, id, r) AS (SELECT c, c, 0 FROM ce UNION SELECT b.c, a.v, b.r + 1 FROM ball b JOIN adj a ON a.u = b.id WHERE b.r < 3)
-SELECT g.r::INT AS r, round(count(*) / 10.0, 6) AS n FROM (SELECT c, id, min(r) AS r FROM ball GROUP BY 1, 2) f, range(0, 4) g(r) WHERE f.r <= g.r GROUP BY 1""")
+BALLS = ", ".join([f"b{r} AS MATERIALIZED (SELECT DISTINCT c, id FROM (SELECT c, id FROM b{r - 1} UNION ALL SELECT b.c, a.v FROM b{r - 1} b JOIN madj a ON a.u = b.id))" for r in range(1, 7)])
+
+
+@query(f"""WITH {GRAPH}, madj AS MATERIALIZED (SELECT u, v FROM adj), b0 AS MATERIALIZED (SELECT u AS c, u AS id FROM (SELECT DISTINCT u FROM madj) ORDER BY md5(u), u LIMIT 64), {BALLS}
+{' UNION ALL '.join(f"SELECT {r} AS r, round(count(*) * 1.0 / count(DISTINCT c), 6) AS n FROM b{r}" for r in range(7))}""")
 def ball_growth(spark, d):
     n = graph_tables.nodes(spark, d)
     adj = graph.adjacency(n, graph_tables.edges(spark, d))
-    centres = adj.select(F.col("u").alias("id")).distinct().orderBy("id").limit(10)
-    return metrics.ball_sizes(adj, centres, 3).select("r", r6("n"))
+    return metrics.ball_sizes(adj, metrics.centres(adj, metrics.CENTRES), metrics.RADIUS).select("r", r6("n"))
 
 
 # --- entity layer: names are document tokens of 8 or more letters ---
 
-NAMES = r"nm AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+')) AS name FROM documents), nn AS (SELECT * FROM nm WHERE length(name) >= 8 AND NOT regexp_matches(name, '^\d+$') AND NOT (regexp_matches(name, '^[0-9a-f]{6,}$') AND regexp_matches(name, '\d'))), vt AS (SELECT name, count(DISTINCT doc_id) AS votes FROM nn GROUP BY 1), bud AS (SELECT * FROM vt WHERE votes >= 2 ORDER BY votes DESC, name LIMIT 100)"
+NAMES = r"nm AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+')) AS name FROM documents), nn AS (SELECT * FROM nm WHERE length(name) >= 8 AND NOT regexp_matches(name, '^\d+$') AND NOT (regexp_matches(name, '^[0-9a-f]{6,}$') AND regexp_matches(name, '\d'))), vt AS (SELECT name, count(DISTINCT doc_id) AS votes FROM nn GROUP BY 1), bud AS (SELECT * FROM vt WHERE votes >= 2 QUALIFY row_number() OVER (ORDER BY votes DESC, name) <= 50 + 0.25 * (SELECT count(*) FROM documents WHERE text IS NOT NULL))"
 
 
 def named(spark, d):
@@ -521,11 +528,14 @@ def named(spark, d):
 
 
 def budgeted(spark, d):
-    return layer.within_budget(layer.votes(named(spark, d)), 100)
+    return layer.within_budget(layer.votes(named(spark, d)), layer.room(t(spark, d, "documents").where("text is not null").count()))
 
 
 def layer_edges(spark, d):
-    n = named(spark, d).join(budgeted(spark, d).select("name"), "name", "left_semi")
+    return mentions(named(spark, d).join(budgeted(spark, d).select("name"), "name", "left_semi"))
+
+
+def mentions(n):
     return n.select(F.concat(F.lit("doc:"), "node_id").alias("from_id"), layer.T.normal_id("entity", F.col("name")).alias("to_id"), F.lit("mentions").alias("kind"), F.lit(1.0).alias("weight"))
 
 
@@ -538,17 +548,22 @@ def entity_votes(spark, d):
 
 
 @query("""SELECT x.vec_id AS a, y.vec_id AS b, round(list_inner_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]), 6) AS cos FROM embeddings x JOIN embeddings y ON x.vec_id < y.vec_id
-WHERE (x.vec_id % 3 = 0 OR y.vec_id % 3 = 0) AND list_inner_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= 0.3""")
+WHERE list_inner_product(x.embedding::DOUBLE[], y.embedding::DOUBLE[]) >= 0.3""")
 def merge_pairs(spark, d):
-    e = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.lit("name").alias("name"), F.col("embedding").alias("v"), (F.col("vec_id") % 3 == 0).alias("is_new"))
+    e = t(spark, d, "embeddings").select(F.col("vec_id").alias("id"), F.lit("name").alias("name"), F.col("embedding").alias("v"), F.lit(True).alias("is_new"))
     return layer.merge_pairs(e, same=0.3, most=None).select("a", "b", r6("cos"))
 
 
-@query(f"""WITH {NAMES}, c AS (SELECT DISTINCT doc_id, 'entity:' || name AS entity, 2.1 AS score FROM nm JOIN bud USING (name)) SELECT doc_id, entity, score FROM c QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY entity) <= 24""")
+@query(f"""WITH {NAMES}, c AS (SELECT DISTINCT doc_id, name FROM nm JOIN bud USING (name)), ev AS (SELECT name, embedding::DOUBLE[] AS v FROM (SELECT name, row_number() OVER (ORDER BY votes DESC, name) - 1 AS k FROM bud) LEFT JOIN embeddings ON vec_id = k),
+s AS (SELECT d.doc_id, ev.name, coalesce(list_inner_product(e.embedding::DOUBLE[], ev.v), 0) AS cos, CASE WHEN c.name IS NULL THEN 0 ELSE 2.1 END AS held FROM documents d CROSS JOIN ev LEFT JOIN embeddings e ON e.vec_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id AND c.name = ev.name)
+SELECT doc_id, 'entity:' || name AS entity, round(cos + held, 6) AS score FROM s WHERE held > 0 OR cos > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(cos + held, 9) DESC, entity) <= 24""")
 def candidate_entities(spark, d):
     docs = t(spark, d, "documents").select(F.col("doc_id").alias("node_id"), "text")
-    names = budgeted(spark, d).select(T.normal_id("entity", F.col("name")).alias("entity"), "name")
-    return layer.candidates(docs, names).select(F.col("node_id").alias("doc_id"), "entity", r6("score"))
+    place = F.row_number().over(Window.orderBy(F.desc("votes"), "name")) - 1  # a row for each entity of the budget
+    names = budgeted(spark, d).select(T.normal_id("entity", F.col("name")).alias("entity"), "name", place.alias("vec_id"))
+    e = t(spark, d, "embeddings").select("vec_id", F.col("embedding").alias("v"))
+    chunks = e.select(F.col("vec_id").alias("node_id"), F.lit(0).alias("idx"), "v")
+    return layer.candidates(docs, names.select("entity", "name"), chunks, names.join(e, "vec_id").select("entity", "v")).select(F.col("node_id").alias("doc_id"), "entity", r6("score"))
 
 
 def top_entity(spark, d, k):
@@ -577,11 +592,11 @@ def insert_topic(spark, d):
     return layer.insert_topic(e, top_entity_id(spark, d, 1), "topic:new", e.where("from_id like '%3'").select(F.col("from_id").alias("id")).distinct()).select("from_id", "to_id", "kind")
 
 
-@query(f"WITH {MENTIONS}, few AS (SELECT * FROM me WHERE right(from_id, 1) IN ('1', '2')), c AS (SELECT id, count(DISTINCT few.from_id) AS n FROM top LEFT JOIN few ON few.to_id = top.id GROUP BY 1) SELECT id FROM c WHERE n < 20")
+@query(f"WITH {NAMES} SELECT 'entity:' || name AS id FROM vt WHERE votes < 2")
 def layer_sweep(spark, d):
-    ids = budgeted(spark, d).select(T.normal_id("entity", F.col("name")).alias("id"), F.lit("entity").alias("kind"))
-    few = layer_edges(spark, d).where("right(from_id, 1) in ('1', '2')")
-    kept, _ = layer.sweep(ids, few, 20)
+    n = named(spark, d)
+    ids = n.select(T.normal_id("entity", F.col("name")).alias("id"), F.lit("entity").alias("kind")).distinct()
+    kept, _ = layer.sweep(ids, mentions(n))
     return ids.join(kept.select("id"), "id", "left_anti").select("id")
 
 
@@ -603,11 +618,12 @@ def singleton_check(spark, d):
 
 @query()
 def gate_trace(spark, d):
-    rows = layer_edges(spark, d).join(budgeted(spark, d).orderBy(F.desc("votes"), "name").limit(12).select(T.normal_id("entity", F.col("name")).alias("to_id")), "to_id", "left_semi")
-    by_entity = {r.to_id: sorted(r.nodes) for r in rows.groupBy("to_id").agg(F.collect_set("from_id").alias("nodes")).collect()}  # 12 rows: the entities of the trace
-    start = layer.Layer(texts={n for nodes in by_entity.values() for n in nodes})
-    patches = [[{"op": "add_entity", "entity": e}, *({"op": "add_mention", "node": n, "entity": e} for n in nodes)] for e, nodes in sorted(by_entity.items())]
-    _, log = layer.run_gate(start, patches, {"entity_budget": layer.check_budget, "singleton_share": layer.check_singletons, "scale_free": layer.check_scale_free})
+    # A patch for each entity of the budget, in order; the gate reads them one at a time, as each is judged on what those before it left.
+    rows = checkpointed(layer_edges(spark, d).select("to_id", "from_id").distinct())
+    start = gate.Layer(r.from_id for r in rows.select("from_id").distinct().toLocalIterator())
+    by_entity = itertools.groupby(rows.orderBy("to_id", "from_id").toLocalIterator(), key=lambda r: r.to_id)
+    patches = ([gate.add_entity(e.partition(":")[2]), *(gate.add_mention(r.from_id, e) for r in of)] for e, of in by_entity)
+    log = gate.run_gate(start, patches, gate.checks_of({"singleton_share": {"enabled": 1}}))
     return spark.createDataFrame([(i, len(x["ops"]), x["decision"]) for i, x in enumerate(log)], "n int, ops int, decision string")
 
 
@@ -622,6 +638,7 @@ def text_chunks(spark, d):
     return c.groupBy(F.col("node_id").cast("long").alias("doc_id")).agg(F.count("*").alias("n_chunks"), F.sum(F.char_length("text")).alias("chars"))
 
 
+#: The synthetic tables hold no source files, so the code chunkers run on a whole file of each kind instead.
 GO_TEXT = "package shop\n\n// Sum adds.\nfunc Sum(a, b int) int {\n\treturn a + b\n}\n\ntype Pair struct {\n\tA, B int\n}\n"
 YAML_TEXT = "kind: Service\nmetadata:\n  name: web\nspec:\n  ports:\n    - port: 80\n  selector:\n    app: web\n---\nkind: Job\nmetadata:\n  name: nightly\n"
 

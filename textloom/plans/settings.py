@@ -8,6 +8,7 @@ import re
 from dataclasses import asdict, dataclass, field
 
 from textloom.operators.chunk import BUDGET, CHUNKERS, LEAST_BUDGET
+from textloom.operators.gate import CHECKS
 
 NAME = re.compile(r"[a-z0-9][a-z0-9_-]*")
 
@@ -79,7 +80,6 @@ KEYS = {
     "semantic.concurrency": (number(1, kind=int), ""),
 }
 DEFAULTS = {"chunker": "text", "chunk.budget": BUDGET, "embedder": "hash", "search.seeds": 10, "search.k": 4, "search.half_life": 0.0, "search.graph": True, "search.mute": [], "index.every": 0, "compact.kinds": [], "compact.days": 0, "semantic": False, "semantic.kinds": [], "semantic.mentions": 5, "semantic.votes": 2, "semantic.rounds": 3, "semantic.hops": 2, "semantic.region": 2000, "semantic.concurrency": 2}
-CHECKS = ("scale_free", "fractal", "entity_budget", "singleton_share")
 ENRICH_KEYS = {"prompt": str, "kinds": names, "paths": names, "kind": str, "neighbours": number(1, kind=int), "ratio": number(0.0001, 1), "votes": number(1, kind=int), "fields": names, "enabled": switch}
 
 
@@ -117,8 +117,18 @@ class Bank:
         if head == "class" and NAME.fullmatch(rest):
             return self._put(key, value, names, "")
         if head == "check" and rest.split(".")[0] in CHECKS:
-            return self._put(key, value, switch if "." not in rest else number(-1e9), "")
+            name, _, part = rest.partition(".")
+            if part and part not in CHECKS[name]:
+                raise SettingError(f"{name} has no parameter {part}")
+            self.settings[key] = number(-1e9)(value) if part else switch(value)
+            return ""
         if head == "enrich" and rest.count(".") == 1 and rest.split(".")[1] in ENRICH_KEYS:
+            if rest.endswith(".prompt") and value.startswith("@"):
+                try:
+                    with open(value[1:]) as f:
+                        value = f.read()
+                except OSError as e:
+                    raise SettingError(f"{key}: {e}") from None
             return self._put(key, value, ENRICH_KEYS[rest.split(".")[1]], "texts are read again")
         raise SettingError(f"no setting {key}")
 
@@ -151,6 +161,13 @@ class Bank:
         if self.connectors.pop(name, None) is None:
             raise SettingError(f"no connector {name}")
 
+    def add_preset(self, preset: str, root: str, name: str = "", **options) -> None:
+        """fs, or the session logs of either form, by one word."""
+        specs = {"fs": {"fs": root}, "messages": {"sessions": root, "form": "messages"}, "events": {"sessions": root, "form": "events"}}
+        if preset not in specs:
+            raise SettingError(f"no preset {preset}; there are {', '.join(specs)}")
+        self.add_connector(name or preset, specs[preset] | options)
+
     def save(self, home: str) -> None:
         os.makedirs(f"{home}/{self.name}", exist_ok=True)
         with open(f"{home}/{self.name}/bank.json.new", "w") as f:

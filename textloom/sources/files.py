@@ -18,12 +18,17 @@ MAX_FILE, TITLE_LINES = 4 << 20, 60
 PRUNED = r"(^|/)(\.[^/]+|node_modules)(/|$)"
 
 
-def walk(spark: SparkSession, root: str, globs: list[str] = ("**/*.md",), exclude: list[str] = ()) -> DataFrame:
+def walk(spark: SparkSession, root: str, globs: list[str] = ("**/*.md",), exclude: list[str] = (), follow: bool = False) -> DataFrame:
     """(rel, content, modified) of the files under root: hidden folders, node_modules and excluded subtrees pruned, at most MAX_FILE bytes, UTF-8."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
     base = root.rstrip("/").removeprefix("file:")
     rel = F.regexp_replace(F.regexp_replace("path", "^file:/*", "/"), f"^{re.escape(base)}/", "")
     out = files.select(rel.alias("rel"), "content", F.col("modificationTime").alias("modified"), "length")
+    if follow and (pairs := linked_files(base)):
+        more = spark.read.format("binaryFile").load(sorted({p for _, p in pairs}))
+        names = spark.createDataFrame(pairs, "rel string, real string")
+        real = F.regexp_replace("path", "^file:/*", "/")
+        out = out.unionByName(more.join(names, real == F.col("real")).select("rel", "content", F.col("modificationTime").alias("modified"), "length"))
     out = out.where(~F.rlike("rel", F.lit(PRUNED)) & T.any_glob(F.col("rel"), list(globs)) & (F.col("length") <= MAX_FILE))
     if exclude:
         heads = F.transform(F.sequence(F.lit(1), F.size(F.split("rel", "/"))), lambda i: F.array_join(F.slice(F.split("rel", "/"), 1, i), "/"))
@@ -31,6 +36,54 @@ def walk(spark: SparkSession, root: str, globs: list[str] = ("**/*.md",), exclud
     return out.where(F.is_valid_utf8(F.col("content").cast("string"))).select("rel", F.col("content").cast("string").alias("text"), "modified")
 
 
+def git_log(root: str) -> list[tuple[str, int, int]]:
+    """(path, added at, place in the log) of the commits that added files under root, newest first; nothing where there is no repository."""
+    import subprocess
+
+    run = subprocess.run(["git", "-C", root, "log", "--diff-filter=A", "--name-only", "--relative", "--format=%x00%at"], capture_output=True, text=True, check=False)
+    out: list[tuple[str, int, int]] = []
+    for entry in run.stdout.split("\0")[1:] if run.returncode == 0 else ():
+        when, *names = entry.split("\n")
+        out += [(n, int(when), len(out) + k) for k, n in enumerate(x for x in names if x)]
+    return out
+
+
+def linked_files(root: str) -> list[tuple[str, str]]:
+    """(path under root, real path) of files that symbolic links lead to. A link whose target is, holds or lies in a folder that was walked
+    already isn't followed, so no circle is."""
+    import os
+
+    walked = [os.path.realpath(root)]
+    out: list[tuple[str, str]] = []
+    inside = lambda a, b: a == b or a.startswith(b.rstrip("/") + "/")
+
+    def visit(shown: str, real: str) -> None:
+        for name in sorted(os.listdir(real)):
+            path, here = os.path.join(real, name), f"{shown}/{name}" if shown else name
+            if re.search(PRUNED, here):
+                continue
+            if os.path.islink(path):
+                target = os.path.realpath(path)
+                if os.path.isdir(target):
+                    if not any(inside(target, w) or inside(w, target) for w in walked):
+                        walked.append(target)
+                        follow(here, target)
+                elif os.path.isfile(target):
+                    out.append((here, target))
+            elif os.path.isdir(path):
+                visit(here, path)
+
+    def follow(shown: str, real: str) -> None:
+        for folder, names, files in os.walk(real):
+            names[:] = sorted(n for n in names if not re.search(PRUNED, n))
+            rel = os.path.relpath(folder, real)
+            at = shown if rel == "." else f"{shown}/{rel}"
+            out.extend((f"{at}/{n}", os.path.join(folder, n)) for n in sorted(files))
+
+    visit("", os.path.realpath(root))
+    return out
+
+
 def folder_chain(paths: DataFrame, path: str = "path") -> DataFrame:
     """(parent, child): every folder of each path to the root "", and the path itself; each pair once."""
     parts = F.split(path, "/")

@@ -99,6 +99,23 @@ def items(logs: DataFrame, kind: str) -> DataFrame:
     return logs.groupBy("session").applyInPandas(assemble, ITEMS)
 
 
+def scan(spark: SparkSession, root: str, form: str = "messages", cursor: str | None = None, connector: str = "sessions", project: str = "") -> tuple[DataFrame, DataFrame, str | None]:
+    """(nodes, edges, next cursor) of the logs under root that changed after the cursor. Nothing is swept: a log that went stays told."""
+    plain = lambda path: F.regexp_replace(path, "^file:/+", "file:/")
+    seen = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").load(root).select("modificationTime")
+    latest = seen.agg(F.date_format(F.max("modificationTime"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").alias("at")).first().at
+    files = changed_files(spark, root, cursor)
+    session = F.when(rollout_id(F.col("name")) != "", rollout_id(F.col("name"))).otherwise(F.col("name"))
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jsonl").text(root)
+    lines = text.select(plain(F.col("_metadata.file_path")).alias("path"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("n"), "value")
+    lines = lines.join(files.select(plain(F.col("path")).alias("path"), session.alias("session")), "path")
+    logs = lines.select("session", F.row_number().over(Window.partitionBy("session").orderBy("path", "block", "n")).alias("line_no"), "value")
+    talk = items(logs, form)
+    talk = talk.withColumn("text", F.when(F.col("role") == "user", cleaned(F.col("text"))).otherwise(F.col("text")))
+    talk = talk.where(in_project(F.col("cwd"), project)) if project else talk
+    return *graph(talk, connector), latest
+
+
 def turns(talk: DataFrame) -> DataFrame:
     """(session, seq, role, text, turn_no): a user's item opens a turn; one that repeats the last without a reply between is dropped."""
     w = Window.partitionBy("session").orderBy("seq")
@@ -117,6 +134,20 @@ def folded_replies(replies: DataFrame, least: int = SHORT_REPLY) -> DataFrame:
     return numbered.groupBy("session", "turn_no", group.cast("int").alias("reply_no")).agg(texts.alias("text"), F.count("*").alias("n_folded"))
 
 
+def folded(t: DataFrame) -> DataFrame:
+    """Turns with short replies joined: a reply stands at the place of its first part, and what its parts read and edited is its own."""
+    said, replies = t.where("role = 'user'"), t.where("role <> 'user'")
+    w = Window.partitionBy("session", "turn_no").orderBy("seq")
+    long = (F.char_length("text") >= SHORT_REPLY).cast("int")
+    numbered = replies.withColumns({"before": F.coalesce(F.sum(long).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)), "longs": F.sum(long).over(Window.partitionBy("session", "turn_no"))})
+    group = F.least("before", F.greatest(F.col("longs") - 1, F.lit(0)))
+    part = F.array_sort(F.collect_list(F.struct("seq", "text", "reads", "edits", "shown")))
+    made = numbered.groupBy("session", "turn_no", group.alias("g")).agg(part.alias("p"), F.min("role").alias("role"), F.min_by("at", "seq").alias("at"), F.min_by("cwd", "seq").alias("cwd"), F.min_by("branch", "seq").alias("branch"))
+    joined = lambda c: F.array_distinct(F.flatten(F.transform("p", lambda x: F.coalesce(x[c], F.array().cast("array<string>")))))
+    out = made.select("session", F.get("p", F.lit(0))["seq"].alias("seq"), "role", F.array_join(F.transform("p", lambda x: x["text"]), "\n\n").alias("text"), "at", "cwd", "branch", *(joined(c).alias(c) for c in ("reads", "edits", "shown")), "turn_no")
+    return said.unionByName(out.select(*said.columns))
+
+
 @F.pandas_udf(ArrayType(StringType()))
 def resolved_paths(cwd: pd.Series, paths: pd.Series) -> pd.Series:
     """Absolute normal paths, each once in order; a relative one without a working folder is dropped."""
@@ -139,7 +170,7 @@ def project_root(folder: Column) -> Column:
 
 def graph(talk: DataFrame, connector: str) -> tuple[DataFrame, DataFrame]:
     """(nodes, edges) of a session's items: sessions, repositories and branches; messages and replies; in, next, answers, on, of, reads, edits, injected."""
-    t = turns(talk)
+    t = folded(turns(talk))
     t = t.withColumn("node", F.concat_ws(":", F.when(F.col("role") == "user", "message").otherwise("reply"), "session", "seq"))
     w = Window.partitionBy("session").orderBy("seq")
     t = t.withColumns({"prev": F.lag("node").over(w), "asked": F.last(F.when(F.col("role") == "user", F.col("node")), ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))})
