@@ -244,15 +244,15 @@ def _decoded(coding: Coding, scans: list[bytes]) -> np.ndarray:
     every = coding.every or coding.blocks
     block = frame * coding.blocks + nth * every
     left = np.minimum(every, coding.blocks - nth * every)
-    bit = place[starts] * 8
+    bit, stop = place[starts] * 8, np.append(place[starts][1:], place[begins[-1]]) * 8
     live = left > 0
-    bit, block, left = bit[live], block[live], left[live]
+    bit, stop, block, left = bit[live], stop[live], block[live], left[live]
     k, last = np.zeros(len(bit), np.int64), np.zeros(len(bit), np.int64)
     out = np.zeros(len(scans) * coding.blocks * 64, np.int64)
     top = lambda at, n: (words[at >> 3] >> (np.uint64(40) - (at & 7).astype(np.uint64) - n)) & ((np.uint64(1) << n) - np.uint64(1))
     sixteen = np.uint64(16)
     while len(bit):
-        if bit.max() >> 3 >= len(words):
+        if (bit >= stop).any():
             raise ValueError("a scan ends before its blocks do")
         code = coding.codes[top(bit, sixteen).astype(np.int64) + (k > 0) * (1 << 16)].astype(np.int64)
         if not code.all():
@@ -276,7 +276,7 @@ def _decoded(coding: Coding, scans: list[bytes]) -> np.ndarray:
             block, left = block + done, left - done
             live = left > 0
             if not live.all():
-                bit, block, left, k, last = bit[live], block[live], left[live], k[live], last[live]
+                bit, stop, block, left, k, last = bit[live], stop[live], block[live], left[live], k[live], last[live]
     return out.reshape(-1, 64) * coding.quantiser
 
 
