@@ -231,10 +231,8 @@ def shingle_hashes(h: np.ndarray, width: int) -> np.ndarray:
 
 def filtered(docs: DataFrame, keep: Callable[[bytes], bool]) -> DataFrame:
     """Rows of docs, all columns unchanged, whose text keep() accepts; a null text is empty."""
-    import pandas as pd  # only here, as it takes memory in every Python worker that imports this module
-
-    @F.pandas_udf("boolean")
-    def verdict(text: pd.Series) -> pd.Series:
-        return pd.Series([bool(keep((x or "").encode())) for x in text], dtype=bool)
+    @F.arrow_udf("boolean")
+    def verdict(text: pa.Array) -> pa.Array:
+        return pa.array([bool(keep((x or "").encode())) for x in text.to_pylist()], pa.bool_())
 
     return docs.where(verdict(docs["text"].cast("string")))
