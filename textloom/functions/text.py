@@ -98,8 +98,8 @@ def since(value: str, now: Column) -> Column:
 
 
 def numeric_or_hex(token: Column) -> Column:
-    """All digits, or six or more hex digits with a digit among them."""
-    return F.rlike(token, F.lit(r"^\d+$")) | (F.rlike(token, F.lit(r"^[0-9a-f]{6,}$")) & F.rlike(token, F.lit(r"\d")))
+    """All digits, or seven or more hex digits with a digit among them."""
+    return F.rlike(token, F.lit(r"^\d+$")) | (F.rlike(token, F.lit(r"^[0-9a-f]{7,}$")) & F.rlike(token, F.lit(r"\d")))
 
 
 def is_entity_name(name: Column) -> Column:

@@ -10,8 +10,9 @@ from pyspark.sql import functions as F
 
 from textloom.functions import text as T
 from textloom.functions import vector as V
-from textloom.operators import accounting, gate, graph, ingest, layer, lexical, metrics, rank, vectors, walk
+from textloom.operators import accounting, enrich, gate, graph, ingest, layer, lexical, metrics, rank, render, vectors, walk
 from textloom.operators.tables import checkpointed
+from textloom.plans import engine, enrichment, semantic
 from textloom.sources import files, graph_tables
 from textloom.sources import sessions as S
 
@@ -519,7 +520,7 @@ def ball_growth(spark, d):
 
 # --- entity layer: names are document tokens of 8 or more letters ---
 
-NAMES = r"nm AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+')) AS name FROM documents), nn AS (SELECT * FROM nm WHERE length(name) >= 8 AND NOT regexp_matches(name, '^\d+$') AND NOT (regexp_matches(name, '^[0-9a-f]{6,}$') AND regexp_matches(name, '\d'))), vt AS (SELECT name, count(DISTINCT doc_id) AS votes FROM nn GROUP BY 1), bud AS (SELECT * FROM vt WHERE votes >= 2 QUALIFY row_number() OVER (ORDER BY votes DESC, name) <= 50 + 0.25 * (SELECT count(*) FROM documents WHERE text IS NOT NULL))"
+NAMES = r"nm AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{Nd}]+')) AS name FROM documents), nn AS (SELECT * FROM nm WHERE length(name) >= 8 AND NOT regexp_matches(name, '^\d+$') AND NOT (regexp_matches(name, '^[0-9a-f]{7,}$') AND regexp_matches(name, '\d'))), vt AS (SELECT name, count(DISTINCT doc_id) AS votes FROM nn GROUP BY 1), bud AS (SELECT * FROM vt WHERE votes >= 2 QUALIFY row_number() OVER (ORDER BY votes DESC, name) <= 50 + 0.25 * (SELECT count(*) FROM documents WHERE text IS NOT NULL))"
 
 
 def named(spark, d):
@@ -627,6 +628,68 @@ def gate_trace(spark, d):
     return spark.createDataFrame([(i, len(x["ops"]), x["decision"]) for i, x in enumerate(log)], "n int, ops int, decision string")
 
 
+@query(f"""WITH {NAMES}, voc AS (SELECT DISTINCT name AS term FROM nm), s AS (SELECT name, left(name, length(name) - 3) || 'y' AS y, left(name, length(name) - 2) AS e, left(name, length(name) - 1) AS o, name LIKE '%s' AND NOT regexp_matches(name, '(ss|us|is)$') AS p FROM vt)
+SELECT name, CASE WHEN p AND name LIKE '%ies' AND y IN (SELECT term FROM voc) THEN y WHEN p AND regexp_matches(name, '(s|x|z|ch|sh)es$') AND e IN (SELECT term FROM voc) THEN e WHEN p AND o IN (SELECT term FROM voc) THEN o ELSE name END AS canonical FROM s""")
+def plural_folding(spark, d):
+    terms = t(spark, d, "documents").select(F.explode(T.tokens(F.col("text"))).alias("term")).distinct()
+    return layer.folded_plurals(named(spark, d), terms)
+
+
+@query(f"""WITH {NAMES}, m AS (SELECT 'entity:' || name AS id, name, doc_id, row_number() OVER (PARTITION BY name ORDER BY 'doc:' || doc_id) AS n FROM nn JOIN bud USING (name))
+SELECT id, n::INT AS n, substr(text, greatest(1, instr(lower(text), name) - 350), 700) AS passage FROM m JOIN documents USING (doc_id) WHERE n <= 8""")
+def evidence_passages(spark, d):
+    names = budgeted(spark, d).select(T.normal_id("entity", F.col("name")).alias("id"), F.array("name").alias("forms"))
+    docs = t(spark, d, "documents").select(F.concat(F.lit("doc:"), "doc_id").alias("id"), "text", F.lit(None).cast("timestamp").alias("at"))
+    return semantic.evidence_passages(layer_edges(spark, d), docs, names).select("id", "n", "passage")
+
+
+@query(f"""WITH {GRAPH}, w AS (SELECT id, right(id, 1) IN ('1', '4') AS done FROM nodes WHERE has_text AND kind IN ('document', 'message'))
+SELECT count(*) AS texts, count(*) FILTER (done) AS processed, count(*) FILTER (NOT done) AS pending, 0::BIGINT AS mentions FROM w""")
+def layer_status(spark, d):
+    n = graph_tables.nodes(spark, d)
+    read = n.where("text is not null and right(id, 1) in ('1', '4')").select("id", F.concat_ws("|", T.content_hash(F.col("text")), F.lit(semantic.extractor_id("m"))).alias("signature"))
+    return semantic.status(n, graph_tables.edges(spark, d), read, semantic.extractor_id("m"), ["document", "message"]).select("texts", "processed", "pending", "mentions")
+
+
+@query(f"WITH {GRAPH}, top AS (SELECT id FROM deg ORDER BY degree DESC, id LIMIT 1500) SELECT from_id, to_id, kind FROM live WHERE from_id IN (SELECT id FROM top) AND to_id IN (SELECT id FROM top)")
+def payload_edges(spark, d):
+    n, e = graph_tables.nodes(spark, d), graph_tables.edges(spark, d)
+    return graph.induced_edges(e, graph.payload_nodes(n, e).select("id")).select("from_id", "to_id", "kind")
+
+
+@query(f"""WITH {GRAPH}, num AS (SELECT id, row_number() OVER (ORDER BY id) - 1 AS n FROM nodes) SELECT row_number() OVER (ORDER BY from_id, to_id, e.kind) - 1 AS e, a.n AS source, b.n AS target, e.kind FROM live e JOIN num a ON a.id = from_id JOIN num b ON b.id = to_id""")
+def graphml_edges(spark, d):
+    arcs = graph.graphml(graph_tables.nodes(spark, d), graph_tables.edges(spark, d))[1]
+    return arcs.select("e", F.col("a").alias("source"), F.col("b").alias("target"), "kind")
+
+
+@query("SELECT doc_id, substr(text, 1, 1200) AS shown FROM documents")
+def reading_texts(spark, d):
+    docs = t(spark, d, "documents")
+    return docs.select("doc_id", render.reading_text(F.col("text"), F.lit(""), 1200).alias("shown"))
+
+
+@query("SELECT 'doc:' || doc_id AS id FROM documents WHERE lang = 'en' AND text IS NOT NULL AND doc_id NOT IN (SELECT doc_id FROM labels WHERE quality = 1)")
+def unread_texts(spark, d):
+    docs = graph_tables.document_nodes(spark, d).withColumn("kind", T.attr(F.col("attrs"), "lang"))
+    read = docs.where(T.attr(F.col("attrs"), "quality") == "1").select("id", F.lit("e").alias("enrichment"))
+    return enrichment.unread(docs, read, [enrich.Enrichment("e", "p", ("en",))])
+
+
+@query(f"WITH {LINES}, c AS (SELECT doc_id, count(*) AS n, string_agg(text, chr(10) || chr(10) ORDER BY idx) AS whole FROM lines GROUP BY 1) SELECT 'doc:' || doc_id AS id, 'document' AS kind, n AS n_chunks, substr(sha256(whole), 1, 32) AS hash FROM c")
+def node_records(spark, d):
+    lines = t(spark, d, "documents").select(F.concat(F.lit("doc:"), "doc_id").alias("node_id"), F.posexplode(F.split("text", "\n")).alias("idx", "text"))
+    made = engine.node_records(graph_tables.document_nodes(spark, d), lines)
+    return made.select("id", "kind", "n_chunks", T.content_hash(F.col("text")).alias("hash"))
+
+
+@query()
+def snippets(spark, d):
+    q = t(spark, d, "benchmark").orderBy("item_id").limit(1).select(T.tokens(F.col("text")).alias("terms")).collect()  # the terms of one query
+    docs = t(spark, d, "documents")
+    return docs.select("doc_id", render.snippets(F.col("text"), q[0].terms if q else []).alias("snippet"))
+
+
 # --- chunkers and streams ---
 
 @query()
