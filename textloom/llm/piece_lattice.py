@@ -46,7 +46,7 @@ MODEL = "piece_bpe_32k.model"
 ID_BITS, LENGTH_BITS = 20, 8
 ID = (1 << ID_BITS) - 1
 #: Bytes of text that are cut into words at once.
-BATCH_BYTES = 4 << 20
+BATCH_BYTES = 8 << 20
 RUNS = "doc_id long, word int, n_words int, ids array<int>, text string"
 
 
@@ -113,10 +113,11 @@ def useful(rows: list[tuple[str, int, float]], unknown: float) -> list[tuple[str
 
 
 def edges(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, edge): the lattice of each row's word, an edge as one long."""
-    stops = words.select("word", F.explode(F.sequence(F.lit(1), F.char_length("word"))).alias("stop"))
+    """The columns of words, among them word, and edge: the lattice of each row's word, an edge as one long."""
+    own = words.columns
+    stops = words.select(*own, F.explode(F.sequence(F.lit(1), F.char_length("word"))).alias("stop"))
     room = F.least(F.col("stop"), F.lit(pieces.longest))
-    cut = stops.select("word", "stop", F.explode(F.sequence(F.lit(1), room)).alias("length"))
+    cut = stops.select(*own, "stop", F.explode(F.sequence(F.lit(1), room)).alias("length"))
     cut = cut.withColumn("part", F.substring("word", F.col("stop") - F.col("length") + 1, F.col("length")))
     # The vocabulary bounds this side; the literal size check keeps a larger table from being broadcast. Equal 64-bit digests meet, which
     # a table of numbers finds faster, and a piece counts where it is equal itself.
@@ -124,7 +125,7 @@ def edges(words: DataFrame, pieces: Pieces) -> DataFrame:
     met = cut.join(F.broadcast(table) if len(pieces.rows) <= 1 << 20 else table, F.xxhash64("part") == F.col("key"), "left")
     met = met.withColumn("id", F.when(F.col("part") == F.col("piece"), F.col("id"))).where("id is not null or length = 1")
     packed = F.shiftleft(F.shiftleft(F.col("stop").cast("long"), LENGTH_BITS).bitwiseOR(F.col("length").cast("long")), ID_BITS).bitwiseOR(F.coalesce("id", F.lit(pieces.no_piece)).cast("long"))
-    return met.select("word", packed.alias("edge"))
+    return met.select(*own, packed.alias("edge"))
 
 
 def _parts(e: Column) -> tuple[Column, Column, Column]:
@@ -133,8 +134,9 @@ def _parts(e: Column) -> tuple[Column, Column, Column]:
 
 
 def best_paths(lattice: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, path): path is the edges of the best way through each word's lattice, in order."""
-    grouped = lattice.groupBy("word").agg(F.sort_array(F.collect_list("edge")).alias("edges"))
+    """The lattice's columns but edge, and path: the edges of the best way through each word's lattice, in order."""
+    own = [c for c in lattice.columns if c != "edge"]
+    grouped = lattice.groupBy(*own).agg(F.sort_array(F.collect_list("edge")).alias("edges"))
     scores = pieces.scores()
     kind = "struct<best:array<double>,now:double>"
 
@@ -142,26 +144,26 @@ def best_paths(lattice: DataFrame, pieces: Pieces) -> DataFrame:
         # Edges come in order of their stop, and at each stop there is one of length 1, which comes first and closes the place before.
         stop, length, i = _parts(e)
         score = F.get(scores, i)
-        ahead = F.struct(F.concat(acc["best"], F.array(acc["now"])).alias("best"), (acc["now"] + score).alias("now"))
+        ahead = F.struct(F.array_append(acc["best"], acc["now"]).alias("best"), (acc["now"] + score).alias("now"))
         also = F.struct(acc["best"].alias("best"), F.greatest(acc["now"], F.get(acc["best"], stop - length) + score).alias("now"))
         return F.when(length == 1, ahead).otherwise(also)
 
     first = F.struct(F.array().cast("array<double>").alias("best"), F.lit(0.0).alias("now")).cast(kind)
-    summed = grouped.select("word", "edges", F.aggregate("edges", first, step, lambda acc: F.concat(acc["best"], F.array(acc["now"]))).alias("best"))
+    summed = grouped.select(*own, "edges", F.aggregate("edges", first, step, lambda acc: F.array_append(acc["best"], acc["now"])).alias("best"))
     back_kind = "struct<at:int,path:array<long>>"
 
     def back(acc: Column, e: Column) -> Column:
         # Long edges of a stop come first here; the first one that adds up to the stop's score is on the path.
         stop, length, i = _parts(e)
         adds_up = (stop == acc["at"]) & (F.get(F.col("best"), stop - length) + F.get(scores, i) == F.get(F.col("best"), stop))
-        return F.when(adds_up, F.struct((stop - length).alias("at"), F.concat(acc["path"], F.array(e)).alias("path"))).otherwise(acc)
+        return F.when(adds_up, F.struct((stop - length).alias("at"), F.array_append(acc["path"], e).alias("path"))).otherwise(acc)
 
     end = F.struct((F.size("best") - 1).alias("at"), F.array().cast("array<long>").alias("path")).cast(back_kind)
-    return summed.select("word", F.aggregate(F.reverse("edges"), end, back, lambda acc: F.reverse(acc["path"])).alias("path"))
+    return summed.select(*own, F.aggregate(F.reverse("edges"), end, back, lambda acc: F.reverse(acc["path"])).alias("path"))
 
 
 def encoded_words(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(word, ids, text) of distinct words; text is decoded from ids."""
+    """The columns of words, ids and text of distinct words; text is decoded from ids."""
     byte_ids = F.from_json(F.lit(str(pieces.byte_ids)), "array<int>")
 
     def ids(e: Column) -> Column:
@@ -170,7 +172,7 @@ def encoded_words(words: DataFrame, pieces: Pieces) -> DataFrame:
         pairs = F.transform(F.sequence(F.lit(0), (F.length(raw) / 2 - 1).cast("int")), lambda i: F.get(byte_ids, F.conv(F.substring(raw, (2 * i + 1).cast("int"), F.lit(2)), 16, 10).cast("int")))
         return F.when(id_ == pieces.no_piece, pairs).otherwise(F.array(id_))
 
-    found = best_paths(edges(words, pieces), pieces).select("word", F.flatten(F.transform("path", ids)).alias("ids"))
+    found = best_paths(edges(words, pieces), pieces).select(*words.columns, F.flatten(F.transform("path", ids)).alias("ids"))
     return found.withColumn("text", decoded(F.col("ids"), pieces))
 
 
@@ -304,7 +306,7 @@ def document_runs(docs: DataFrame, pieces: Pieces, frequent: int = FREQUENT) ->
             break
         least = r.n
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = common.cut(encoded_words(counts.select("word").repartition(n, "word"), pieces).join(counts, "word"), "pieces-of-words", [counts])
+    table = common.cut(encoded_words(counts.repartition(n, "word"), pieces), "pieces-of-words", [counts])
     known = spark.sparkContext.broadcast(Known.of(table.where(f"n >= {least}").select("word", "ids", "text").toArrow()))
 
     def cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
