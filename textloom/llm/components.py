@@ -29,7 +29,7 @@ def components(links: DataFrame, a: str = "a", b: str = "b", most: int = 60) ->
     sign = lambda d: tuple(d.agg(F.count("*"), F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")), F.lit(0))).first())
     before = None
     for _ in range(most):
-        e = common.cut(_small_star(_large_star(e)), "stars")
+        e = common.cut(_small_star(_large_star(e)), "stars", [e])  # the round before is read no more
         if (now := sign(e)) == before:
             break
         before = now
