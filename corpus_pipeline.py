@@ -20,12 +20,13 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
     ("best_fit_packing", packing.stage),
 ]
 
-#: The stages fit models and draw signatures, which SQL cannot express; tests/llm compare each with a brute-force version.
+#: The stages fit models and draw signatures, which SQL cannot express; tests/llm hold each against planted cases and brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs, read = common.table(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
-        docs = common.cut(stage(spark, docs, sf_dir), name)
+        docs = common.cut(stage(spark, docs, sf_dir), name, read)
+        read = [docs]  # goes when the next stage is written
     return STAGES[-1][1](spark, docs, sf_dir)
