@@ -197,49 +197,49 @@ def cut_words(text: str) -> list[str]:
 def _cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     """(words of each text, code of each word in order, distinct words by code) of texts without nulls.
 
-    Where single spaces stand between the tokens of a text, tokens are cut apart from each other, a distinct one once.
+    Where single spaces stand between the tokens of a text, tokens are cut apart from each other, a distinct one once. A text with an
+    empty token (spaces stand otherwise, or it is empty) or with a mark of its own is cut as a whole.
     """
-    plain = pc.invert(pc.or_(pc.or_(pc.match_substring(texts, "  "), pc.match_substring(texts, MARK)), pc.or_(pc.starts_with(texts, " "), pc.ends_with(texts, " "))))
-    plain = pc.and_(plain, pc.greater(pc.binary_length(texts), 0)).to_numpy(zero_copy_only=False)
-    words, codes, distinct = _cut_plain(texts.filter(pa.array(plain)))
-    if plain.all():
-        return words, codes, distinct
-    sizes, parts, at = np.zeros(len(texts), np.int64), [], 0
-    more: dict[str, int] = {}
-    known = {w: i for i, w in enumerate(distinct.to_pylist())}
-    rows = iter(words.tolist())
-    for i, ok in enumerate(plain.tolist()):
-        if ok:
-            sizes[i] = next(rows)
-            parts.append(codes[at : at + sizes[i]])
-            at += sizes[i]
-        elif text := texts[i].as_py():
-            own = cut_words(MARK + text.replace(" ", MARK))
-            sizes[i] = len(own)
-            parts.append(np.array([known[w] if w in known else more.setdefault(w, len(known) + len(more)) for w in own], np.int64))
-    return sizes, np.concatenate([np.zeros(0, np.int64), *parts]), pa.concat_arrays([distinct, pa.array(list(more), pa.string())])
-
-
-def _cut_plain(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     lists = pc.split_pattern(texts, " ")
     tokens = lists.flatten().dictionary_encode()
+    each, token = tokens.dictionary, tokens.indices.to_numpy()
+    count = np.diff(lists.offsets.to_numpy())
+    odd = pc.or_(pc.equal(each, ""), pc.match_substring(each, MARK))
+    is_odd = odd.to_numpy(zero_copy_only=False)
     # A token of letters is one word. Marks stand at the beginnings of tokens alone, so the words of all others are found in one string.
-    alpha = pc.utf8_is_alpha(tokens.dictionary)
-    one, rest = tokens.dictionary.filter(alpha), tokens.dictionary.filter(pc.invert(alpha))
+    alpha = pc.utf8_is_alpha(each)
+    is_alpha = alpha.to_numpy(zero_copy_only=False)
+    one, rest = each.filter(alpha), each.filter(pc.invert(pc.or_(alpha, odd)))
     found = pa.array(cut_words(MARK + MARK.join(rest.to_pylist())) if len(rest) else [], pa.string())
     encoded = pa.concat_arrays([pc.binary_join_element_wise(MARK, one, ""), found]).dictionary_encode()
-    of_token = encoded.indices.to_numpy()
-    letters = alpha.to_numpy(zero_copy_only=False)
-    opens, sizes = np.zeros(len(letters), np.int64), np.ones(len(letters), np.int64)
-    opens[letters] = np.arange(len(one))
+    opens, sizes = np.zeros(len(each), np.int64), np.ones(len(each), np.int64)
+    opens[is_alpha] = np.arange(len(one))
     heads = np.flatnonzero(pc.starts_with(found, MARK).to_numpy(zero_copy_only=False))
-    opens[~letters] = len(one) + heads
-    sizes[~letters] = np.diff(np.append(heads, len(found)))
-    token = tokens.indices.to_numpy()
-    codes = of_token[_ranges(opens[token], sizes[token])] if len(token) else np.zeros(0, np.int64)
-    ends = np.concatenate([[0], np.cumsum(sizes[token])])
-    offsets = lists.offsets.to_numpy() - (lists.offsets[0].as_py() if len(lists) else 0)
-    return np.diff(ends[offsets]), codes, encoded.dictionary
+    others = ~(is_alpha | is_odd)
+    opens[others], sizes[others], sizes[is_odd] = len(one) + heads, np.diff(np.append(heads, len(found))), 0
+    whole = np.zeros(len(texts), bool)
+    if is_odd.any():
+        doc = np.repeat(np.arange(len(texts)), count)
+        whole[doc[is_odd[token]]] = True
+        token = token[~whole[doc]]
+        count = np.where(whole, 0, count)
+    n = sizes[token]
+    codes = encoded.indices.to_numpy()[_ranges(opens[token], n)] if len(token) else np.zeros(0, np.int64)
+    words = np.diff(np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(count)])])
+    if not whole.any():
+        return words, codes, encoded.dictionary
+    known = {w: i for i, w in enumerate(encoded.dictionary.to_pylist())}
+    more: dict[str, int] = {}
+    parts, at = [], 0
+    for i, ok in enumerate((~whole).tolist()):
+        if ok:
+            parts.append(codes[at : at + words[i]])
+            at += words[i]
+        elif text := texts[i].as_py():
+            own = cut_words(MARK + text.replace(" ", MARK))
+            words[i] = len(own)
+            parts.append(np.array([known[w] if w in known else more.setdefault(w, len(known) + len(more)) for w in own], np.int64))
+    return words, np.concatenate([np.zeros(0, np.int64), *parts]), pa.concat_arrays([encoded.dictionary, pa.array(list(more), pa.string())])
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -269,7 +269,7 @@ def word_counts(docs: DataFrame) -> DataFrame:
             _, codes, distinct = _cut(texts)
             yield pa.RecordBatch.from_arrays([distinct, pa.array(np.bincount(codes, minlength=len(distinct)))], ["word", "n"])
 
-    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return docs.select("text").mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")).where("n > 0")
 
 
 @dataclass(frozen=True)
@@ -338,8 +338,9 @@ def document_runs(docs: DataFrame, pieces: Pieces, frequent: int = FREQUENT) ->
     def others(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for doc, sizes, codes, distinct, at in cut_batches(batches):
             i = np.flatnonzero(at < 0)
-            row = np.repeat(np.arange(len(sizes)), sizes)[i]
-            place = i - (np.cumsum(sizes) - sizes)[row]
+            ends = np.cumsum(sizes)
+            row = np.searchsorted(ends, i, side="right")
+            place = i - (ends - sizes)[row]
             yield pa.RecordBatch.from_arrays([doc.take(pa.array(row)), pa.array(place.astype(np.int32)), distinct.take(pa.array(codes[i]))], ["doc_id", "word", "w"])
 
     rare = docs.mapInArrow(others, "doc_id long, word int, w string")
