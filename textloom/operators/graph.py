@@ -52,7 +52,8 @@ def payload_nodes(nodes: DataFrame, edges: DataFrame, limit: int = GRAPH_LIMIT,
 
 
 def induced_edges(edges: DataFrame, ids: DataFrame) -> DataFrame:
-    return live_edges(ids, edges)
+    """Edges among ids, a table of nodes that is made once."""
+    return live_edges(checkpointed(ids.select("id")), edges)
 
 
 def kind_listing(nodes: DataFrame, edges: DataFrame, kind: str, substring: str = "", limit: int = LIST_LIMIT) -> DataFrame:

@@ -557,7 +557,7 @@ def merge_pairs(spark, d):
 
 @query(f"""WITH {NAMES}, c AS (SELECT DISTINCT doc_id, name FROM nm JOIN bud USING (name)), ev AS (SELECT name, embedding::DOUBLE[] AS v FROM (SELECT name, row_number() OVER (ORDER BY votes DESC, name) - 1 AS k FROM bud) LEFT JOIN embeddings ON vec_id = k),
 s AS (SELECT d.doc_id, ev.name, coalesce(list_inner_product(e.embedding::DOUBLE[], ev.v), 0) AS cos, CASE WHEN c.name IS NULL THEN 0 ELSE 2.1 END AS held FROM documents d CROSS JOIN ev LEFT JOIN embeddings e ON e.vec_id = d.doc_id LEFT JOIN c ON c.doc_id = d.doc_id AND c.name = ev.name)
-SELECT doc_id, 'entity:' || name AS entity, round(cos + held, 6) AS score FROM s WHERE held > 0 OR cos > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(cos + held, 9) DESC, entity) <= 24""")
+SELECT doc_id, 'entity:' || name AS entity, round(round(cos + held, 9), 6) AS score FROM s WHERE held > 0 OR cos > 0 QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY round(cos + held, 9) DESC, entity) <= 24""")
 def candidate_entities(spark, d):
     docs = t(spark, d, "documents").select(F.col("doc_id").alias("node_id"), "text")
     place = F.row_number().over(Window.orderBy(F.desc("votes"), "name")) - 1  # a row for each entity of the budget
