@@ -27,6 +27,7 @@ A null doc_id stays null. Columns other than doc_id and text are ignored. The ma
 
 from __future__ import annotations
 
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -46,7 +47,7 @@ MODEL = "piece_bpe_32k.model"
 ID_BITS, LENGTH_BITS = 20, 8
 ID = (1 << ID_BITS) - 1
 #: Bytes of text that are cut into words at once.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 10 << 20
 RUNS = "doc_id long, word int, n_words int, ids array<int>, text string"
 
 
@@ -178,8 +179,11 @@ def encoded_words(words: DataFrame, pieces: Pieces) -> DataFrame:
 
 def decoded(ids: Column, pieces: Pieces) -> Column:
     """The text of ids: byte pieces join to characters, marks become spaces."""
-    hexes = pieces.hexes()
-    return F.translate(F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(hexes, i)), "")), "utf-8"), MARK, " ")
+    hexes, plain = pieces.hexes(), F.from_json(F.lit(json.dumps(pieces.texts)), "array<string>")
+    by_bytes = F.decode(F.unhex(F.array_join(F.transform(ids, lambda i: F.get(hexes, i)), "")), "utf-8")
+    low, high = min(pieces.byte_ids), max(pieces.byte_ids)  # all byte pieces lie between, and where others do they take the same way
+    text = F.when(F.exists(ids, lambda i: (i >= low) & (i <= high)), by_bytes).otherwise(F.array_join(F.transform(ids, lambda i: F.get(plain, i)), ""))
+    return F.translate(text, MARK, " ")
 
 
 _pattern = []
