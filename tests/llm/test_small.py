@@ -531,6 +531,20 @@ def test_fits_on_labels_and_holds_rows_out(spark, tmp_path):
     assert len([i for i in mixed if i % 4 == 1]) > 20
 
 
+def test_toxicity_sample_of_long_texts_stays_with_executors(spark):
+    """The driver gets a bounded result whatever the length of the sampled texts, and rows that repeat a doc_id count once."""
+    docs, labels = labelled(spark, 80)
+    long = docs.select("doc_id", F.concat("text", F.lit(" "), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(10_000)), lambda i: F.md5(F.concat_ws("-", "doc_id", i).cast("binary"))), " ")).alias("text"))
+    once = toxicity.fit(long, labels)
+    conf = spark.sparkContext._jsc.sc().conf()
+    conf.set("spark.driver.maxResultSize", "4m")  # the sets of buckets take over 10 MB
+    try:
+        model = toxicity.fit(long.unionAll(long).unionAll(long), labels)
+    finally:
+        conf.remove("spark.driver.maxResultSize")
+    assert len(once.terms) and model.bias == once.bias and all(np.array_equal(getattr(model, k), getattr(once, k)) for k in ("terms", "weights", "factors"))
+
+
 def test_factorization_machine_equals_all_pairs():
     m = toxicity.FactorizationMachine(np.array([2, 5, 9, 11], np.int32), -0.3, RNG.normal(size=4), RNG.normal(size=(4, toxicity.FACTORS)))
     for found in ([2, 9], [5], [2, 5, 7, 9, 11], []):
