@@ -330,6 +330,28 @@ def test_piece_lattice(spark, docs, none):
     assert piece_lattice.document_runs(none, pieces).count() == 0
 
 
+def test_words_of_a_batch_are_cut_in_bounded_memory():
+    import tracemalloc
+
+    import pyarrow as pa
+
+    rng = np.random.default_rng(2)
+    known = np.array([f"{w}{x}" for x in ("", ",", ".", "s") for w in WORDS] + [f"x{i}y" for i in range(60_000)])
+    text = " ".join(rng.choice(known, 3000))
+    texts = pa.array([text[i:] + " " + " ".join(rng.choice(known, 3000)) for i in range(2 * piece_lattice.BATCH_BYTES // len(text))])
+    tracemalloc.start()
+    try:
+        parts = 0
+        for _, part in piece_lattice._pieces_of(iter([pa.RecordBatch.from_arrays([texts], ["text"])])):
+            words, codes, distinct = piece_lattice._cut(part)
+            assert [distinct[c].as_py() for c in codes[: words[0]].tolist()] == piece_lattice.cut_words("▁" + part[0].as_py().replace(" ", "▁"))
+            parts += 1
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert parts > 2 and peak < 48 << 20, peak
+
+
 def test_viterbi_is_the_best_path(spark):
     rows = [("▁", 0, -3.0), ("▁a", 1, -4.0), ("a", 2, -2.5), ("ab", 3, -2.5), ("b", 4, -1.0), ("▁ab", 5, -7.0)]
     p = piece_lattice.Pieces(rows, list(range(100, 356)), -20.0, 3, ["", *"abcdefgh"] + ["x"] * 347)

@@ -46,8 +46,8 @@ MODEL = "piece_bpe_32k.model"
 #: An edge is one long: the place where it stops, its length, and the id of its piece.
 ID_BITS, LENGTH_BITS = 20, 8
 ID = (1 << ID_BITS) - 1
-#: Bytes of text that are cut into words at once.
-BATCH_BYTES = 8 << 20
+#: Bytes of text that are cut into words at once; numbers of a batch have 32 bits, and what is used up goes before more is made.
+BATCH_BYTES = 4 << 20
 RUNS = "doc_id long, word int, n_words int, ids array<int>, text string"
 
 
@@ -208,6 +208,7 @@ def _cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     tokens = lists.flatten().dictionary_encode()
     each, token = tokens.dictionary, tokens.indices.to_numpy()
     count = np.diff(lists.offsets.to_numpy())
+    del lists, tokens
     odd = pc.or_(pc.equal(each, ""), pc.match_substring(each, MARK))
     is_odd = odd.to_numpy(zero_copy_only=False)
     # A token of letters is one word. Marks stand at the beginnings of tokens alone, so the words of all others are found in one string.
@@ -215,21 +216,26 @@ def _cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
     is_alpha = alpha.to_numpy(zero_copy_only=False)
     one, rest = each.filter(alpha), each.filter(pc.invert(pc.or_(alpha, odd)))
     found = pa.array(cut_words(MARK + MARK.join(rest.to_pylist())) if len(rest) else [], pa.string())
+    del rest
     encoded = pa.concat_arrays([pc.binary_join_element_wise(MARK, one, ""), found]).dictionary_encode()
-    opens, sizes = np.zeros(len(each), np.int64), np.ones(len(each), np.int64)
+    opens, sizes = np.zeros(len(each), np.int32), np.ones(len(each), np.int32)
     opens[is_alpha] = np.arange(len(one))
     heads = np.flatnonzero(pc.starts_with(found, MARK).to_numpy(zero_copy_only=False))
     others = ~(is_alpha | is_odd)
     opens[others], sizes[others], sizes[is_odd] = len(one) + heads, np.diff(np.append(heads, len(found))), 0
     whole = np.zeros(len(texts), bool)
     if is_odd.any():
-        doc = np.repeat(np.arange(len(texts)), count)
+        doc = np.repeat(np.arange(len(texts), dtype=np.int32), count)
         whole[doc[is_odd[token]]] = True
         token = token[~whole[doc]]
         count = np.where(whole, 0, count)
+        del doc
     n = sizes[token]
-    codes = encoded.indices.to_numpy()[_ranges(opens[token], n)] if len(token) else np.zeros(0, np.int64)
-    words = np.diff(np.concatenate([[0], np.cumsum(n)])[np.concatenate([[0], np.cumsum(count)])])
+    codes = encoded.indices.to_numpy()[_ranges(opens[token], n)] if len(token) else np.zeros(0, np.int32)
+    sums = np.zeros(len(n) + 1, np.int32)
+    np.cumsum(n, out=sums[1:])
+    words = np.diff(sums[np.concatenate([[0], np.cumsum(count)])])
+    del n, sums, token
     if not whole.any():
         return words, codes, encoded.dictionary
     known = {w: i for i, w in enumerate(encoded.dictionary.to_pylist())}
@@ -242,14 +248,14 @@ def _cut(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, pa.Array]:
         elif text := texts[i].as_py():
             own = cut_words(MARK + text.replace(" ", MARK))
             words[i] = len(own)
-            parts.append(np.array([known[w] if w in known else more.setdefault(w, len(known) + len(more)) for w in own], np.int64))
-    return words, np.concatenate([np.zeros(0, np.int64), *parts]), pa.concat_arrays([encoded.dictionary, pa.array(list(more), pa.string())])
+            parts.append(np.array([known[w] if w in known else more.setdefault(w, len(known) + len(more)) for w in own], np.int32))
+    return words, np.concatenate([np.zeros(0, np.int32), *parts]), pa.concat_arrays([encoded.dictionary, pa.array(list(more), pa.string())])
 
 
 def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
     """starts[0], starts[0] + 1, ... sizes[0] of them, then those of starts[1], ..."""
-    ends = np.cumsum(sizes)
-    out = np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)  # of one batch
+    ends = np.cumsum(sizes, dtype=np.int32)  # of one batch
+    out = np.arange(ends[-1] if len(ends) else 0, dtype=np.int32)
     out += np.repeat((starts - (ends - sizes)).astype(np.int32), sizes)
     return out
 
@@ -289,7 +295,7 @@ class Known:
     @staticmethod
     def of(table: pa.Table) -> Known:
         lists = table.column("ids").combine_chunks()
-        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int64)
+        sizes = pc.list_value_length(lists).to_numpy(zero_copy_only=False).astype(np.int32)
         return Known(table.column("word").combine_chunks(), lists.flatten().to_numpy(), np.cumsum(sizes) - sizes, sizes, table.column("text").combine_chunks())
 
     def places(self, distinct: pa.Array) -> np.ndarray:
@@ -322,19 +328,21 @@ def document_runs(docs: DataFrame, pieces: Pieces, frequent: int = FREQUENT) ->
     def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         k = known.value
         for doc, sizes, _, _, at in cut_batches(batches):
-            row = np.repeat(np.arange(len(sizes)), sizes)
-            place = np.arange(len(row)) - np.repeat(np.cumsum(sizes) - sizes, sizes)
-            i = np.flatnonzero(at >= 0)
-            at, row, place = at[i], row[i], place[i]
-            opens = np.ones(len(i), bool)
+            row = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+            place = _ranges(np.zeros(len(sizes), np.int32), sizes)
+            is_known = at >= 0
+            at, row, place = at[is_known], row[is_known], place[is_known]
+            opens = np.ones(len(at), bool)
             opens[1:] = (row[1:] != row[:-1]) | (place[1:] != place[:-1] + 1)
             first = np.flatnonzero(opens)
-            ends = np.append(first, len(i))
-            n_ids = np.concatenate([[0], np.cumsum(k.sizes[at])])
-            ids = pa.ListArray.from_arrays(pa.array(n_ids[ends].astype(np.int32)), pa.array(k.ids[_ranges(k.first[at], k.sizes[at])]))
+            row, place = row[first], place[first]
+            ends = np.append(first, len(at))
+            n_ids = np.zeros(len(at) + 1, np.int32)
+            np.cumsum(k.sizes[at], out=n_ids[1:])
+            ids = pa.ListArray.from_arrays(pa.array(n_ids[ends]), pa.array(k.ids[_ranges(k.first[at], k.sizes[at])]))
             texts = pc.binary_join(pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), k.texts.take(pa.array(at))), "")
             names = ["doc_id", "word", "n_words", "ids", "text"]
-            yield pa.RecordBatch.from_arrays([doc.take(pa.array(row[first])), pa.array(place[first].astype(np.int32)), pa.array(np.diff(ends).astype(np.int32)), ids, texts], names)
+            yield pa.RecordBatch.from_arrays([doc.take(pa.array(row)), pa.array(place), pa.array(np.diff(ends).astype(np.int32)), ids, texts], names)
             none = np.flatnonzero(sizes == 0)
             zero = pa.array(np.zeros(len(none), np.int32))
             yield pa.RecordBatch.from_arrays([doc.take(pa.array(none)), zero, zero, pa.array([[]] * len(none), pa.list_(pa.int32())), pa.array([""] * len(none), pa.string())], names)
