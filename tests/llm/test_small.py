@@ -359,6 +359,30 @@ def test_viterbi_is_the_best_path(spark):
     assert {r.word: list(r.ids) for r in got} == {"▁ab": [1, 4], "▁abx": [1, 4, 100 + ord("x")]}
 
 
+def test_lattice_finds_long_pieces_by_few_substrings(spark):
+    rows = [(c, i, -2.0) for i, c in enumerate("▁abc")] + [("abca", 4, -3.0), ("abcab", 5, -3.0), ("abcabcab", 6, -4.0), ("▁abca", 7, -5.0), ("bcabc", 8, -5.0)]
+    p = piece_lattice.Pieces(rows, list(range(100, 356)), -20.0, 8, ["x"] * 356)
+    words = ["▁abcabcabcab", "abcab", "abcabca", "xabc", "▁"]
+    adaptive = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        found = piece_lattice.edges(spark.createDataFrame([(w,) for w in words], "word string"), p)
+        got = sorted((r.word, r.edge) for r in found.collect())
+        found._jdf.collect()
+        node, exploded = found._jdf.queryExecution().executedPlan(), []
+        while node.children().size():
+            if node.nodeName() == "Generate":
+                exploded.append(node.metrics().apply("numOutputRows").value())
+            node = node.children().apply(0)
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", adaptive)
+    ids = {piece: i for piece, i, _ in rows}
+    spans = [(w, a, e) for w in words for e in range(1, len(w) + 1) for a in range(e)]
+    packed = lambda e, n, i: ((e << piece_lattice.LENGTH_BITS) + n << piece_lattice.ID_BITS) + i
+    assert got == sorted((w, packed(e, e - a, ids.get(w[a:e], p.no_piece))) for w, a, e in spans if w[a:e] in ids or e - a == 1)
+    assert max(exploded) <= 4 * sum(map(len, words)), exploded
+
+
 def jpeg_by_bits(frame):
     """Coefficients of a grey baseline JPEG, read a bit at a time."""
     at, tables, q, every, width, height = 2, {}, [1] * 64, 0, 0, 0

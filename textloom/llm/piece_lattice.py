@@ -2,8 +2,9 @@
 
 1. A text gets a leading mark, spaces become marks, and it is cut into words where no piece of the model can cross: before a mark
    that follows another character, and between letters and others. The cut is checked against the model when it is loaded.
-2. Distinct words are exploded into substrings of at most the longest piece's length; an equi-join with the piece table (whose size
-   the vocabulary bounds, so it is broadcast) leaves the edges. A character that is no piece is an edge of its UTF-8 byte pieces.
+2. Distinct words are exploded into substrings of at most HEAD characters; an equi-join with the first HEAD characters of the pieces (the
+   vocabulary bounds their table, so it is broadcast) and, for longer pieces, a look at the rest of the piece leave the edges. A character
+   that is no piece is an edge of its UTF-8 byte pieces.
    A piece that scores less than some way of spelling it by others is on no best path, so the table leaves it out (``useful``).
 3. Edges are grouped by word and folded with ``aggregate``. The fold is Viterbi: the path with the greatest sum of the model's scores,
    of equal ones that with longer pieces at its end. One fold over the edges leaves the best score of each place, a second one
@@ -42,6 +43,8 @@ from textloom.llm import common
 MARK = "▁"
 WORD = f"{MARK}*(?:\\p{{L}}+|[^\\p{{L}}{MARK}]+)|{MARK}+"
 FREQUENT = 500_000
+#: So many first characters of a piece find it; few pieces that can be on a best path are longer.
+HEAD = 4
 MODEL = "piece_bpe_32k.model"
 #: An edge is one long: the place where it stops, its length, and the id of its piece.
 ID_BITS, LENGTH_BITS = 20, 8
@@ -116,22 +119,31 @@ def useful(rows: list[tuple[str, int, float]], unknown: float) -> list[tuple[str
 def edges(words: DataFrame, pieces: Pieces) -> DataFrame:
     """The columns of words, among them word, and edge: the lattice of each row's word, an edge as one long."""
     own = words.columns
-    stops = words.select(*own, F.explode(F.sequence(F.lit(1), F.char_length("word"))).alias("stop"))
-    room = F.least(F.col("stop"), F.lit(pieces.longest))
-    cut = stops.select(*own, "stop", F.explode(F.sequence(F.lit(1), room)).alias("length"))
-    cut = cut.withColumn("part", F.substring("word", F.col("stop") - F.col("length") + 1, F.col("length")))
+    starts = words.select(*own, F.explode(F.sequence(F.lit(1), F.char_length("word"))).alias("start"))
+    room = F.least(F.char_length("word") - F.col("start") + 1, F.lit(HEAD))
+    cut = starts.select(*own, "start", F.explode(F.sequence(F.lit(1), room)).alias("length"))
+    cut = cut.withColumn("part", F.substring("word", F.col("start"), F.col("length")))
     # The vocabulary bounds this side; the literal size check keeps a larger table from being broadcast. Equal 64-bit digests meet, which
     # a table of numbers finds faster, and a piece counts where it is equal itself.
-    table = pieces.table(words.sparkSession).withColumn("key", F.xxhash64("piece"))
+    table = pieces.table(words.sparkSession).withColumn("key", F.xxhash64(F.substring("piece", 1, HEAD))).withColumn("size", F.char_length("piece"))
     met = cut.join(F.broadcast(table) if len(pieces.rows) <= 1 << 20 else table, F.xxhash64("part") == F.col("key"), "left")
-    met = met.withColumn("id", F.when(F.col("part") == F.col("piece"), F.col("id"))).where("id is not null or length = 1")
-    packed = F.shiftleft(F.shiftleft(F.col("stop").cast("long"), LENGTH_BITS).bitwiseOR(F.col("length").cast("long")), ID_BITS).bitwiseOR(F.coalesce("id", F.lit(pieces.no_piece)).cast("long"))
+    whole = F.when(F.col("size") <= HEAD, F.col("part")).otherwise(F.substring("word", F.col("start"), F.col("size")))
+    met = met.withColumn("id", F.when(whole == F.col("piece"), F.col("id"))).where("id is not null or length = 1")
+    size = F.when(F.col("id").isNull(), F.lit(1)).otherwise(F.col("size")).cast("long")
+    packed = F.shiftleft(F.shiftleft(F.col("start") - 1 + size, LENGTH_BITS).bitwiseOR(size), ID_BITS).bitwiseOR(F.coalesce("id", F.lit(pieces.no_piece)).cast("long"))
     return met.select(*own, packed.alias("edge"))
 
 
-def _parts(e: Column) -> tuple[Column, Column, Column]:
-    """(stop, length, id) of an edge."""
-    return F.shiftright(e, ID_BITS + LENGTH_BITS).cast("int"), F.shiftright(e, ID_BITS).bitwiseAND(F.lit((1 << LENGTH_BITS) - 1)).cast("int"), e.bitwiseAND(F.lit(ID)).cast("int")
+def _stop(e: Column) -> Column:
+    return F.shiftright(e, ID_BITS + LENGTH_BITS)
+
+
+def _length(e: Column) -> Column:
+    return F.shiftright(e, ID_BITS).bitwiseAND(F.lit((1 << LENGTH_BITS) - 1))
+
+
+def _id(e: Column) -> Column:
+    return e.bitwiseAND(F.lit(ID))
 
 
 def best_paths(lattice: DataFrame, pieces: Pieces) -> DataFrame:
@@ -143,21 +155,21 @@ def best_paths(lattice: DataFrame, pieces: Pieces) -> DataFrame:
 
     def step(acc: Column, e: Column) -> Column:
         # Edges come in order of their stop, and at each stop there is one of length 1, which comes first and closes the place before.
-        stop, length, i = _parts(e)
-        score = F.get(scores, i)
+        score = F.get(scores, _id(e))
         ahead = F.struct(F.array_append(acc["best"], acc["now"]).alias("best"), (acc["now"] + score).alias("now"))
-        also = F.struct(acc["best"].alias("best"), F.greatest(acc["now"], F.get(acc["best"], stop - length) + score).alias("now"))
-        return F.when(length == 1, ahead).otherwise(also)
+        also = F.struct(acc["best"].alias("best"), F.greatest(acc["now"], F.get(acc["best"], _stop(e) - _length(e)) + score).alias("now"))
+        one = e.bitwiseAND(F.lit(((1 << LENGTH_BITS) - 1) << ID_BITS)) == 1 << ID_BITS
+        return F.when(one, ahead).otherwise(also)
 
     first = F.struct(F.array().cast("array<double>").alias("best"), F.lit(0.0).alias("now")).cast(kind)
     summed = grouped.select(*own, "edges", F.aggregate("edges", first, step, lambda acc: F.array_append(acc["best"], acc["now"])).alias("best"))
-    back_kind = "struct<at:int,path:array<long>>"
+    back_kind = "struct<at:long,path:array<long>>"
 
     def back(acc: Column, e: Column) -> Column:
         # Long edges of a stop come first here; the first one that adds up to the stop's score is on the path.
-        stop, length, i = _parts(e)
-        adds_up = (stop == acc["at"]) & (F.get(F.col("best"), stop - length) + F.get(scores, i) == F.get(F.col("best"), stop))
-        return F.when(adds_up, F.struct((stop - length).alias("at"), F.array_append(acc["path"], e).alias("path"))).otherwise(acc)
+        start = acc["at"] - _length(e)
+        adds_up = (_stop(e) == acc["at"]) & (F.get(F.col("best"), start) + F.get(scores, _id(e)) == F.get(F.col("best"), acc["at"]))
+        return F.when(adds_up, F.struct(start.alias("at"), F.array_append(acc["path"], e).alias("path"))).otherwise(acc)
 
     end = F.struct((F.size("best") - 1).alias("at"), F.array().cast("array<long>").alias("path")).cast(back_kind)
     return summed.select(*own, F.aggregate(F.reverse("edges"), end, back, lambda acc: F.reverse(acc["path"])).alias("path"))
@@ -168,12 +180,13 @@ def encoded_words(words: DataFrame, pieces: Pieces) -> DataFrame:
     byte_ids = F.from_json(F.lit(str(pieces.byte_ids)), "array<int>")
 
     def ids(e: Column) -> Column:
-        stop, _, id_ = _parts(e)
-        raw = F.hex(F.encode(F.substring(F.col("word"), stop, F.lit(1)), "utf-8"))
+        raw = F.hex(F.encode(F.substring(F.col("word"), _stop(e).cast("int"), F.lit(1)), "utf-8"))
         pairs = F.transform(F.sequence(F.lit(0), (F.length(raw) / 2 - 1).cast("int")), lambda i: F.get(byte_ids, F.conv(F.substring(raw, (2 * i + 1).cast("int"), F.lit(2)), 16, 10).cast("int")))
-        return F.when(id_ == pieces.no_piece, pairs).otherwise(F.array(id_))
+        return F.when(_id(e) == pieces.no_piece, pairs).otherwise(F.array(_id(e).cast("int")))
 
-    found = best_paths(edges(words, pieces), pieces).select(*words.columns, F.flatten(F.transform("path", ids)).alias("ids"))
+    spelled = F.exists("path", lambda e: _id(e) == pieces.no_piece)
+    all_ids = F.when(spelled, F.flatten(F.transform("path", ids))).otherwise(F.transform("path", lambda e: _id(e).cast("int")))
+    found = best_paths(edges(words, pieces), pieces).select(*words.columns, all_ids.alias("ids"))
     return found.withColumn("text", decoded(F.col("ids"), pieces))
 
 
@@ -316,7 +329,9 @@ def document_runs(docs: DataFrame, pieces: Pieces, frequent: int = FREQUENT) ->
             break
         least = r.n
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    table = common.cut(encoded_words(counts.repartition(n, "word"), pieces), "pieces-of-words", [counts])
+    # Edges follow the order of their words, so that the sort before they are grouped has nothing left to do.
+    dealt = counts.repartition(n, "word").sortWithinPartitions("word")
+    table = common.cut(encoded_words(dealt, pieces), "pieces-of-words", [counts])
     known = spark.sparkContext.broadcast(Known.of(table.where(f"n >= {least}").select("word", "ids", "text").toArrow()))
 
     def cut_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
