@@ -281,6 +281,30 @@ def test_cached_ids_are_the_tokenizers(text):
     assert np.frombuffer(e.encode(text), "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_worker_holds_few_pieces_and_texts():
+    import tracemalloc
+
+    import public_tokenizers
+    import pyarrow as pa
+
+    from textloom.llm import common
+
+    once, twice = [f"w{k}x" for k in range(20_000)], ["hello", "wörld", "梦"] * 3
+    e = tokens.Encoder(public_tokenizers.path(tokens.BYTE_BPE))
+    for text in (" ".join(["a", *once]), " ".join(["a", *twice])):
+        assert np.frombuffer(e.encode(text), "<u4").tolist() == e.tokenizer.encode(text, add_special_tokens=False).ids
+    assert {"hello", "wörld", "梦"} <= set(e.cache) and len(e.cache) < 1000
+    texts = [None if k % 7 == 0 else f"{k} " * 500 for k in range(4000)]
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(4000)), "text": texts})
+    want = [(k, (t or "").encode()) for k, t in enumerate(texts)]
+    tracemalloc.start()
+    assert all(x == y for x, y in zip(common.text_rows(batch, "text", "doc_id"), want, strict=True))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2_000_000  # of some 8 MB of texts
+    assert not list(common.text_rows(batch.slice(0, 0), "text", "doc_id"))
+
+
 def test_token_counts(spark, docs, none, tmp_path):
     want = sorted((r.doc_id, len(tokens.encoder().encode(r.text or "")) // 4) for r in docs.collect())
     for k, sizes in enumerate(({}, {"pack_bytes": 300, "packs": 2})):

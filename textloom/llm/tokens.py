@@ -20,16 +20,23 @@ _SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _BYTES = {chr(b): b for b in _SHOWN} | {chr(256 + k): b for k, b in enumerate(b for b in range(256) if b not in _SHOWN)}
 
 
+#: Places of a byte each that tell whether a piece has come before; two pieces may share one.
+SEEN = 1 << 22
+
+
 class PieceCache(dict):
-    """Piece of a text to its ids as bytes; holds a bounded number of pieces."""
+    """Piece of a text to its ids as bytes; holds a bounded number of pieces, none of which has come only once."""
 
     def __init__(self, encode: Callable[[str], bytes], limit: int):
-        self.encode, self.limit = encode, limit
+        self.encode, self.limit, self.seen = encode, limit, bytearray(SEEN)
 
     def __missing__(self, piece: str) -> bytes:
         ids = self.encode(" " + piece)
         if len(self) < self.limit:
-            self[piece] = ids
+            if self.seen[at := hash(piece) % SEEN]:
+                self[piece] = ids
+            else:
+                self.seen[at] = 1
         return ids
 
 
@@ -39,7 +46,7 @@ class Encoder:
     Pieces outside the cache are encoded by tiktoken from the same vocabulary as ranks, which is several times faster on one word.
     """
 
-    def __init__(self, path: str, layout: str = "<u4", limit: int = 500_000):
+    def __init__(self, path: str, layout: str = "<u4", limit: int = 200_000):
         import tiktoken
         from tokenizers import Tokenizer
 
