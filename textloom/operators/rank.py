@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass, field
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -58,10 +60,21 @@ class Filter:
         return c
 
 
-def half_life(hits: DataFrame, now: Column, seconds: float, *scores: str) -> DataFrame:
-    """Scores of dated nodes of the past lose half in every half-life."""
+def _halved(times: Column) -> Column:
+    @F.arrow_udf("double")
+    def power(y: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else math.pow(0.5, v) for v in y.to_pylist()], pa.float64())
+
+    return power(times)
+
+
+def half_life(hits: DataFrame, now: Column, seconds: float, *scores: str, past_only: bool = True, exact: bool = False) -> DataFrame:
+    """Scores of dated nodes of the past lose half in every half-life; past_only off: those of the future gain as much, too.
+
+    exact: powers by the C library, whose last bit differs from the JVM's for some; large scores show it.
+    """
     age = F.unix_micros(now) / 1e6 - F.unix_micros("at") / 1e6
-    factor = F.when(F.col("at").isNotNull() & (age > 0), F.pow(F.lit(0.5), age / seconds)).otherwise(1.0)
+    factor = F.when(F.col("at").isNotNull() & ((age > 0) if past_only else F.lit(True)), _halved(age / seconds) if exact else F.pow(F.lit(0.5), age / seconds)).otherwise(1.0)
     return hits.withColumns({c: F.col(c) * factor for c in scores})
 
 
