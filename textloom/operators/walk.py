@@ -8,10 +8,13 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from textloom.operators.graph import both_ways, hashed, with_ends
 from textloom.operators.tables import checkpointed
 
 #: Fixed values of the walk.
 ALPHA, EPSILON, DAMPING = 0.15, 1e-4, 0.25
+#: Rows of a side that Spark may broadcast; a larger one is held in hash tables by tasks.
+SMALL = 100_000
 
 
 def walk_edges(nodes: DataFrame, edges: DataFrame, kind_weights: dict[str, float] | None = None, muted: Iterable[str] = (), caps: dict[str, int] | None = None) -> DataFrame:
@@ -33,18 +36,35 @@ def walk_edges(nodes: DataFrame, edges: DataFrame, kind_weights: dict[str, float
         by_kind = F.when(F.col("kind") == kind, float(w)).otherwise(by_kind)
     w = by_kind * F.when(F.col("weight") > 0, F.col("weight")).otherwise(1.0)
     e = e.where("from_id <> to_id").select(F.least("from_id", "to_id").alias("u"), F.greatest("from_id", "to_id").alias("v"), w.alias("w")).where("w > 0")
-    e = e.groupBy("u", "v").agg(F.sum("w").alias("w"))
-    for side in ("u", "v"):
-        e = e.join(alive.withColumnRenamed("id", side), side, "left_semi").select("u", "v", "w")
-    return e.unionAll(e.select(F.col("v").alias("u"), F.col("u").alias("v"), "w"))
+    e = with_ends(e, alive, "u", "v").groupBy("u", "v").agg(F.sum("w").alias("w"))  # rows lie by v already
+    return both_ways(e, "w")
 
 
 def damped(walk: DataFrame) -> DataFrame:
     """Weights over the fourth root of the product of the ends' weighted degrees, which are those before damping."""
-    walk = checkpointed(walk)  # read three times
-    deg = walk.groupBy("u").agg(F.sum("w").alias("d"))
-    both = walk.join(deg.withColumnRenamed("d", "du"), "u").join(deg.select(F.col("u").alias("v"), F.col("d").alias("dv")), "v")
-    return both.select("u", "v", (F.col("w") / F.pow(F.col("du") * F.col("dv"), DAMPING)).alias("w"))
+    half = checkpointed(walk.where("u < v"))  # read twice; the other half is the same the other way round
+    deg = both_ways(half, "w").groupBy("u").agg(F.sum("w").alias("d"))
+    both = half.join(hashed(deg.withColumnRenamed("d", "du")), "u").join(hashed(deg.select(F.col("u").alias("v"), F.col("d").alias("dv"))), "v")
+    return both_ways(both.select("u", "v", (F.col("w") / F.pow(F.col("du") * F.col("dv"), DAMPING)).alias("w")), "w")
+
+
+def within_reach(edges: DataFrame, seeds: DataFrame) -> DataFrame:
+    """Edges that a walk from seeds (id) can come to, all of them and those by absent nodes too: what other parts of a graph hold moves no mass.
+
+    Frontiers are joined until none is new, or until they hold so many nodes that little would be left out; then all edges come back.
+    """
+    edges = checkpointed(edges)  # each frontier reads them
+    most, held = edges.count() // 8, 0
+    near = frontier = checkpointed(seeds.select("id").distinct())
+    while n := frontier.count():
+        if (held := held + n) > max(most, SMALL):
+            return edges
+        side = hashed(frontier) if n > SMALL else frontier
+        out = edges.join(side.withColumnRenamed("id", "from_id"), "from_id", "left_semi").select(F.col("to_id").alias("id"))
+        into = edges.join(side.withColumnRenamed("id", "to_id"), "to_id", "left_semi").select(F.col("from_id").alias("id"))
+        frontier = checkpointed(out.unionAll(into).distinct().join(near, "id", "left_anti"))
+        near = checkpointed(near.unionAll(frontier))
+    return edges.join((hashed(near) if held > SMALL else near).withColumnRenamed("id", "from_id"), "from_id", "left_semi").select(*edges.columns)
 
 
 def ppr_power(walk: DataFrame, seeds: DataFrame, steps: int = 20, alpha: float = ALPHA) -> DataFrame:
@@ -68,25 +88,26 @@ def ppr_power(walk: DataFrame, seeds: DataFrame, steps: int = 20, alpha: float =
     return r.select("id", "mass").unionAll(alone)
 
 
-def neighbourhood(walk: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
-    """Edges of walk whose first end lies within hops of a seed."""
-    near = seeds.select(F.col("id").alias("u"))
+def reached_within(walk: DataFrame, seeds: DataFrame, hops: int) -> DataFrame:
+    """(u): nodes within hops of a seed."""
+    near = checkpointed(seeds.select(F.col("id").alias("u")).distinct())
     for _ in range(hops):
         near = checkpointed(near.unionAll(walk.join(near, "u", "left_semi").select(F.col("v").alias("u"))).distinct())  # the next hop reads it twice
-    return walk.join(near, "u", "left_semi")
+    return near
 
 
-def ppr_push(walk: DataFrame, seeds: DataFrame, alpha: float = ALPHA, epsilon: float = EPSILON, hops: int = 4) -> DataFrame:
+def ppr_push(walk: DataFrame, seeds: DataFrame, alpha: float = ALPHA, epsilon: float = EPSILON, hops: int = 0) -> DataFrame:
     """(id, mass) by pushing residuals in first-in first-out order until none exceeds epsilon times its degree.
 
-    The push is sequential by definition. It touches at most 1 / (epsilon * alpha) degrees, so the edges within hops of the seeds go
-    to one group, sorted, and the whole push runs there. Where a node beyond them is left with more, hops is doubled and the push
-    starts anew, so hops bounds nothing in the result.
+    The push is sequential by definition. It pushes nodes of at most 1 / (epsilon * alpha) degrees in all, so the edges of these go to
+    one group, sorted, and the whole push runs there: first those within hops of the seeds. Where nodes whose edges aren't there are
+    left with more, these are added and the push starts anew; the last one is that over all edges. A large node that gets too little to
+    be pushed never brings its edges.
     """
     import pandas as pd
 
     walk, seeds = checkpointed(walk), checkpointed(seeds)  # each hop reads them
-    deg = walk.groupBy("u").agg(F.sum("w").alias("d"), F.count("*").alias("n"))
+    deg = checkpointed(walk.groupBy("u").agg(F.sum("w").alias("d")))
     start = seeds.select(F.col("id").alias("u"), F.lit(None).cast("string").alias("v"), F.lit(None).cast("double").alias("w"), F.lit(None).cast("double").alias("dv"), "s")
 
     def push(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -128,12 +149,14 @@ def ppr_push(walk: DataFrame, seeds: DataFrame, alpha: float = ALPHA, epsilon: f
         beyond = [v for v, r in left.items() if v not in adjacency and r > epsilon * degree[v]]
         return pd.DataFrame({"id": [*mass, *beyond], "mass": [*mass.values(), *(None for _ in beyond)]}).astype({"id": object, "mass": float})
 
-    while True:
-        rows = neighbourhood(walk, seeds, hops).join(deg.select(F.col("u").alias("v"), F.col("d").alias("dv")), "v").select("u", "v", "w", "dv", F.lit(None).cast("double").alias("s"))
+    known = reached_within(walk, seeds, hops)
+    while True:  # ends, as each round adds nodes
+        rows = walk.join(known, "u", "left_semi").join(deg.select(F.col("u").alias("v"), F.col("d").alias("dv")), "v").select("u", "v", "w", "dv", F.lit(None).cast("double").alias("s"))
         pushed = checkpointed(rows.unionAll(start).groupBy(F.lit("all").alias("g")).applyInPandas(push, "id string, mass double"))
-        if pushed.where("mass is null or isnan(mass)").isEmpty():
+        beyond = pushed.where("mass is null or isnan(mass)")
+        if beyond.isEmpty():
             return pushed
-        hops *= 2
+        known = checkpointed(known.unionAll(beyond.select(F.col("id").alias("u"))))
 
 
 def from_node(walk: DataFrame, nodes: DataFrame, start: str, reach: float = 0.05) -> DataFrame:
