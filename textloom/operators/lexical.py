@@ -34,6 +34,16 @@ def vocabulary(posts: DataFrame) -> DataFrame:
     return posts.groupBy("term").agg(F.sum("tf").alias("cf"), F.count("*").alias("df"))
 
 
+def text_vocabulary(chunks: DataFrame) -> DataFrame:
+    """(term, cf, df) of (node_id, idx, text) in which no chunk has two rows: an aggregate over tokens, without a row for each term of a chunk.
+
+    Unlike in postings, a term's frequency in a chunk isn't capped.
+    """
+    sorted_ = chunks.select(F.array_sort(T.tokens(F.col("text"))).alias("t"))
+    first = F.transform("t", lambda x, i: F.struct(x.alias("term"), F.when((i > 0) & (F.get("t", i - 1) == x), 0).otherwise(1).cast("long").alias("first")))
+    return sorted_.select(F.inline(first)).groupBy("term").agg(F.count("*").alias("cf"), F.sum("first").alias("df"))
+
+
 def has_terms(posts: DataFrame, terms: DataFrame) -> DataFrame:
     return terms.join(posts.select("term"), "term", "left_semi")
 

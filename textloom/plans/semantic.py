@@ -72,13 +72,16 @@ def evidence_passages(edges: DataFrame, nodes: DataFrame, entities: DataFrame, m
     part = edges.where("kind = 'part_of'").select(F.col("from_id").alias("topic"), F.col("to_id").alias("id"))
     mention = edges.where("kind = 'mentions'").select("from_id", F.col("to_id").alias("target"))
     via = mention.join(part, mention["target"] == part["topic"]).select("from_id", "id")
-    texts = mention.select("from_id", F.col("target").alias("id")).unionAll(via).distinct().join(entities, "id").join(nodes.select(F.col("id").alias("from_id"), "text", "at"), "from_id")
+    texts = mention.select("from_id", F.col("target").alias("id")).unionAll(via).distinct().join(entities.select("id"), "id", "left_semi").join(nodes.select(F.col("id").alias("from_id"), "at").distinct(), "from_id")
+    # The first texts of an entity are told before any text is moved.
+    w = Window.partitionBy("id").orderBy(F.col("at").desc_nulls_last(), "from_id")
+    first = texts.select("id", "from_id", F.row_number().over(w).alias("n")).where(F.col("n") <= most)
+    texts = first.join(entities, "id").join(nodes.select(F.col("id").alias("from_id"), "text"), "from_id")
     low = F.lower("text")
     places = F.filter(F.transform("forms", lambda f: F.call_function("instr", low, F.lower(f))), lambda p: p > 0)
     at = F.coalesce(F.array_min(places), F.lit(1))
     start = F.greatest(F.lit(1), at - around // 2)
-    w = Window.partitionBy("id").orderBy(F.col("at").desc_nulls_last(), "from_id")
-    return texts.select("id", F.substring(F.col("text"), start.cast("int"), F.lit(around)).alias("passage"), F.row_number().over(w).alias("n")).where(F.col("n") <= most)
+    return texts.select("id", F.substring(F.col("text"), start.cast("int"), F.lit(around)).alias("passage"), "n")
 
 
 @dataclass
